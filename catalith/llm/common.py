@@ -124,6 +124,14 @@ class Words:
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length * np.uint64(0xA0761D6478BD642F))
         self.row = np.searchsorted(self.start, self.byte_row)
         self._sum: np.ndarray | None = None
+        self._bytes = total
+
+    def head_hash(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than size bytes, and a hash of the first size bytes of each."""
+        at = np.flatnonzero(self.end - self.start > size)
+        start = self.start[at]
+        down = powers(_BYTE_BASE, len(self.data))[1]
+        return at, mix((self._bytes[start + size] - self._bytes[start]) * down[start] + np.uint64(size * 0x5851F42D4C957F2D & (1 << 64) - 1))
 
     def span_hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """The hash of each run of words, from its first word and number of words."""

@@ -84,7 +84,7 @@ def edges_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                ids, asked = part.column("doc_id").to_pylist(), part.column("runs")
+                ids, asked = part.column("doc_id").to_pylist(), part.column("_runs")
                 ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
                 runs = asked.flatten()
                 start, n, m = (runs.field(k).to_numpy() for k in ("start", "n", "m"))
@@ -106,13 +106,18 @@ def edges_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return task
 
 
+def with_ids(docs: DataFrame) -> DataFrame:
+    """The rows with a doc_id, which is long; no new column where it is already, so that plans stay equal."""
+    return (docs if dict(docs.dtypes)["doc_id"] == "bigint" else docs.withColumn("doc_id", F.col("doc_id").cast("long"))).where("doc_id is not null")
+
+
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, spans): for each document with words to remove, the runs (start, n) of repeated windows.
 
     Window i of a run covers the words start + i to start + i + window - 1.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    runs = docs.mapInArrow(runs_of(window), RUNS)
+    docs = with_ids(docs)
+    runs = docs.select("doc_id", "text").mapInArrow(runs_of(window), RUNS)
     shared = (
         runs.groupBy("m")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("path") != F.max("path")).alias("branches"))
@@ -125,15 +130,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     whole = found.where("not branches and doc_id > lo").select("doc_id", "start", "n").unionByName(
         branching.join(paths, ["m", "path"]).where("doc_id > first.doc_id").select("doc_id", "start", "n")
     )
-    opened = (
-        paths.select("first.doc_id", "first.start", "first.n", "m")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))
-        .join(docs, "doc_id")
-        .select("doc_id", "text", "runs")
-        .mapInArrow(edges_of(window), EDGES)
+    asked = (
+        paths.select(F.col("first.doc_id").alias("_of"), "first.start", "first.n", "m")
+        .groupBy("_of")
+        .agg(F.collect_list(F.struct("start", "n", "m")).alias("_runs"))
     )
-    edges = cut(opened)
+    # All columns of docs pass here, so that this shuffle of the texts is the one that the caller's join reuses.
+    edges = docs.join(asked, docs["doc_id"] == asked["_of"]).drop("_of").mapInArrow(edges_of(window), EDGES)
     first = edges.groupBy("m", "edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     single = edges.join(first, ["m", "edge"]).where("doc_id > lo").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -190,9 +193,12 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     An empty table gives an empty result.
     """
     spans = repeated_spans(docs, window).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    out = docs.join(spans, docs["doc_id"].cast("long") == F.col("_of"), "left").drop("_of")
+    real = with_ids(docs)
+    out = real.join(spans, real["doc_id"] == spans["_of"], "left").drop("_of")
+    without = docs.where("doc_id is null").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    out = out.unionByName(without)
     zero = F.lit(0).cast("long")
-    schema = docs.select("*", zero.alias("_n_words"), zero.alias("_n_removed")).schema
+    schema = out.drop("_spans").select("*", zero.alias("_n_words"), zero.alias("_n_removed")).schema
     return out.mapInArrow(_cutter(docs.columns, window), schema)
 
 
