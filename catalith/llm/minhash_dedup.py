@@ -7,8 +7,10 @@
     4 bins make a band: sets with similarity 0.85 miss all 32 bands with probability 6e-11.
 3.  In a bucket, every member is paired with one centre, not with each other, so pairs grow as members.
     Pairs are confirmed on the full sets, and links joined to components by distributed star contraction.
-4.  Members of one bucket that are still in different components meet other centres in further
-    rounds, as long as pairs not yet compared turn up, ROUNDS times at most.
+4.  Stars alone can lose a link between two members that are both too far from the centre. So members are
+    also joined loosely (similarity LOOSE to a centre). Where a loose group is not one component, the members
+    outside its largest component meet all members of the group in blocks of bounded size, and
+    each gives one link for each component it reaches. Groups that the stars have joined take no part.
 
 Aggregations combine before the shuffle; joins have one row for each key on one side, so Spark splits hot ones.
 """
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from catalith.llm.common import Words, cut, mix, signed, slices
 
 BINS, BANDS = 128, 32
-ROUNDS = 4
+#: Similarity to a centre that makes a loose group; two similar sets fall into one unless all their shared centres are strange to both.
+LOOSE_PERCENT = 50
+#: Shingles of a block in the exact comparison.
+BLOCK_SHINGLES = 1 << 18
 _BITS = BINS.bit_length() - 1
 _FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: The bins that an empty bin asks, in order.
@@ -124,14 +129,58 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between the left and right rows of a block that are in different components."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        left, rep, of = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("left", "rep", "of"))
+        sets = rows.column("set").combine_chunks()
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(n) - n
+        shingles, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        right = np.flatnonzero(~left)
+        others = np.concatenate([code[begin[j] : begin[j] + n[j]] for j in right]) if len(right) else code[:0]
+        starts = np.cumsum(n[right]) - n[right]
+        x, y = [], []
+        for i in np.flatnonzero(left) if len(right) else ():
+            mark = np.zeros(len(shingles), np.int64)
+            mark[code[begin[i] : begin[i] + n[i]]] = 1
+            both = np.add.reduceat(mark[others], starts)
+            hit = right[(100 * both >= percent * (n[i] + n[right] - both)) & (of[right] != of[i])]
+            _, first = np.unique(of[hit], return_index=True)
+            x += [rep[i]] * len(first)
+            y += rep[hit[first]].tolist()
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return task
+
+
+def _links_in_groups(reps: DataFrame, groups: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links of step 4: reps(rep, n), groups and of (id, component), sets(doc_id, set)."""
+    member = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+    member = member.join(of.select(F.col("id").alias("rep"), F.col("component").alias("of")), "rep", "left").withColumn("of", F.coalesce("of", "rep"))
+    parts = member.groupBy("g", "of").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    open_ = parts.groupBy("g").agg(F.max(F.struct("size", "of", "total")).alias("top"), F.sum("total").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda total: F.ceil(total / BLOCK_SHINGLES).cast("int")
+    open_ = open_.select("g", F.col("top.of").alias("largest"), blocks(F.col("total") - F.col("top.total")).alias("ls"), blocks(F.col("total")).alias("rs"))
+    member = cut(member.join(open_, "g"))
+    at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = member.where("of <> largest").select("g", at("ls").alias("l"), each("rs").alias("r"), "rep", "of", F.lit(True).alias("left"))
+    right = member.select("g", each("ls").alias("l"), at("rs").alias("r"), "rep", "of", F.lit(False).alias("left"))
+    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    return rows.groupBy("g", "l", "r").applyInArrow(_block_links(percent), "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document.
 
     Documents link where 100 * intersection >= percent * union of their sets of `words`-word shingles (A-Z
     lower-cased). component_id: the smallest doc_id that links reach, its own included; kept: it is its own.
     Null, empty or blank text: 0 shingles, linked with nothing. Null doc_id: linked with nothing, component_id
-    null, kept. Repeated rows: each is returned, with the component of its doc_id. Other columns are
-    not read. An empty table gives an empty result.
+    null, kept. Repeated rows: each is returned, with the component of its doc_id; a doc_id with several texts
+    links where one of them does. Other columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(docs.mapInArrow(_signatures(words), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
@@ -141,37 +190,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     banded = classes.select(F.col("first.doc_id").alias("rep"), "n", F.explode("first.bands").alias("b"))
     centres = banded.groupBy("b").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("last > c.rep")
     live = cut(banded.join(centres.select("b", "c"), "b"))
-    similar = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    loosely = F.expr(f"100 * least(nx, ny) >= {LOOSE_PERCENT} * greatest(nx, ny)")
     ids = live.select(F.col("rep").alias("_id")).distinct()
-    sets = cut(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").distinct().mapInArrow(_sets(words), "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("x_set")), "x")
-        full = full.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("y_set")), "y")
-        found = full.select("x", "y", "nx", "ny", "x_set", "y_set").mapInArrow(_overlaps, "x long, y long, nx long, ny long, both long")
-        return found.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y")
-
-    pairs = cut(live.where("rep <> c.rep").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c.rep").alias("y"), F.col("c.n").alias("ny")).where(similar).distinct())
-    compared, edges = pairs.select("x", "y"), cut(confirmed(pairs))
-    of = cut(components(edges))
-    for turn in range(1, ROUNDS):
-        at = live.select("b", "rep", "n").join(of.withColumnRenamed("id", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).drop("component")
-        other = at.groupBy("b").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "n", "of")).alias("c"), F.min("of").alias("lo"), F.max("of").alias("hi"))
-        open_ = at.join(other.where("lo < hi").drop("lo", "hi"), "b").where("of <> c.of")
-        new = open_.select(
-            F.greatest("rep", "c.rep").alias("x"),
-            F.when(F.col("rep") > F.col("c.rep"), F.col("n")).otherwise(F.col("c.n")).alias("nx"),
-            F.least("rep", "c.rep").alias("y"),
-            F.when(F.col("rep") > F.col("c.rep"), F.col("c.n")).otherwise(F.col("n")).alias("ny"),
-        )
-        new = cut(new.where(similar).distinct().join(compared, ["x", "y"], "left_anti"))
-        if new.isEmpty():
-            continue
-        compared = compared.unionByName(new.select("x", "y"))
-        more = cut(confirmed(new))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            of = cut(components(edges))
+    sets = cut(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>"))
+    star = live.where("rep <> c.rep").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c.rep").alias("y"), F.col("c.n").alias("ny"))
+    full = star.where(loosely).distinct().join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("x_set")), "x")
+    full = full.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("y_set")), "y").select("x", "y", "nx", "ny", "x_set", "y_set")
+    pairs = cut(full.mapInArrow(_overlaps, "x long, y long, nx long, ny long, both long").where(f"100 * both >= {LOOSE_PERCENT} * (nx + ny - both)"))
+    links = pairs.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y")
+    of = cut(components(links))
+    more = cut(_links_in_groups(live.select("rep", "n").distinct(), cut(components(pairs)), of, sets, percent))
+    if not more.isEmpty():
+        of = cut(components(links.unionByName(more)))
     joined = every.drop("bands").join(members.withColumnRenamed("n", "_n"), ["f1", "f2"], "left")
     joined = joined.join(of.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))

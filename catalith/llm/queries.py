@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import license_scan, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup, token_files, toxicity
+from catalith.llm import ann_search, license_scan, line_dedup, minhash_dedup, packing, quality_rules
+from catalith.llm import sentencepiece_codec, substring_dedup, token_files, toxicity
 from catalith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_search.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2))
 
@@ -43,10 +49,26 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.sentencepiece(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_toxicity, op5_line_dedup, op6_packing, op7_token_files, op8_minhash_dedup, op10_quality_rules)}
+_ALL = (
+    op1_substring_dedup,
+    op2_license_scan,
+    op3_toxicity,
+    op4_ann_search,
+    op5_line_dedup,
+    op6_packing,
+    op7_token_files,
+    op8_minhash_dedup,
+    op9_sentencepiece,
+    op10_quality_rules,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
