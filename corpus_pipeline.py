@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalith.llm import packing, substring_dedup
+from catalith.llm import line_dedup, minhash_dedup, packing, substring_dedup, toxicity
 from catalith.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at toxicity.THRESHOLD or more go. The score depends on the text alone, so equal rows fare alike."""
+    scored = toxicity.mark_toxic(docs, table(spark, sf_dir, "labels"))
+    return scored.where(~F.col("_toxic")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(docs, min_lines=2).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the smallest doc_id. Rows with one doc_id are one document."""
+    gone = minhash_dedup.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(docs, window=50).select(*docs.columns)
 
@@ -21,7 +38,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1, longest=2048)
 
 
-STAGES: list[tuple[str, Stage]] = [("substring_dedup", drop_substrings), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_substrings),
+    ("packing", pack),
+]
 #: Packing needs a tokenizer, which SQL has not.
 ORACLE_SQL: str | None = None
 
