@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: coercions with defaults, text fallbacks, time arithmetic, tokens."""

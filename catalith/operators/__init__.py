@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators over DataFrames: lookups, listings, rankings, search, vectors, cached recommendations."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from catalith.plans import catalog, search, vectors
+
+QUERIES = catalog.QUERIES | search.QUERIES | vectors.QUERIES
+ORACLES: dict[str, str] = catalog.ORACLES | search.ORACLES | vectors.ORACLES

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Extensions: the batch jobs of the catalog fed by streams."""
