@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from catalith.llm import ann_search, license_scan, line_dedup, minhash_dedup, packing, quality_rules
 from catalith.llm import sentencepiece_codec, substring_dedup, token_files, toxicity
 from catalith.llm.common import table
+from catalith.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,5 +71,3 @@ _ALL = (
     op10_quality_rules,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-
-ORACLES: dict[str, str] = {}
