@@ -97,6 +97,17 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with groups, which has one row for each of keys, so that a hot key is split among tasks.
+
+    groups is aggregated by the keys, so Spark would join where its aggregation lies, and can't split a shuffle that
+    an aggregation reads. A further key makes both sides shuffles of the join alone, which AQE splits where they
+    are skewed.
+    """
+    further = F.xxhash64(*keys)
+    return rows.withColumn("_further", further).join(groups.withColumn("_further", further), [*keys, "_further"]).drop("_further")
+
+
 class Words:
     """The words of all rows of a slice.
 

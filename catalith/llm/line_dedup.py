@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ASCII_SPACE, Words, cut, signed, slices
+from catalith.llm.common import ASCII_SPACE, Words, cut, join_groups, signed, slices
 
 _LINE = np.ones(256, np.uint8)
 _LINE[10] = 0
@@ -57,7 +57,7 @@ def suffix_groups(docs: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     place = F.struct("doc_id", "pos")
     while True:
         groups = lines.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-        shared = cut(lines.join(groups, "name"))
+        shared = cut(join_groups(lines, groups, ["name"]))
         if shared.isEmpty():
             return
         yield k, shared
