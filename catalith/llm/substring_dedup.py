@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import Words, cut, signed, slices
+from catalith.llm.common import Words, cut, join_groups, signed, slices
 
 RUNS = "doc_id long, start int, n int, m long, path long"
 EDGES = "doc_id long, pos int, m long, edge long"
@@ -124,11 +124,11 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         .where("lo < hi")
         .drop("hi")
     )
-    found = cut(runs.join(shared, "m"))
+    found = cut(join_groups(runs, shared, ["m"]))
     branching = found.where("branches").drop("lo", "branches")
     paths = branching.groupBy("m", "path").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"))
     whole = found.where("not branches and doc_id > lo").select("doc_id", "start", "n").unionByName(
-        branching.join(paths, ["m", "path"]).where("doc_id > first.doc_id").select("doc_id", "start", "n")
+        join_groups(branching, paths, ["m", "path"]).where("doc_id > first.doc_id").select("doc_id", "start", "n")
     )
     asked = (
         paths.select(F.col("first.doc_id").alias("_of"), "first.start", "first.n", "m")
@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     # All columns of docs pass here, so that this shuffle of the texts is the one that the caller's join reuses.
     edges = docs.join(asked, docs["doc_id"] == asked["_of"]).drop("_of").mapInArrow(edges_of(window), EDGES)
     first = edges.groupBy("m", "edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    single = edges.join(first, ["m", "edge"]).where("doc_id > lo").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+    single = join_groups(edges, first, ["m", "edge"]).where("doc_id > lo").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
