@@ -7,10 +7,10 @@ equal k-mers always lie in runs with the same minimizer. A run is one row.
 
 1.  Runs are aggregated by minimizer. Minimizers of a single document hold no repeated edge and go.
 2.  Runs of one minimizer with the same content are one nonbranching path: they compact, by a Spark
-    join, into their first copy, and every later copy is repeated as a whole.
+    join, into their first document, and every copy in a later one is repeated as a whole.
 3.  Where a minimizer has several paths (the graph branches there: the ends of a shared passage, an
-    edited word), one copy of each path is opened into its k-mers again, read at its source
-    coordinates, and compared edge by edge.
+    edited word), the copies of each path in its first document are opened into their k-mers again,
+    read at their source coordinates, and compared edge by edge.
 4.  The spans found are merged for each document and cut out of its text.
 
 A k-mer is compared by two independent 64-bit values (minimizer and content), so a false match is out of
@@ -126,14 +126,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     )
     found = cut(join_groups(runs, shared, ["m"]))
     branching = found.where("branches").drop("lo", "branches")
-    paths = branching.groupBy("m", "path").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"))
+    paths = branching.groupBy("m", "path").agg(F.min("doc_id").alias("first"))
+    copies = join_groups(branching, paths, ["m", "path"])
     whole = found.where("not branches and doc_id > lo").select("doc_id", "start", "n").unionByName(
-        join_groups(branching, paths, ["m", "path"]).where("doc_id > first.doc_id").select("doc_id", "start", "n")
+        copies.where("doc_id > first").select("doc_id", "start", "n")
     )
-    asked = (
-        paths.select(F.col("first.doc_id").alias("_of"), "first.start", "first.n", "m")
-        .groupBy("_of")
-        .agg(F.collect_list(F.struct("start", "n", "m")).alias("_runs"))
+    asked = (  # a set, as rows with one doc_id ask for the same
+        copies.where("doc_id = first").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("start", "n", "m")).alias("_runs"))
     )
     # All columns of docs pass here, so that this shuffle of the texts is the one that the caller's join reuses.
     edges = docs.join(asked, docs["doc_id"] == asked["_of"]).drop("_of").mapInArrow(edges_of(window), EDGES)

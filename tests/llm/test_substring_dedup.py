@@ -50,6 +50,17 @@ def test_small_windows(docs, doc_rows):
         assert sorted(map(tuple, op.digest(op.substring_dedup(small, window)).collect()), key=repr) == brute([r[:2] for r in rows], window)
 
 
+def test_second_copy_in_the_document_of_the_first(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = []
+    for n in (52, 60, 90):
+        a, b, x, y, z = (words(f"{name}{n}_", n if name == "x" else 70) for name in "abxyz")
+        rows += [(10 * n, " ".join([a, x, b])), (10 * n + 1, " ".join([y, x, z, y, x, z])), (10 * n + 2, " ".join([y, x, z]))]
+    rows.append(rows[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, op.digest(op.substring_dedup(df)).collect()), key=repr) == brute(rows)
+
+
 def test_empty(no_docs):
     assert op.digest(op.substring_dedup(no_docs)).collect() == []
 
