@@ -8,7 +8,9 @@
 3.  In a bucket, every member is paired with one centre, not with each other, so pairs grow as members.
     Pairs are confirmed on the full sets, and links joined to components by distributed star contraction.
 4.  Stars alone can lose a link between two members that are both too far from the centre. So members are
-    also joined loosely (similarity LOOSE to a centre). Where a loose group is not one component, the members
+    also joined loosely (similarity LOOSE to a centre). Members of a bucket that the centres leave in different
+    loose groups are compared with each other by their smallest hashes, in blocks of bounded size; groups whose
+    members may be similar become one. Where a loose group is not one component, the members
     outside its largest component meet all members of the group in blocks of bounded size, and
     each gives one link for each component it reaches. Groups that the stars have joined take no part.
 
@@ -17,6 +19,7 @@ Aggregations combine before the shuffle; joins have one row for each key on one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import Words, cut, mix, signed, slices
+from catalith.llm.common import Words, cut, join_groups, mix, signed, slices
 
 BINS, BANDS = 128, 32
-#: Similarity to a centre that makes a loose group; two similar sets fall into one unless all their shared centres are strange to both.
+#: Similarity to a centre that makes a loose group.
 LOOSE_PERCENT = 50
 #: Shingles of a block in the exact comparison.
 BLOCK_SHINGLES = 1 << 18
+#: Smallest hashes of a set that the members of a bucket compare, and members of a block in that comparison.
+SKETCH, BLOCK_MEMBERS = 128, 1024
 _BITS = BINS.bit_length() - 1
 _FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: The bins that an empty bin asks, in order.
@@ -171,6 +176,65 @@ def _links_in_groups(reps: DataFrame, groups: DataFrame, of: DataFrame, sets: Da
     return rows.groupBy("g", "l", "r").applyInArrow(_block_links(percent), "x long, y long")
 
 
+def sketch_percent(percent: int) -> int:
+    """The largest share of the SKETCH smallest hashes that sets of similarity percent miss no oftener than all bands (Chernoff)."""
+    p = min(percent / 100, 0.9999)
+    miss = (1 - p ** (BINS // BANDS)) ** BANDS
+    far = lambda t: t * math.log(t / p) + (1 - t) * math.log((1 - t) / (1 - p))
+    return next((t for t in range(percent - 1, 0, -1) if math.exp(-SKETCH * far(t / 100)) <= miss), 0)
+
+
+def _block_groups(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs that join the loose groups of a block whose left and right rows share least percent of their smallest hashes: a forest."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        left, rep, g = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("left", "rep", "g"))
+        sets = rows.column("sketch").combine_chunks()
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(n) - n
+        values, code = np.unique(sets.flatten().to_numpy().view(np.uint64), return_inverse=True)
+        last = np.where(n < SKETCH, len(values), code[begin + n - 1])  # a smaller sketch is the whole set
+        right = np.flatnonzero(~left)
+        others = np.concatenate([code[begin[j] : begin[j] + n[j]] for j in right]) if len(right) else code[:0]
+        starts = np.cumsum(n[right]) - n[right]
+        group, of = np.unique(g, return_inverse=True)
+        top = np.arange(len(group))  # the joined group of each group
+        x, y = [], []
+        for i in np.flatnonzero(left) if len(right) else ():
+            own = code[begin[i] : begin[i] + n[i]]
+            mark = np.zeros(len(values), np.int64)
+            mark[own] = 1
+            both = np.add.reduceat(mark[others], starts)
+            either = np.searchsorted(own, last[right], side="right") + np.add.reduceat((others <= last[i]).astype(np.int64), starts) - both
+            hit = right[(100 * both >= least * either) & (top[of[right]] != top[of[i]])]
+            _, first = np.unique(top[of[hit]], return_index=True)
+            for j in hit[first]:
+                top[top == top[of[j]]] = top[of[i]]
+                x.append(rep[i])
+                y.append(rep[j])
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return task
+
+
+def _pairs_in_buckets(live: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The loose pairs (x, y) of members that share a bucket live(rep, b, c) but no loose group of groups(id, component)."""
+    member = live.where("rep <> c.rep").select("rep", "b").join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left")
+    member = member.withColumn("g", F.coalesce("g", "rep"))  # a centre has met its members
+    parts = member.groupBy("b", "g").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("b").agg(F.max(F.struct("size", "g")).alias("top"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_MEMBERS).cast("int")
+    open_ = open_.select("b", F.col("top.g").alias("largest"), blocks(F.col("size") - F.col("top.size")).alias("ls"), blocks(F.col("size")).alias("rs"))
+    member = cut(join_groups(member, open_, ["b"]))
+    at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = member.where("g <> largest").select("b", at("ls").alias("l"), each("rs").alias("r"), "rep", "g", F.lit(True).alias("left"))
+    right = member.select("b", each("ls").alias("l"), at("rs").alias("r"), "rep", "g", F.lit(False).alias("left"))
+    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), F.slice("set", 1, SKETCH).alias("sketch")), "rep")
+    return rows.groupBy("b", "l", "r").applyInArrow(_block_groups(sketch_percent(percent)), "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document.
 
@@ -197,7 +261,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     pairs = cut(full.mapInArrow(_overlaps, "x long, y long, nx long, ny long, both long").where(f"100 * both >= {LOOSE_PERCENT} * (nx + ny - both)"))
     links = pairs.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y")
     of = cut(components(links))
-    more = cut(_links_in_groups(live.select("rep", "n").distinct(), cut(components(pairs)), of, sets, percent))
+    groups = cut(components(pairs))
+    met = cut(_pairs_in_buckets(live, groups, sets, percent).distinct())
+    if not met.isEmpty():
+        groups = cut(components(pairs.select("x", "y").unionByName(met)))
+    more = cut(_links_in_groups(live.select("rep", "n").distinct(), groups, of, sets, percent))
     if not more.isEmpty():
         of = cut(components(links.unionByName(more)))
     joined = every.drop("bands").join(members.withColumnRenamed("n", "_n"), ["f1", "f2"], "left")

@@ -74,6 +74,24 @@ def test_large_group_of_near_copies(spark):
     assert Counter(map(tuple, op.near_duplicates(df).collect())) == brute(rows)
 
 
+def test_strangers_that_own_the_buckets(spark):
+    r = random.Random(5)
+    passages = [[f"w{i}_{j}" for j in range(15)] for i in range(20)]
+    rows = []
+    for i in range(400):  # each has some passages of the similar pair in their order, and words of its own
+        mine = set(r.sample(range(20), 13))
+        rows.append((i, " ".join(w for j, p in enumerate(passages) for w in (p if j in mine else [f"s{i}_{j}_{k}" for k in range(15)]))))
+    text = [w for p in passages for w in p]
+    rows.append((1000, " ".join(text)))
+    for j in range(30, 270, 40):
+        text[j] = "edited"
+    rows.append((1001, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, op.near_duplicates(df).collect()))
+    assert got == brute(rows)
+    assert got[(1001, 298, 1000, False)] == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 200), (300, 299)]
     got = {r["id"]: r["component"] for r in op.components(spark.createDataFrame(edges, "x long, y long")).collect()}
