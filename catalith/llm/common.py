@@ -97,7 +97,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows joined with groups, which has one row for each of keys, so that a hot key is split among tasks.
 
     groups is aggregated by the keys, so Spark would join where its aggregation lies, and can't split a shuffle that
@@ -105,7 +105,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     are skewed.
     """
     further = F.xxhash64(*keys)
-    return rows.withColumn("_further", further).join(groups.withColumn("_further", further), [*keys, "_further"]).drop("_further")
+    return rows.withColumn("_further", further).join(groups.withColumn("_further", further), [*keys, "_further"], how).drop("_further")
 
 
 class Words:

@@ -113,23 +113,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), b.column("nx"), b.column("ny"), pa.array(both, pa.int64())], names=["x", "y", "nx", "ny", "both"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
     """(id, component) for every end of edges(x, y) but the smallest of its component: the smallest id that can be reached.
 
+    Edges of different kinds (columns of edges) are graphs of their own, and the kinds are columns of the result.
     Large-star and small-star in turn (Kiveris et al. 2014) until every id has one edge, to an id without any;
-    each round is cut from its lineage. Neighbours are never gathered: a star is a minimum by key and a join.
+    each round is cut from its lineage. Neighbours are never gathered: a star is a minimum by key and a join
+    that Spark splits where an id has many edges.
     """
-    e = cut(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct())
+    e = cut(edges.select(*kinds, F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct())
     while True:
-        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        ends = e.select(*kinds, F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(*kinds, F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        if ends.groupBy(*kinds, "id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
+            return e.select(*kinds, F.col("u").alias("id"), F.col("v").alias("component"))
+        both = e.unionByName(e.select(*kinds, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*kinds, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = join_groups(both.where("v > u"), least, [*kinds, "u"]).select(*kinds, F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy(*kinds, "u").agg(F.min("v").alias("m"))
+        small = join_groups(large, least, [*kinds, "u"]).select(*kinds, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(small.unionByName(least.select(*kinds, "u", F.col("m").alias("v"))).distinct())
 
 
 def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -164,10 +168,15 @@ def _links_in_groups(reps: DataFrame, groups: DataFrame, of: DataFrame, sets: Da
     member = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left").withColumn("g", F.coalesce("g", "rep"))
     member = member.join(of.select(F.col("id").alias("rep"), F.col("component").alias("of")), "rep", "left").withColumn("of", F.coalesce("of", "rep"))
     parts = member.groupBy("g", "of").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    open_ = parts.groupBy("g").agg(F.max(F.struct("size", "of", "total")).alias("top"), F.sum("total").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda total: F.ceil(total / BLOCK_SHINGLES).cast("int")
-    open_ = open_.select("g", F.col("top.of").alias("largest"), blocks(F.col("total") - F.col("top.total")).alias("ls"), blocks(F.col("total")).alias("rs"))
-    member = cut(member.join(open_, "g"))
+    open_ = parts.groupBy("g").agg(
+        F.max(F.struct("size", "of", "total")).alias("top"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.count("*").alias("parts")
+    )
+    blocks = lambda size, total: F.ceil(F.greatest(size / BLOCK_MEMBERS, total / BLOCK_SHINGLES)).cast("int")
+    size, total = F.col("size"), F.col("total")
+    open_ = open_.where("parts > 1").select(
+        "g", F.col("top.of").alias("largest"), blocks(size - F.col("top.size"), total - F.col("top.total")).alias("ls"), blocks(size, total).alias("rs")
+    )
+    member = cut(join_groups(member, open_, ["g"]))
     at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     left = member.where("of <> largest").select("g", at("ls").alias("l"), each("rs").alias("r"), "rep", "of", F.lit(True).alias("left"))
@@ -248,10 +257,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     every = cut(docs.mapInArrow(_signatures(words), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     real = every.where("doc_id is not null and n > 0")
     classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-    members = classes.select("f1", "f2", "n", F.col("first.doc_id").alias("rep"))
     banded = classes.select(F.col("first.doc_id").alias("rep"), "n", F.explode("first.bands").alias("b"))
-    centres = banded.groupBy("b").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("last > c.rep")
-    live = cut(banded.join(centres.select("b", "c"), "b"))
+    centres = banded.groupBy("b").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("last > c.rep").select("b", "c")
+    live = cut(join_groups(banded, centres, ["b"]))
     loosely = F.expr(f"100 * least(nx, ny) >= {LOOSE_PERCENT} * greatest(nx, ny)")
     ids = live.select(F.col("rep").alias("_id")).distinct()
     sets = cut(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>"))
@@ -259,18 +267,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     full = star.where(loosely).distinct().join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("x_set")), "x")
     full = full.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("y_set")), "y").select("x", "y", "nx", "ny", "x_set", "y_set")
     pairs = cut(full.mapInArrow(_overlaps, "x long, y long, nx long, ny long, both long").where(f"100 * both >= {LOOSE_PERCENT} * (nx + ny - both)"))
-    links = pairs.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y")
-    of = cut(components(links))
-    groups = cut(components(pairs))
-    met = cut(_pairs_in_buckets(live, groups, sets, percent).distinct())
-    if not met.isEmpty():
-        groups = cut(components(pairs.select("x", "y").unionByName(met)))
-    more = cut(_links_in_groups(live.select("rep", "n").distinct(), groups, of, sets, percent))
-    if not more.isEmpty():
-        of = cut(components(links.unionByName(more)))
-    joined = every.drop("bands").join(members.withColumnRenamed("n", "_n"), ["f1", "f2"], "left")
-    joined = joined.join(of.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
+    groups = components(pairs)
+    met = _pairs_in_buckets(live, groups, sets, percent).distinct()
+    loose, strict = F.lit(False).alias("strict"), F.lit(True).alias("strict")
+    links = pairs.where(f"100 * both >= {percent} * (nx + ny - both)").select("x", "y", strict)
+    graphs = components(groups.select(F.col("id").alias("x"), F.col("component").alias("y"), loose).unionByName(met.select("x", "y", loose)).unionByName(links), ("strict",))
+    groups, of = (graphs.where(F.col("strict") == k).select("id", "component") for k in (False, True))
+    more = _links_in_groups(live.select("rep", "n").distinct(), groups, of, sets, percent)
+    of = components(of.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more))
+    named = classes.select(F.col("first.doc_id").alias("rep"), "f1", "f2", "n").join(of.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
+    joined = join_groups(every.drop("bands"), named, ["f1", "f2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
