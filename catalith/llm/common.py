@@ -51,6 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it new among the columns of df."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of batch with at most limit bytes of text each, or one row; a null text becomes an empty one."""
     at = batch.schema.get_field_index(column)

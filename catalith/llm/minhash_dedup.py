@@ -35,7 +35,7 @@ LOOSE_PERCENT = 50
 #: Shingles of a block in the exact comparison.
 BLOCK_SHINGLES = 1 << 18
 #: Smallest hashes of a set that the members of a bucket compare, and members of a block in that comparison.
-SKETCH, BLOCK_MEMBERS = 128, 1024
+SKETCH, BLOCK_MEMBERS = 128, 256
 _BITS = BINS.bit_length() - 1
 _FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: The bins that an empty bin asks, in order.

@@ -70,21 +70,21 @@ FROM texts LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 
 OP2 = _op2()
 
-#: Rounds as in prefix doubling, of names that two places or more share; a line keeps its line end when the text is put together.
+#: Runs that two places or more share, one line longer in each round; a line keeps its line end when the text is put together.
 OP5 = r"""
 WITH RECURSIVE parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS part FROM documents),
 split AS (SELECT doc_id, unnest(part) AS line, unnest(range(len(part))) AS nth, len(part) - 1 AS last FROM parts),
-inked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS ink FROM split),
-lines AS (SELECT doc_id, nth, line, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS pos FROM inked WHERE ink),
+inked AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words FROM split),
+lines AS (SELECT doc_id, nth, line, md5(line) AS id, n_words, row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS pos FROM inked WHERE n_words > 0),
 shared AS (
-  SELECT 1::BIGINT AS k, doc_id, pos, md5(line) AS name FROM lines QUALIFY count(*) OVER (PARTITION BY md5(line)) > 1
+  SELECT 1::BIGINT AS k, doc_id, pos, id AS name FROM lines QUALIFY count(*) OVER (PARTITION BY id) > 1
   UNION ALL
-  SELECT 2 * k AS k, doc_id, pos, md5(name || ahead) AS name FROM (
-    SELECT k, doc_id, pos, name, max(name) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN k FOLLOWING AND k FOLLOWING) AS ahead FROM shared
-  ) WHERE ahead IS NOT NULL QUALIFY count(*) OVER (PARTITION BY md5(name || ahead)) > 1
+  SELECT k + 1 AS k, shared.doc_id, shared.pos, md5(name || id) AS name
+  FROM shared JOIN lines ON lines.doc_id = shared.doc_id AND lines.pos = shared.pos + k QUALIFY count(*) OVER (PARTITION BY md5(name || id)) > 1
 ),
-later AS (SELECT doc_id, pos FROM shared WHERE k = 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) > 1),
-gone AS (SELECT DISTINCT doc_id, pos + unnest([0, 1]) AS pos FROM later),
+again AS (SELECT k, doc_id, pos FROM shared WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY k, name ORDER BY doc_id, pos) > 1),
+later AS (SELECT k, doc_id, pos FROM again JOIN lines USING (doc_id, pos) WHERE k = 2 OR n_words >= 50),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(k)) AS pos FROM later),
 runs AS (
   SELECT doc_id, count(*) AS n, max(n) AS longest, sum(n) AS removed
   FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM gone) GROUP BY doc_id, run) GROUP BY doc_id
@@ -92,7 +92,7 @@ runs AS (
 matches AS (SELECT doc_id, max(k) AS k FROM shared GROUP BY doc_id),
 left_over AS (
   SELECT doc_id, string_agg(line || CASE WHEN nth < last THEN chr(10) ELSE '' END, '' ORDER BY nth) AS rest
-  FROM inked LEFT JOIN (SELECT doc_id, nth, true AS dropped FROM lines JOIN gone USING (doc_id, pos)) USING (doc_id, nth) WHERE dropped IS NULL GROUP BY doc_id
+  FROM split LEFT JOIN (SELECT doc_id, nth, true AS dropped FROM lines JOIN gone USING (doc_id, pos)) USING (doc_id, nth) WHERE dropped IS NULL GROUP BY doc_id
 )
 SELECT doc_id, (SELECT count(*) FROM lines WHERE lines.doc_id = documents.doc_id)::BIGINT AS n_lines, coalesce(runs.removed, 0)::BIGINT AS n_removed,
   coalesce(runs.n, 0)::BIGINT AS n_runs, coalesce(runs.longest, 0)::BIGINT AS longest_run, coalesce(matches.k, 0)::BIGINT AS longest_match,

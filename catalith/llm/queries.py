@@ -33,7 +33,7 @@ def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2))
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2, min_words=50))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
