@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalith.llm.license_scan import GRAM, LOWER, MAX_SHIFT, MIN_COVER, NOTICES, PHRASES, UPPER
+from catalith.llm.license_scan import LOWER, NOTICES, PHRASES, UPPER
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
@@ -38,26 +38,36 @@ def _same(words: list[str]) -> str:
 def _op2() -> str:
     phrases = ", ".join(f"CASE WHEN {_same(p.split())} THEN '{label}' END" for label, p in PHRASES.items())
     notices = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(NOTICES))
-    gram = " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER d" for j in range(1, GRAM))])
     return rf"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 each AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts),
-placed AS (SELECT doc_id, i, {gram} AS gram, list_filter([{phrases}], lambda x: x IS NOT NULL) AS hits FROM each WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d AS gram, list_filter([{phrases}], lambda x: x IS NOT NULL) AS hits
+  FROM each WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
 hit AS (SELECT doc_id, i, unnest(hits) AS label FROM placed),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS found FROM hit GROUP BY doc_id),
 notices(notice, label, text) AS (VALUES {notices}),
-notice_words AS (SELECT notice, label, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM notices),
+marked AS (SELECT notice, label, unnest(string_split(text, ' ')) AS marked, unnest(range(len(string_split(text, ' ')))) AS i FROM notices),
+inside AS (
+  SELECT notice, label, i, trim(marked, '[]') AS word,
+    sum((marked LIKE '[%')::INT) OVER o - coalesce(sum((marked LIKE '%]')::INT) OVER before, 0) AS decides
+  FROM marked WINDOW o AS (PARTITION BY notice ORDER BY i), before AS (PARTITION BY notice ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
 notice_grams AS (
-  SELECT notice, label, i AS place, {gram} AS gram, len(string_split(text, ' ')) - {GRAM - 1} AS size
-  FROM notice_words JOIN notices USING (notice, label) WINDOW d AS (PARTITION BY notice ORDER BY i)
+  SELECT notice, label, i AS place, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram,
+    decides + lead(decides, 1) OVER o + lead(decides, 2) OVER o = 3 AS decides
+  FROM inside WINDOW o AS (PARTITION BY notice ORDER BY i)
 ),
-votes AS (SELECT doc_id, notice, label, size, place, i - place AS diagonal FROM placed JOIN notice_grams USING (gram)),
+sizes AS (SELECT notice, count(gram) AS size, count(gram) FILTER (WHERE decides) AS must FROM notice_grams GROUP BY notice),
+votes AS (SELECT doc_id, notice, label, place, decides, i - place AS diagonal FROM placed JOIN notice_grams USING (gram)),
 lines AS (SELECT DISTINCT doc_id, notice, diagonal FROM votes),
-apart AS (SELECT *, (diagonal - lag(diagonal) OVER d > {MAX_SHIFT})::INT AS new FROM lines WINDOW d AS (PARTITION BY doc_id, notice ORDER BY diagonal)),
+apart AS (SELECT *, (diagonal - lag(diagonal) OVER d > 2)::INT AS new FROM lines WINDOW d AS (PARTITION BY doc_id, notice ORDER BY diagonal)),
 merged AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY doc_id, notice ORDER BY diagonal) AS span FROM apart),
 spans AS (
   SELECT doc_id, notice, label, span, count(DISTINCT place) / any_value(size) AS cover
-  FROM votes JOIN merged USING (doc_id, notice, diagonal) GROUP BY ALL HAVING cover >= {MIN_COVER}
+  FROM votes JOIN merged USING (doc_id, notice, diagonal) JOIN sizes USING (notice)
+  GROUP BY ALL HAVING cover >= 0.6 AND count(DISTINCT place) FILTER (WHERE decides) = any_value(must)
 ),
 more AS (SELECT doc_id, list(DISTINCT label) AS found, max(cover) AS cover, count(*) AS n FROM spans GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo::BIGINT AS first_word, base.hi::BIGINT AS last_word,

@@ -16,27 +16,32 @@ def base(text):
 
 
 def notices(text):
-    """Labels and the best cover by counting votes of every notice on every diagonal of one text."""
+    """Labels and the best cover, word by word: the words of the notice that stand together in the text, on diagonals two apart at most."""
     w = WORD.findall((text or "").translate(LOWER))
     labels, best = set(), 0.0
     for label, notice in op.NOTICES:
-        t = notice.split()
-        grams = {}
-        for p in range(len(t) - op.GRAM + 1):
-            grams.setdefault(tuple(t[p : p + op.GRAM]), []).append(p)
+        t = notice.replace("[", "").replace("]", "").split()
+        marked, inside, must = notice.split(), False, set()
+        for p, x in enumerate(marked):
+            inside = inside or x[0] == "["
+            if inside:
+                must.add(p)
+            inside = inside and x[-1] != "]"
         lines = {}
-        for i in range(len(w) - op.GRAM + 1):
-            for p in grams.get(tuple(w[i : i + op.GRAM]), []):
-                lines.setdefault(i - p, set()).add(p)
+        for i in range(len(w) - 2):
+            for p in range(len(t) - 2):
+                if w[i] == t[p] and w[i + 1 : i + 3] == t[p + 1 : p + 3]:
+                    lines.setdefault(i - p, set()).add(p)
         groups, before = [], None
         for d in sorted(lines):
-            if before is None or d - before > op.MAX_SHIFT:
+            if before is None or d - before > 2:
                 groups.append(set())
             groups[-1] |= lines[d]
             before = d
         for g in groups:
-            cover = len(g) / (len(t) - op.GRAM + 1)
-            if cover >= op.MIN_COVER:
+            cover = len(g) / (len(t) - 2)
+            decided = all(p in g for p in range(len(t) - 2) if {p, p + 1, p + 2} <= must)
+            if cover >= 0.6 and decided:
                 labels.add(label)
                 best = max(best, cover)
     return labels, best
@@ -67,6 +72,37 @@ def test_cases(docs, spark, doc_rows):
     check(op.license_scan(df).collect(), rows)
 
 
+SIBLINGS = {
+    "This work is licensed under the GNU General Public License version 2": "gpl-2",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+    "this work is licensed under the GNU Lesser General Public License version 3": "lgpl-3",
+    "this work is licensed under the new GNU general public license version 3": "gpl-3",
+    "Licensed under the Apache License, Version 1.1": "apache-1.1",
+    "Licensed under the Apache License, Version 2.0": "apache-2",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+    "released under the MIT alumni scheme": "",
+    "released under the MIT license": "mit",
+    "licensed under CC BY-SA 4.0": "cc-by-sa",
+    "the general public licensed under version 3": "",
+}
+
+
+def test_siblings(spark):
+    rows = list(enumerate(SIBLINGS))
+    got = op.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == dict(enumerate(SIBLINGS.values()))
+    check(got, rows)
+
+
+def test_one_text_over_a_megabyte(spark):
+    text = "word " * 300_000 + "this work is licensed under the gnu general public license version 3"
+    got = op.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r["n_words"], r["labels"], r["n_base"]) for r in got] == [(300_012, "gpl-3", 0)]
+
+
 def test_empty(no_docs):
     assert op.license_scan(no_docs).collect() == []
 
