@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a process keeps, about 150 bytes each.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _MARK = ".,;:!?|#*$%&"

@@ -51,8 +51,8 @@ def _line_words(w: Words) -> np.ndarray:
     return count[w.end] - count[w.start] + starts_inside
 
 
-def _lines(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, pos, lines from pos to the end, id of the line before, whether the line is long, id of the line."""
+def _sequences(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, and for its lines with a word the ids and whether they are long."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,32 +60,18 @@ def _lines(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 w = Words(part.column("text"), kind=_LINE)
                 words = _line_words(w)
                 full = np.flatnonzero(words)
-                row = np.searchsorted(w.row, full, side="right") - 1
-                first, end = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
-                at, name = np.arange(len(full)), signed(w.hash[full])
-                before = pa.array(np.concatenate([name[:0], np.zeros(min(1, len(name)), np.int64), name[:-1]]), mask=at == first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(row)),
-                        pa.array((at - first).astype(np.int32)),
-                        pa.array((end - at).astype(np.int32)),
-                        before,
-                        pa.array(words[full] >= min_words),
-                        pa.array(name),
-                    ],
-                    names=["doc_id", "pos", "left", "before", "long", "name"],
-                )
+                at = pa.array(np.searchsorted(full, w.row).astype(np.int32))
+                names = pa.ListArray.from_arrays(at, pa.array(signed(w.hash[full])))
+                long = pa.ListArray.from_arrays(at, pa.array(words[full] >= min_words))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), names, long], names=["doc_id", "names", "long"])
 
     return task
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            w = Words(part.column("text"), kind=_LINE)
-            full = _line_words(w) > 0
-            names = [signed(w.hash[a:b][full[a:b]]) for a, b in zip(w.row[:-1], w.row[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.list_(pa.int64()))], names=["doc_id", "names"])
+def sequences(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """The documents as sequences of line ids: doc_id, names, long. The texts are read once."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return cut(ids.mapInArrow(_sequences(min_words), "doc_id long, names array<long>, long array<boolean>"))
 
 
 def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -170,16 +156,23 @@ def _round(moving: DataFrame, rest: DataFrame | None, k: int) -> DataFrame:
     )
 
 
-def suffix_array(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def suffix_array(lines: DataFrame) -> DataFrame:
     """doc_id, pos, left, before, long, rank, low of each suffix whose first line another suffix begins with.
 
     rank: how many suffixes of the corpus are smaller; equal ones share it. low: the power of two of lines that the
-    suffix shares with the one before it in the array, at least, where their ranks differ.
+    suffix shares with the one before it in the array, at least, where their ranks differ. lines: of sequences.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    lines = ids.mapInArrow(_lines(min_words), "doc_id long, pos int, left int, before long, long boolean, name long")
-    k, found = 0, []
-    moving, rest = lines.select("doc_id", "pos", "left", "before", "long", F.lit(0).cast("long").alias("rank"), F.lit(0).alias("low"), F.col("name").alias("next")), None
+    k, found, rest = 0, [], None
+    moving = lines.select("doc_id", "names", F.posexplode(F.arrays_zip("names", "long")).alias("pos", "line")).select(
+        "doc_id",
+        "pos",
+        (F.size("names") - F.col("pos")).alias("left"),
+        F.get("names", F.col("pos") - 1).alias("before"),
+        F.col("line.long").alias("long"),
+        F.lit(0).cast("long").alias("rank"),
+        F.lit(0).alias("low"),
+        F.col("line.names").alias("next"),
+    )
     while True:
         state = _round(moving, rest, k)
         found.append(state.where("moved and shared" if not k else "moved"))
@@ -255,14 +248,13 @@ def neighbours(array: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     )
 
 
-def common_prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, pos, p_doc, p_pos and lcp, the lines that both begin with, for the neighbours rows."""
+def common_prefixes(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, pos, p_doc, p_pos and lcp, the lines that both begin with, for the neighbours rows; lines: of sequences."""
     tie = F.coalesce(F.col("rank") == F.col("p_rank"), F.lit(False))
     goes_on = F.coalesce(F.col("before") == F.col("p_before"), F.lit(False))
     known = F.when(tie, F.col("left")).when(F.col("low") < 2, F.col("low"))
     rows = rows.select("doc_id", "pos", "p_doc", "p_pos", "low", known.alias("known"), goes_on.alias("goes_on"))
-    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_sequences, "doc_id long, names array<long>")
-    names = names.groupBy("doc_id").agg(F.max("names").alias("names"))
+    names = lines.groupBy("doc_id").agg(F.max("names").alias("names"))
     part = lambda at: F.slice("names", F.col(at) + F.col("low") + 1, F.col("low"))
     asked = rows.where("known is null and not goes_on").select("doc_id", "pos", "low", "p_doc", "p_pos")
     asked = asked.join(names, "doc_id").withColumn("here", part("pos")).drop("names")
@@ -323,13 +315,14 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> Data
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     depths = (1, min_lines) if min_lines > 1 else (1,)
-    rows = cut(neighbours(suffix_array(docs, min_words), depths))
+    lines = sequences(docs, min_words)
+    rows = cut(neighbours(suffix_array(lines), depths))
     inside = F.array_compact(F.array(*(F.when((F.col("left") >= d) & ((F.lit(d) == min_lines) | F.col("long")), F.struct(F.lit(d).alias("n"), F.col(f"in_{d}").alias("interval"))) for d in depths)))
     copies = rows.select("doc_id", "pos", F.explode(inside).alias("_")).select("doc_id", "pos", "_.n", "_.interval")
     place = F.struct("doc_id", "pos")
     groups = copies.groupBy("n", "interval").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = join_groups(copies, groups, ["n", "interval"]).where(place > F.col("first"))
-    pairs = common_prefixes(docs, rows)
+    pairs = common_prefixes(lines, rows)
     longest = pairs.select("doc_id", "lcp").unionByName(pairs.where("p_doc is not null").select(F.col("p_doc").alias("doc_id"), "lcp"))
     marks = longest.select("doc_id", "lcp", F.lit(None).cast("struct<pos: int, n: int>").alias("mark")).unionByName(later.select("doc_id", F.lit(None).cast("int").alias("lcp"), F.struct("pos", "n").alias("mark")))
     of, at, match = (free_name(docs, x) for x in ("_of", "_at", "_longest_match"))

@@ -32,7 +32,7 @@ def _pieces(tokenizer: str, spaced: bool, end_id: int, longest: int, with_ids: b
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaced).encode
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 pieces, tokens = [], []
                 for ids in encode(part.column("text").to_pylist()):
                     view, at, row = memoryview(ids + end), 0, []

@@ -165,7 +165,7 @@ def _task(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 texts = part.column("text").to_pylist()
                 ids = coder.encode(texts)
                 back = [coder.decode(x) for x in ids]

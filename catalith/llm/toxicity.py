@@ -4,14 +4,18 @@ A token's score is its log-odds between toxic and clean labelled documents, unde
 proportion to its share of both (Monroe, Colaresi, Quinn 2008), drawn towards 0 by its standard error; a token
 without enough evidence of its own has the score of its longest beginning (HEADS, in bytes) with enough, and those
 without that share the small negative score that is left for them. All maximal scoring segments of a
-text are found in linear time (Ruzzo, Tompa 1999). The best one, of score S in n tokens, gives the normalized
+text are found in linear time (Ruzzo, Tompa 1999). A segment of score S in a text of n tokens has the normalized
 score lambda * S - ln(K * n) (Karlin, Altschul 1990): lambda solves sum p * exp(lambda * s) = 1 over clean
 tokens, K is set by the clean documents. A segment is significant at an expected number of chance hits of at
-most MAX_EXPECTED. A logistic curve over the normalized score gives the probability of the label.
+most MAX_EXPECTED. The r best significant segments of a text, whose normalized scores sum to T, occur by chance
+with probability exp(-T) * T ** (r - 1) / (r! * (r - 1)!) (Karlin, Altschul 1993); the least probable choice of r
+is the evidence of the text, or its best segment alone where fewer than two are significant. A logistic
+curve over the evidence gives the probability of the label.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import Words, signed, slices
+from catalith.llm.common import Words, cut, free_name, signed, slices
 
 #: Labelled rows that the classifier is fitted on, chosen by a hash; bounds the broadcast and the vocabulary.
 SAMPLE_ROWS = 20_000
@@ -115,6 +119,28 @@ def _best(scores: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def significant(scores: np.ndarray, row: np.ndarray, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """The evidence of each row, and its significant segments (start, end, score), left to right."""
+    n, best = np.diff(row), _best(scores, row)
+    evidence = model.normalized(best, n)
+    found: list[list[tuple[int, int, float]]] = [[] for _ in n]
+    least = -math.log(MAX_EXPECTED)
+    for i in np.flatnonzero(evidence >= least):  # no segment is better than the best
+        all_ = [(a, b, x, float(model.normalized(np.float64(x), n[i]))) for a, b, x in maximal_segments(scores[row[i] : row[i + 1]])]
+        found[i] = [(a, b, x) for a, b, x, s in all_ if s >= least]
+        evidence[i] = max(evidence[i], sum_evidence([s for *_, s in all_ if s >= least]))
+    return evidence, found
+
+
+def sum_evidence(normalized: list[float]) -> float:
+    """The largest -ln(probability) that the r best of the normalized scores reach their sum by chance, over r."""
+    total, most = 0.0, -math.inf
+    for r, s in enumerate(sorted(normalized, reverse=True), 1):
+        total += s
+        most = max(most, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+    return most
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each token or beginning: occurrences (MAX_IN_DOC in a document at most) and documents, clean and toxic."""
     for batch in batches:
@@ -130,7 +156,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *map(pa.array, sums)], names=["token", "clean", "toxic", "clean_docs", "toxic_docs"])
 
 
-def _evidence(tokens: np.ndarray, scores: np.ndarray, rest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bests(tokens: np.ndarray, scores: np.ndarray, rest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -141,6 +167,17 @@ def _evidence(tokens: np.ndarray, scores: np.ndarray, rest: float) -> Callable[[
     return task
 
 
+def _evidence(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                w = Words(part.column("text"), lower=True, kind=_KIND)
+                evidence, _ = significant(token_scores(w, model.tokens, model.scores, model.rest), w.row, model)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(evidence)], names=["toxic", "evidence"])
+
+    return task
+
+
 def _shares(tokens: np.ndarray, scores: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How many tokens have each score; 0 stands for those without one."""
 
@@ -193,9 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.where("_of is not null and toxic in (0, 1)").where("crc32(cast(_of as string)) % 3 <> 1").groupBy("_of").agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("_of"), "_of").limit(SAMPLE_ROWS))  # 12 bytes for each of SAMPLE_ROWS
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id") == F.col("_of")).select("text", "toxic")
+    sample = cut(sample)  # the documents are read once to fit
     counted = sample.mapInArrow(_count, "token long, clean long, toxic long, clean_docs long, toxic_docs long")
     counted = counted.groupBy("token").agg(*(F.sum(k).alias(k) for k in ("clean", "toxic", "clean_docs", "toxic_docs")))
-    size = sample.mapInArrow(_evidence(np.zeros(0, np.uint64), np.zeros(0), 0.0), "toxic int, n long, best double").groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    size = sample.mapInArrow(_bests(np.zeros(0, np.uint64), np.zeros(0), 0.0), "toxic int, n long, best double").groupBy("toxic").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     sizes = {r["toxic"]: r for r in size.collect()}
     n_clean, n_toxic = (float(sizes[k]["n"]) if k in sizes else 0.0 for k in (0, 1))
     if not n_clean or not n_toxic:
@@ -218,11 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rest = min(-1e-3, float(np.log(max(1.0, part[1]) / n_toxic) - np.log(max(1.0, part[0]) / n_clean)))
     among = marks[marks["toxic"] == 0]
     decay = _decay(among["n"].to_numpy(float) / n_clean, np.where(among["score"] == 0, rest, among["score"]))
-    seen = sample.mapInArrow(_evidence(token, scores, rest), "toxic int, n long, best double").toPandas()  # a row for each of SAMPLE_ROWS
+    seen = sample.mapInArrow(_bests(token, scores, rest), "toxic int, n long, best double").toPandas()  # a row for each of SAMPLE_ROWS
     y, n, best = seen["toxic"].to_numpy(float), np.maximum(seen["n"].to_numpy(float), 1), seen["best"].to_numpy()
     log_k = float(np.median((decay * best - np.log(n))[y == 0])) + float(np.log(np.log(2)))
     model = Model(token, scores, rest, decay, log_k, 0.0, 0.0)
-    slope, bias = _logistic(model.normalized(best, n), y)
+    seen = sample.mapInArrow(_evidence(model), "toxic int, evidence double").toPandas()
+    slope, bias = _logistic(seen["evidence"].to_numpy(), seen["toxic"].to_numpy(float))
     return Model(token, scores, rest, decay, log_k, slope, bias)
 
 
@@ -233,14 +272,9 @@ def _score(model: Model, passages: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"), lower=True, kind=_KIND)
-                scores, n = token_scores(w, model.tokens, model.scores, model.rest), np.diff(w.row)
-                p = model.probability(model.normalized(_best(scores, w.row), n))
-                least = (np.log(np.maximum(n, 1)) + model.log_k - np.log(MAX_EXPECTED)) / model.decay
-                reach = np.bincount(np.repeat(np.arange(len(n)), n)[scores > 0], scores[scores > 0], len(n)) >= least
-                found = []
-                for i, (a, b) in enumerate(zip(w.row[:-1], w.row[1:], strict=True)):
-                    all_ = maximal_segments(scores[a:b]) if b > a and reach[i] else []
-                    found.append([{"start": s, "end": e, "score": x} for s, e, x in all_ if x >= least[i]])
+                evidence, all_ = significant(token_scores(w, model.tokens, model.scores, model.rest), w.row, model)
+                p = model.probability(evidence)
+                found = [[{"start": a, "end": b, "score": x} for a, b, x in segments] for segments in all_]
                 cols = [part.column("doc_id"), pa.array(p), pa.array([len(x) for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(found, kind)] * passages)], names=["doc_id", "score", "n_passages", *(["passages"] * passages)])
 
@@ -253,7 +287,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, passages: bool = False) -
     score: the probability of the toxic label; predicted: 1 if it is THRESHOLD or more. Only the text is
     scored. Null or empty text: the score of a text without toxic tokens, no passages. Null doc_id: scored,
     not held out, never learned from. Repeated rows: each is scored. A doc_id labelled twice counts as
-    toxic if either is. Other columns are not read. An empty table gives an empty result.
+    toxic if either is. A text of any length is scanned whole; of segments that tie, all count. Other columns, whatever
+    their names, are not read. An empty table gives an empty result.
     """
     model = fit(docs, labels)
     spans = ", passages array<struct<start: int, end: int, score: double>>" if passages else ""
@@ -263,16 +298,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, passages: bool = False) -
 
 
 def mark_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with _toxic: whether score_toxicity predicts 1. All rows and columns pass, as in score_toxicity."""
-    model, names = fit(docs, labels), docs.columns
+    """docs with one more column, _toxic: whether score_toxicity predicts 1. All rows and columns pass, as in score_toxicity.
+
+    Where docs has a column of this name, the new one has a further underscore before it; it is the last column.
+    """
+    model, names, mark = fit(docs, labels), docs.columns, free_name(docs, "_toxic")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0)]
             for part in slices(batch):
                 w = Words(part.column("text"), lower=True, kind=_KIND)
-                best = _best(token_scores(w, model.tokens, model.scores, model.rest), w.row)
-                found.append(model.probability(model.normalized(best, np.diff(w.row))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(np.concatenate(found) >= THRESHOLD)], names=[*names, "_toxic"])
+                evidence, _ = significant(token_scores(w, model.tokens, model.scores, model.rest), w.row, model)
+                found.append(model.probability(evidence))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) >= THRESHOLD)], names=[*names, mark])
 
-    return docs.mapInArrow(task, docs.withColumn("_toxic", F.lit(True)).schema)
+    return docs.mapInArrow(task, docs.withColumn(mark, F.lit(True)).schema)

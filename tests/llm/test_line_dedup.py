@@ -57,7 +57,8 @@ def test_suffix_order_and_common_prefixes(spark, seed):
     docs = {i: [r.choice("abcd"[: 2 + seed]) for _ in range(r.randint(0, 9))] for i in range(12)}
     docs |= {50: docs[3] + docs[4], 51: docs[3] + docs[4], 52: ["q", "a", "a"], 53: [f"l{i}" for i in range(70)], 54: ["b", *(f"l{i}" for i in range(70)), "a"]}
     df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string").repartition(5)
-    array = op.neighbours(op.suffix_array(df), (1, 2)).orderBy("rank", "doc_id", "pos").collect()
+    lines = op.sequences(df)
+    array = op.neighbours(op.suffix_array(lines), (1, 2)).orderBy("rank", "doc_id", "pos").collect()
     # the alphabet's order is that of the hashes, so the order of lines is read from the array itself
     order = {}
     for row in array:
@@ -69,7 +70,7 @@ def test_suffix_order_and_common_prefixes(spark, seed):
     real = [(row["doc_id"], row["pos"]) for row in array]
     assert [x for x in real if x[0] != 52] == [(i, p) for _, i, p in want if i != 52]  # q has no place in order
     assert [(row["p_doc"], row["p_pos"]) for row in array] == [(None, None), *real[:-1]]
-    lcp = {(x["doc_id"], x["pos"]): x["lcp"] for x in op.common_prefixes(df, op.neighbours(op.suffix_array(df), (1, 2))).collect()}
+    lcp = {(x["doc_id"], x["pos"]): x["lcp"] for x in op.common_prefixes(lines, op.neighbours(op.suffix_array(lines), (1, 2))).collect()}
     for (i, p), (j, q) in zip(real[1:], real, strict=False):
         assert lcp[i, p] == prefix(docs[i][p:], docs[j][q:])
     for d in (1, 2):
