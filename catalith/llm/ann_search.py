@@ -2,13 +2,16 @@
 
 Every vector is projected on LINES random lines, and each line's projections are sorted. A query opens a window
 around its own projection on every line, and virtual rehashing widens all windows by one factor at a time
-(Gan et al. 2012; Huang et al. 2015). A vector in the windows of COLLISIONS of the lines is a candidate and its
-distance is computed; a vector's count grows only as windows reach it, never anew. A query ends when the
-candidates are MIN_SHARE of the block's vectors (and more than k), or all.
-
-Vectors are dealt by a hash of their id into blocks, and queries into blocks of queries; each pair of blocks is
-one task's group, of bounded size whatever the data, and gives each query's k best, so the last step ranks
-k rows for each query and block.
+(Gan et al. 2012; Huang et al. 2015). A vector in the windows of COLLISIONS of the lines is a candidate, and the
+distance of each candidate is computed once. A query ends when it has k candidates and its windows are COVER times as
+wide, to each side, as the k-th of their distances: a vector nearer than that lies in a window with a probability of
+81 % for each line, so it is no candidate with one of 2 %, in any number of dimensions and at any size; or
+when all vectors are candidates.
+
+Vectors are dealt by a hash of their id into blocks, each with sorted lines of its own, and every query visits every
+block, as no block can be left out without knowing what is in it; so the work grows as vectors times queries, divided by
+what the windows leave out. A group of a block's vectors and up to QUERIES_IN_BLOCK queries is one task's,
+of bounded size whatever the data; it gives each query's k best, so the last step ranks k rows for each query and block.
 """
 
 from __future__ import annotations
@@ -23,52 +26,58 @@ from pyspark.sql import functions as F
 
 LINES = 64
 COLLISIONS = 0.7
-#: First half-width of a window and its growth, in units of the spread of the projections.
-FIRST, GROWTH = 0.3, 1.25
-MIN_SHARE = 0.15
-VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 1024
+#: First half-width of a window in units of the spread of the projections, its growth, and where it ends in units of the k-th distance.
+FIRST, GROWTH, COVER = 0.35, 1.4, 1.3
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 16384
+#: Queries whose collisions are counted together.
+BATCH = 64
 SEED = 20_240
 
 
 class SortedLines:
-    """The index of one block: its vectors, and their projections in order on every line."""
+    """The index of one block: its vectors, their projections in order on every line, and each vector's place there."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], LINES))
-        projected = self.vectors @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        projected = (self.vectors @ self.lines).T
+        by_line = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, by_line, axis=1)
+        self.place = np.empty(by_line.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, by_line, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
         self.spread = float(projected.std()) or 1.0
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest candidates that aren't own, nearest first, ties to smaller ids."""
-        n, at = len(self.ids), query @ self.lines
-        need, enough = math.ceil(COLLISIONS * LINES), max(k + 1, math.ceil(MIN_SHARE * n))
-        count = np.zeros(n, np.int32)
-        low = high = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
-        distance, known = np.full(n, np.inf), np.zeros(n, bool)
-        half = FIRST * self.spread
-        while True:
-            wider_low = np.array([np.searchsorted(s, x - half) for s, x in zip(self.sorted, at, strict=True)])
-            wider_high = np.array([np.searchsorted(s, x + half, side="right") for s, x in zip(self.sorted, at, strict=True)])
-            wider_low, wider_high = np.minimum(wider_low, low), np.maximum(wider_high, high)
-            reached = [o[a:b] for o, a, b in zip(self.order, wider_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, wider_high, strict=True)]
-            count += np.bincount(np.concatenate(reached), minlength=n).astype(np.int32)
-            low, high = wider_low, wider_high
-            new = np.flatnonzero((count >= need) & ~known)
-            known[new] = True
-            distance[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(1))
-            distance[new[self.ids[new] == own]] = np.inf
-            if known.all():
-                break
-            if known.sum() >= enough:
-                break
-            half *= GROWTH
-        found = np.flatnonzero(np.isfinite(distance))
-        best = found[np.lexsort((self.ids[found], distance[found]))][:k]
-        return self.ids[best], distance[best]
+        self.verified = 0
+
+    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
+        """For each query (its projections at) and vector, on how many lines the vector is in the window."""
+        count = np.zeros((len(at), len(self.ids)), np.uint8)
+        for j, (line, place) in enumerate(zip(self.sorted, self.place, strict=True)):
+            low = np.searchsorted(line, at[:, j] - half).astype(place.dtype)
+            high = np.searchsorted(line, at[:, j] + half, side="right").astype(place.dtype)
+            count += (place - low[:, None]) < (high - low)[:, None]  # unsigned: a place before low is far beyond
+        return count
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and distances of the k nearest candidates that aren't its own, nearest first, ties to smaller ids."""
+        at, need = queries @ self.lines, math.ceil(COLLISIONS * LINES)
+        known = np.zeros((len(queries), len(self.ids)), bool)
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        active, half = np.arange(len(queries)), FIRST * self.spread
+        while len(active):
+            new = (self.collisions(at[active], half) >= need) & ~known[active]
+            known[active] |= new
+            for i, fresh in zip(active, new, strict=True):
+                found = np.flatnonzero(fresh)
+                self.verified += len(found)
+                found = found[self.ids[found] != own[i]]
+                distance = np.sqrt(((self.vectors[found] - queries[i]) ** 2).sum(1))
+                found, distance = np.concatenate([best[i][0], found]), np.concatenate([best[i][1], distance])
+                nearest = np.lexsort((self.ids[found], distance))[:k]
+                best[i] = found[nearest], distance[nearest]
+            ended = [known[i].all() or (len(best[i][0]) == k and half >= COVER * best[i][1][-1]) for i in active]
+            active, half = active[~np.array(ended)], half * GROWTH
+        return [(self.ids[found], distance) for found, distance in best]
 
 
 def _search_task(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -76,9 +85,10 @@ def _search_task(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if vectors.num_rows and queries.num_rows:
             index = SortedLines(*_matrix(vectors))
-            for own, q in zip(*_matrix(queries), strict=True):
-                found, distance = index.search(q, int(own), k)
-                out.append((np.full(len(found), own), found, distance))
+            ids, asked = _matrix(queries)
+            for i in range(0, len(ids), BATCH):
+                for own, (found, distance) in zip(ids[i : i + BATCH], index.search(asked[i : i + BATCH], ids[i : i + BATCH], k), strict=True):
+                    out.append((np.full(len(found), own), found, distance))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64))]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
 
@@ -102,8 +112,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both have vec_id and embedding. score: the Euclidean distance of the vectors as given, in double. Vectors that are null,
     zero or hold a null or non-finite component take no part, nor do rows with a null id; vectors of another
-    dimension than the query's are no candidates. With fewer than k candidates, all are returned. Repeated rows of an
-    id: one of them, the smallest as an array. Other columns are not read. An empty table gives an empty result.
+    dimension than the query's are no candidates. With fewer than k candidates, all are returned. Equal distances: the
+    smaller vec_id is nearer. Repeated rows of an id: one of them, the smallest as an array. Other columns,
+    whatever their names, are not read. An empty table gives an empty result.
     """
     real = [
         t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))

@@ -7,15 +7,16 @@ All hashes are fixed functions of the bytes: a task that runs again gives the sa
 
 from __future__ import annotations
 
-import functools
-import tempfile
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.sources.stores import work_folder
+
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
 SLICE_BYTES = 1 << 18
 
@@ -33,22 +34,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df once to the cluster's checkpoint folder; what follows reads it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the session is local (tests, a laptop) is a
     temporary one made. The files are reliable: they outlive any executor.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    return work_folder(spark)
+
+
+def freed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task, after which its process gives back the memory that it no longer uses; Spark keeps the process for further tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -82,16 +92,19 @@ def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[int(ends[0]) : int(ends[-1])], (ends - ends[0]).astype(np.int64)
 
 
-@functools.lru_cache(4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    back = pow(base, -1, 1 << 64)
-    one = np.ones(1, np.uint64)
-    return tuple(np.concatenate([one, np.cumprod(np.full(size, b, np.uint64))]) for b in (base, back))
+_KEPT_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2**64, size at least."""
-    return _powers(base, 1 << max(16, int(size).bit_length()))
+    """Powers of base and of its inverse modulo 2**64, size at least; a process keeps those for a slice."""
+    kept = _KEPT_POWERS.get(base)
+    if kept is None or len(kept[0]) < size:
+        one = np.ones(1, np.uint64)
+        n = max(1 << 16, int(size) + 1)
+        kept = tuple(np.concatenate([one, np.cumprod(np.full(n, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+        if n <= 2 * SLICE_BYTES:
+            _KEPT_POWERS[base] = kept
+    return kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:

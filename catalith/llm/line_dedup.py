@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ASCII_SPACE, Words, cut, free_name, join_groups, signed, slices
+from catalith.llm.common import ASCII_SPACE, Words, cut, free_name, freed, join_groups, signed, slices
 
 _LINE = np.ones(256, np.uint8)
 _LINE[10] = 0
@@ -71,7 +71,7 @@ def _sequences(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def sequences(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents as sequences of line ids: doc_id, names, long. The texts are read once."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return cut(ids.mapInArrow(_sequences(min_words), "doc_id long, names array<long>, long array<boolean>"))
+    return cut(ids.mapInArrow(freed(_sequences(min_words)), "doc_id long, names array<long>, long array<boolean>"))
 
 
 def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -331,7 +331,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> Data
     out = out.withColumn(match, F.coalesce(match, F.lit(0).cast("long")))
     names, added = [*docs.columns, match], [free_name(docs, k) for k in ("_n_lines", "_n_removed_lines", "_n_runs", "_longest_run")]
     schema = out.drop(at).select("*", *(F.lit(0).cast("long").alias(k) for k in added)).schema
-    return out.select(*names, at).mapInArrow(_cutter(names, added, at), schema)
+    return out.select(*names, at).mapInArrow(freed(_cutter(names, added, at)), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import Words, cut, join_groups, mix, signed, slices
+from catalith.llm.common import Words, cut, freed, join_groups, mix, signed, slices
 
 BINS, BANDS = 128, 32
 #: Similarity to a centre that makes a loose group.
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     links where one of them does. Other columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = cut(docs.mapInArrow(_signatures(words), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    every = cut(docs.mapInArrow(freed(_signatures(words)), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     real = every.where("doc_id is not null and n > 0")
     classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("first"))
     banded = classes.select(F.col("first.doc_id").alias("rep"), "n", F.explode("first.bands").alias("b"))
@@ -262,11 +262,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     live = cut(join_groups(banded, centres, ["b"]))
     loosely = F.expr(f"100 * least(nx, ny) >= {LOOSE_PERCENT} * greatest(nx, ny)")
     ids = live.select(F.col("rep").alias("_id")).distinct()
-    sets = cut(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").mapInArrow(_sets(words), "doc_id long, set array<long>"))
+    sets = cut(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").mapInArrow(freed(_sets(words)), "doc_id long, set array<long>"))
     star = live.where("rep <> c.rep").select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c.rep").alias("y"), F.col("c.n").alias("ny"))
     full = star.where(loosely).distinct().join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("x_set")), "x")
     full = full.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("y_set")), "y").select("x", "y", "nx", "ny", "x_set", "y_set")
-    pairs = cut(full.mapInArrow(_overlaps, "x long, y long, nx long, ny long, both long").where(f"100 * both >= {LOOSE_PERCENT} * (nx + ny - both)"))
+    pairs = cut(full.mapInArrow(freed(_overlaps), "x long, y long, nx long, ny long, both long").where(f"100 * both >= {LOOSE_PERCENT} * (nx + ny - both)"))
     groups = components(pairs)
     met = _pairs_in_buckets(live, groups, sets, percent).distinct()
     loose, strict = F.lit(False).alias("strict"), F.lit(True).alias("strict")

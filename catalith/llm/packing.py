@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.bpe import encoder
-from catalith.llm.common import cut, prefix_sums, slices
+from catalith.llm.common import cut, freed, prefix_sums, slices
 
 
 def lengths(n: int, longest: int) -> list[int]:
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, longest: in
     """
     ids = ", ids array<int>" if with_ids else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pieces(tokenizer, spaced, end_id, longest, with_ids),
+        freed(_pieces(tokenizer, spaced, end_id, longest, with_ids)),
         f"doc_id long, doc_tokens long, pieces array<struct<length: long, ids_crc32: long{ids}>>",
     )
     sizes = [1 << j for j in range(longest.bit_length() - 1, -1, -1)]

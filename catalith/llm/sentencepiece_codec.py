@@ -5,11 +5,12 @@ crosses these cuts, which is checked when the model is read. The distinct words
 form a trie in depth-first order; the forward state of every prefix is kept on a stack as long as the next word
 still begins with it.
 
-The public model is of the BPE kind. Maximizing a sum of scores, as Viterbi does for unigram models, would
-not give its segmentation. The forward recurrence is therefore the one of BPE: the segmentation of a prefix
+For a model of the unigram kind the state of a prefix is Viterbi's: the largest sum of scores of its segmentations, and
+the piece that ends the best one (Viterbi). The public model is of the BPE kind, and the largest sum would not
+give its segmentation: the forward recurrence is therefore the one of BPE, where the segmentation of a prefix
 ends with exactly one piece, the one that is compatible with the last piece of the prefix before it
-(two pieces are compatible if merging their joined characters gives just these two). It has the same
-shape, one state for each prefix that depends only on shorter prefixes, and gives the library's ids.
+(two pieces are compatible if merging their joined characters gives just these two; Codec). It has the same
+shape, one state for each prefix that depends only on shorter prefixes. Both give the library's ids.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ CACHE_WORDS, CACHE_PAIRS = 200_000, 1_000_000
 
 
 class Codec:
-    """Encodes and decodes with the pieces of a SentencePiece BPE model with byte fallback."""
+    """Encodes and decodes with the pieces of a SentencePiece BPE model with byte fallback, whose texts are not normalized."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -58,6 +59,10 @@ class Codec:
         if any(re.search(rf"[^{MARK}]{MARK}|.\n|\n.", p, re.DOTALL) for p in self.id):
             raise ValueError("a piece crosses the end of a word")
         self.words = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+        self.kept: dict[str, bytes] = {}
+        self.prepare()
+
+    def prepare(self) -> None:
         self.pairs: dict[tuple[str, str], bool] = {}
         # Pieces that merging reaches, with the two that the last merge joins; lengths by the last two characters.
         self.halves: dict[str, tuple[str, str]] = {}
@@ -67,10 +72,9 @@ class Codec:
                 self.halves[p] = steps[-1]
                 lengths.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
-# Pieces that merge no later than one of their halves; near them the order of merges isn't that of the ranks.
+        # Pieces that merge no later than one of their halves; near them the order of merges isn't that of the ranks.
         self.early = {p for p, h in self.halves.items() if any(len(x) > 1 and self.rank[x] >= self.rank[p] for x in h)}
         self.spines: tuple[dict[str, list], dict[str, list]] = ({}, {})
-        self.kept: dict[str, bytes] = {}
 
     def merges(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
         """The pieces of a short text, by merging the best adjacent pair, leftmost first, while there is one; and the merges."""
@@ -131,17 +135,20 @@ class Codec:
                         piece = candidate
                         break
                 last.append(piece)
-            before, end, parts = word, size, []
-            while end:
-                parts.append(last[end])
-                end -= len(last[end])
-            ids: list[int] = []
-            for p in reversed(parts):
-                i = self.id.get(p)
-                ids += [i] if i is not None else [self.byte[x] for x in p.encode()]
-            out[word] = array("I", ids).tobytes()
+            before, out[word] = word, self.ids_of(last, size)
         return out
 
+    def ids_of(self, last: list[str], end: int) -> bytes:
+        """The ids of the first end characters, from the pieces that end the prefixes; what is no piece is spelled in bytes."""
+        parts, ids = [], []
+        while end:
+            parts.append(last[end])
+            end -= len(last[end])
+        for p in reversed(parts):
+            i = self.id.get(p)
+            ids += [i] if i is not None else [self.byte[x] for x in p.encode()]
+        return array("I", ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.words.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         new = self.encode_words(list(set(chain.from_iterable(cut)).difference(self.kept)))
@@ -155,10 +162,57 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").removeprefix(" ")
 
 
+class Viterbi(Codec):
+    """The same for a unigram model: the segmentation of the largest sum of scores, the longer last piece where sums are equal.
+
+    The library adds in single precision, so of equal sums, those of the same pieces in another order, it may take another.
+    """
+
+    def prepare(self) -> None:
+        self.score = {p: -r for p, r in self.rank.items()}
+        #: The library's penalty of a character that is no piece.
+        self.unknown = min(self.score.values(), default=0.0) - 10.0
+        lengths: dict[str, set[int]] = {}
+        for p in self.score:
+            lengths.setdefault(p[-1], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        none: tuple[int, ...] = ()
+        score, lengths, unknown = self.score, self.lengths, self.unknown
+        before, last, best = "", [""], [0.0]  # for each prefix of the word, the piece that ends its best segmentation, and its sum
+        for word in sorted(words):
+            size, shared = len(word), 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], best[shared + 1 :]
+            for end in range(shared + 1, size + 1):
+                piece, top = word[end - 1], -np.inf
+                for n in lengths.get(piece, none):
+                    if n <= end and (value := score.get(word[end - n : end])) is not None and best[end - n] + value > top:
+                        piece, top = word[end - n : end], best[end - n] + value
+                if word[end - 1] not in score and best[end - 1] + unknown > top:
+                    piece, top = word[end - 1], best[end - 1] + unknown
+                last.append(piece)
+                best.append(top)
+            before, out[word] = word, self.ids_of(last, size)
+        return out
+
+
 @functools.lru_cache(2)
 def codec(path: str) -> Codec:
-    """One for each process."""
-    return Codec(path)
+    """The codec of the model's kind, one for each process; ValueError for another kind, or a model that normalizes texts."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as file:
+        model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+    kinds, rules = {1: Viterbi, 2: Codec}, model.normalizer_spec
+    if model.trainer_spec.model_type not in kinds or rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces:
+        raise ValueError("the model is neither unigram nor BPE, or it normalizes texts")
+    return kinds[model.trainer_spec.model_type](path)
 
 
 def _task(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -187,8 +241,9 @@ def sentencepiece(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
     """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32, round_trip; on demand ids and decoded.
 
     decoded is made from the ids; round_trip: it equals the text (a mark in a text reads as a space). Null or
-    empty text: no tokens. Null doc_id and repeated rows are encoded like any other. Other columns are not
-    read. An empty table gives an empty result.
+    empty text: no tokens. Null doc_id and repeated rows are encoded like any other. A text of any length is
+    encoded whole; of segmentations that tie, one (see Viterbi). Other columns, whatever their names, are not read. An empty
+    table gives an empty result.
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.bpe import encoder
-from catalith.llm.common import prefix_sums, shared_folder, slices
+from catalith.llm.common import freed, prefix_sums, shared_folder, slices
 
 INDEX = "doc_id long, part int, at long, file string, offset long, width int, n_tokens long"
 READ = "doc_id long, part int, at long, n_tokens long, ids_crc32 long"
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int
     store, path = _file_system(folder)
     store.create_dir(path, recursive=True)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_writer(folder, tokenizer, spaced, end_id), INDEX).write.parquet(f"{folder}/index")
+    ordered.mapInArrow(freed(_writer(folder, tokenizer, spaced, end_id)), INDEX).write.parquet(f"{folder}/index")
     return folder
 
 

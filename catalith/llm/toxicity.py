@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import Words, cut, free_name, signed, slices
+from catalith.llm.common import Words, cut, free_name, freed, signed, slices
 
 #: Labelled rows that the classifier is fitted on, chosen by a hash; bounds the broadcast and the vocabulary.
 SAMPLE_ROWS = 20_000
@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, passages: bool = False) -
     """
     model = fit(docs, labels)
     spans = ", passages array<struct<start: int, end: int, score: double>>" if passages else ""
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, passages), f"doc_id long, score double, n_passages long{spans}")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(_score(model, passages)), f"doc_id long, score double, n_passages long{spans}")
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_passages", *(["passages"] * passages))
 
@@ -313,4 +313,4 @@ def mark_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found.append(model.probability(evidence))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) >= THRESHOLD)], names=[*names, mark])
 
-    return docs.mapInArrow(task, docs.withColumn(mark, F.lit(True)).schema)
+    return docs.mapInArrow(freed(task), docs.withColumn(mark, F.lit(True)).schema)
