@@ -21,6 +21,11 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def keyword(text: Column) -> Column:
+    """The text as it is, one term; null and empty texts have none."""
+    return F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
 def stem(word: Column) -> Column:
     """English plural endings off (the S stemmer: Harman 1991)."""
     return (
@@ -73,8 +78,3 @@ def deletions(word: Column, edits: int) -> Column:
     for _ in range(edits):
         out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
     return out
-
-
-def auto_edits(word: Column) -> Column:
-    """The edits allowed by default: none up to 2 characters, one up to 5, two beyond."""
-    return F.when(F.length(word) < 3, 0).when(F.length(word) < 6, 1).otherwise(2)

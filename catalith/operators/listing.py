@@ -95,21 +95,42 @@ def camel_case(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: c.split("_")[0] + "".join(x.title() for x in c.split("_")[1:]) for c in df.columns if "_" in c.strip("_")})
 
 
-def typed_rows(kind: str, listing: DataFrame) -> DataFrame:
-    """Listings as typed rows of one schema: bad integers 0, bad dates null, keywords always a list."""
+def typed_rows(kind: str, listing: DataFrame, generated: DataFrame) -> DataFrame:
+    """Listings as typed rows of one schema, each with its first generated document: 22 columns.
+
+    Bad and missing integers are 0, bad dates null, keywords always a list. API texts stay null where they are null
+    but for the department and the status; a FILE's are empty, its title falls back to title, its department is the
+    office, else the department.
+    """
     api = kind == "API"
     c = F.col
-    title = c("list_title") if api else falsy_or(c("list_title"), c("title"))
-    text = lambda name: (c(name) if name in listing.columns else F.lit(None)).cast("string").alias(name)
-    return listing.select(
+    text = lambda name: (c(name) if name in listing.columns else F.lit(None)).cast("string")
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    of_kind = lambda x: x if api else empty(x)
+    documents = generated.select("list_id", F.col("token_count").alias("_tokens"), F.lit(True).alias("_has"))
+    rows = lookup_first(listing, documents, "list_id", ["_tokens"])
+    return rows.select(
         int_or_zero(c("list_id")).alias("list_id"),
-        F.coalesce(title, F.lit("")).alias("list_title"),
-        *(text(k) for k in ("title", "org_nm", "dept_nm", "category_nm", "data_format", "is_charged", "share_scope_nm")),
-        F.coalesce("desc", F.lit("")).alias("description"),
+        (c("list_title") if api else empty(falsy_or(c("list_title"), text("title")))).alias("title"),
+        of_kind(text("desc")).alias("description"),
+        (empty(text("dept_nm")) if api else empty(falsy_or(text("org_nm"), text("dept_nm")))).alias("department"),
+        of_kind(text("category_nm" if api else "new_category_nm")).alias("category"),
+        F.lit(kind).alias("data_type"),
+        of_kind(text("data_format" if api else "data_type")).alias("data_format"),
+        text("is_charged").alias("pricing"),
+        text("is_copyrighted").alias("copyright"),
+        of_kind(text("is_third_party_copyrighted")).alias("third_party_copyright"),
         (text_list(listing, "keywords") if "keywords" in listing.columns else F.array().cast("array<string>")).alias("keywords"),
-        int_or_zero(c("request_cnt" if api else "download_cnt")).alias("popularity"),
+        empty(text("register_status")).alias("register_status"),
+        int_or_zero(c("request_cnt" if api else "download_cnt")).alias("request_cnt"),
         *(timestamp_or_null(c(k).cast("string")).alias(k) for k in ("created_at", "updated_at")),
-        F.lit(kind).alias("data_type"),
+        (text("use_prmisn_ennc") if api else empty(text("ownership_grounds"))).alias("use_prmisn_ennc"),
+        (text("title_en") if api else F.lit(None).cast("string")).alias("title_en"),
+        (text("api_type") if api else F.lit("FILE")).alias("api_type"),
+        F.lit(None).cast("array<string>").alias("endpoints"),
+        F.coalesce("_has", F.lit(False)).alias("has_generated_doc"),
+        F.coalesce("_tokens", F.lit(0)).cast("long").alias("token_count"),
+        F.lit(None).cast("double").alias("score"),
     )
 
 
@@ -118,13 +139,19 @@ def search_documents(api: DataFrame, file: DataFrame) -> DataFrame:
 
     def of(kind: str, listing: DataFrame, renamed: dict[str, str]) -> DataFrame:
         col = lambda k: F.col(renamed.get(k, k)) if renamed.get(k, k) in listing.columns else F.lit(None)
-        texts = [col(k).cast("string").alias(k) for k in ("list_title", "title", "category_nm", "dept_nm", "org_nm", "desc", "data_format", "api_type")]
+        names = ("list_title", "title", "category_nm", "dept_nm", "org_nm", "desc", "data_format")
+        kind_of = col("api_type").cast("string") if kind == "API" else F.lit("FILE")
         keywords = list_or_empty(F.col("keywords")) if "keywords" in listing.columns else F.array().cast("array<string>")
-        return listing.select(F.col("list_id").cast("long").alias("list_id"), *texts, keywords.alias("keywords"), F.lit(kind).alias("data_type"), F.lit(0 if kind == "API" else 1).alias("_source"))
-
-    both = of("API", api, {"title": "title_en", "category_nm": "new_category_nm"}).unionByName(
-        of("FILE", file.where("list_id is not null"), {"category_nm": "new_category_nm", "data_format": "data_type", "api_type": "-"})
-    )
+        return listing.select(
+            F.col("list_id").cast("long").alias("list_id"),
+            *(col(k).cast("string").alias(k) for k in names),
+            kind_of.alias("api_type"),
+            keywords.alias("keywords"),
+            F.lit(kind).alias("data_type"),
+            F.lit(0 if kind == "API" else 1).alias("_source"),
+        )
+
+    both = of("API", api, {"title": "title_en"}).unionByName(of("FILE", file.where("list_id is not null"), {"category_nm": "new_category_nm", "data_format": "data_type"}))
     return keep_last(both).drop("_source")
 
 

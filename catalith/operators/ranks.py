@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.coerce import falsy_or, int_or_zero, trending_score, truthy_id
+from catalith.functions.coerce import falsy_or, int_or_zero, timestamp_or_null, trending_score, truthy_id
 from catalith.operators.lookup import lookup_last
 from catalith.operators.paging import Page, take
 
@@ -31,6 +31,7 @@ def rank_rows(api: DataFrame, file: DataFrame, api_docs: DataFrame, file_docs: D
             F.coalesce("_has", F.lit(False)).alias("has_generated_doc"),
             "created_at",
             "updated_at",
+            F.lit(None).cast("timestamp").alias("generated_at"),  # of a snapshot row it is never known
             int_or_zero(F.col(popularity)).cast("double").alias("popularity_score"),
         )
 
@@ -48,8 +49,8 @@ def ranked(rows: DataFrame, key: Column, keep: int) -> DataFrame:
 
 
 def rank_latest(rows: DataFrame, as_of: Column, keep: int = KEPT["latest"]) -> DataFrame:
-    """By creation, else update, else as_of."""
-    return ranked(rows, F.coalesce("created_at", "updated_at", as_of), keep)
+    """By the last update, else as_of; when a listing was created does not matter."""
+    return ranked(rows, F.coalesce("updated_at", as_of), keep)
 
 
 def rank_popular(rows: DataFrame, keep: int = KEPT["popular"]) -> DataFrame:
@@ -57,11 +58,24 @@ def rank_popular(rows: DataFrame, keep: int = KEPT["popular"]) -> DataFrame:
 
 
 def rank_trending(rows: DataFrame, as_of: Column, keep: int = KEPT["trending"]) -> DataFrame:
-    """By popularity decayed with age; what has no date is as old as as_of allows: one hour."""
-    score = trending_score(F.coalesce("popularity_score", F.lit(0.0)), F.coalesce("updated_at", "created_at", as_of), as_of)
+    """By popularity decayed with the time since the last update; what has none counts as updated at as_of, an hour ago at least."""
+    score = trending_score(F.coalesce("popularity_score", F.lit(0.0)), F.coalesce("updated_at", as_of), as_of)
     return ranked(rows.withColumn("trending_score", score), F.col("trending_score"), keep)
 
 
+def coerced_items(rows: DataFrame) -> DataFrame:
+    """Rows of listings or rankings with typed values: an unknown data_type is API, counts and scores are integers (0 for none), dates dates, a missing rank stays missing."""
+    known = F.when(F.col("data_type").isin("API", "FILE"), F.col("data_type")).otherwise(F.lit("API"))
+    typed = {
+        "data_type": known,
+        **{k: int_or_zero(F.col(k)) for k in ("token_count", "popularity_score") if k in rows.columns},
+        **{k: timestamp_or_null(F.col(k).cast("string")) for k in ("updated_at", "generated_at") if k in rows.columns},
+    }
+    if "rank" in rows.columns:
+        typed["rank"] = F.when(F.col("rank").isNotNull(), int_or_zero(F.col("rank")))
+    return rows.withColumns(typed)
+
+
 def distinct_listings(rows: DataFrame) -> DataFrame:
     """total: the distinct ids that are neither null nor 0."""
     return rows.agg(F.countDistinct(F.when(truthy_id(F.col("list_id")), F.col("list_id"))).cast("long").alias("total"))
@@ -92,6 +106,20 @@ def snapshot_page(snapshot: DataFrame, page: Page) -> DataFrame:
     )
 
 
+def ranked_or_live(snapshot: DataFrame, metadata: DataFrame, sort_type: str, live: tuple[DataFrame, DataFrame], page: Page) -> tuple[DataFrame, DataFrame]:
+    """The rows of a page and its total: from the stored ranking within its window, beyond it from live, the page as it is now.
+
+    The total is the ranking's where it has one, also beyond the window; else the number of rows that live is cut from
+    must come with it: live is (rows of the page, total).
+    """
+    stored = metadata_total(metadata, sort_type)
+    rows, counted = live
+    if page.in_snapshot:
+        return snapshot_page(snapshot, page), stored
+    both = stored.withColumn("o", F.lit(0)).unionByName(counted.select(F.col("total").cast("long").alias("total")).withColumn("o", F.lit(1)))
+    return rows, both.agg(F.coalesce(F.max(F.when((F.col("o") == 0) & (F.col("total") > 0), F.col("total"))), F.max(F.when(F.col("o") == 1, F.col("total")))).alias("total"))
+
+
 def metadata_total(metadata: DataFrame, sort_type: str) -> DataFrame:
     """The total of a ranking, 0 if it was never built."""
     return metadata.where(F.col("sort_type") == sort_type).agg(F.coalesce(F.max("total_count"), F.lit(0)).cast("long").alias("total"))

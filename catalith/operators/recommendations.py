@@ -49,6 +49,11 @@ def misses(targets: DataFrame, stored: DataFrame) -> DataFrame:
     return targets.join(stored.where(F.size("recommendations") > 0).select("target_doc_id"), "target_doc_id", "left_anti")
 
 
+def failed(made: DataFrame) -> DataFrame:
+    """failed: how many targets have no neighbours, such as those without a vector."""
+    return made.agg(F.count(F.when(F.size("recommendations") == 0, 1)).cast("long").alias("failed"))
+
+
 def cache_first(targets: DataFrame, stored: DataFrame, computed: DataFrame, top_k: int) -> DataFrame:
     """Items of targets from the store (source cache), else from computed (source realtime)."""
     hit = cached(stored, top_k).join(targets.select("target_doc_id"), "target_doc_id", "left_semi").withColumn("source", F.lit("cache"))
@@ -61,7 +66,10 @@ def to_store(made: DataFrame) -> DataFrame:
     return made.where(F.size("recommendations") > 0)
 
 
-def remove(stored: DataFrame, target_doc_ids: list[str]) -> DataFrame:
+def remove(stored: DataFrame, target_doc_ids: list[str] | None = None) -> DataFrame:
+    """stored without these targets; without all of them if none are named."""
+    if target_doc_ids is None:
+        return stored.limit(0)
     return stored.where(~F.col("target_doc_id").isin(list(target_doc_ids)))
 
 

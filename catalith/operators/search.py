@@ -1,7 +1,9 @@
-"""Weighted full-text search over a table of tokens.
+"""Weighted full-text search over an index of tokens.
 
-The index is one flat table, (list_id, field, len, pos, term). A request is a list of clauses; its terms, bounded by
-the request, are the small side of every join with the index. Scores are BM25 (Robertson, Zaragoza 2009) within a
+The index is three tables: tokens (list_id, field, len, pos, term), terms (field, term and how many documents have it)
+and fields (how many documents have the field, and its mean length). A stored one is sorted by term, and a request
+reads the terms it asks for only: they are literals that go down to the scan while they are MAX_LITERALS at most, and
+else the small side of a join. Every field has an analyzer, for texts and requests alike. Scores are BM25 (Robertson, Zaragoza 2009) within a
 field, with idf = ln(1 + (N - n + 0.5) / (n + 0.5)) over the documents that have the field; a clause scores its
 best field times its boost, and a document the sum of its clauses. A query term that matches several terms of the
 vocabulary counts with the best of them. Distances of terms are Levenshtein's.
@@ -10,13 +12,14 @@ vocabulary counts with the best of them. Distances of terms are Levenshtein's.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import text as analyzers
 from catalith.functions.coerce import strip
+from catalith.sources.stores import read_snapshot, replace_snapshot
 
 K1, B = 1.2, 0.75
 #: Boosts of the fields by kind of clause.
@@ -28,6 +31,10 @@ STRICT = {"list_title": 3.0, "title": 2.0, "keywords": 2.0, "org_nm": 1.5}
 FUZZY_PHRASE_BOOST, STRICT_PHRASE_BOOST = 4.0, 2.0
 
 Analyzer = Callable[[Column], Column]
+#: Fields that are not read as words. The title is English, with its plain words in title_alt.
+ANALYZERS: dict[str, Analyzer] = {"title": analyzers.english, **dict.fromkeys(("category_nm", "dept_nm", "keywords", "data_format", "api_type"), analyzers.keyword)}
+#: Terms that a request puts into the scan of the index; with more, it joins them.
+MAX_LITERALS = 5_000
 
 
 @dataclass(frozen=True)
@@ -42,29 +49,65 @@ class Clause:
     boost: float = 1.0
 
 
-def build_index(docs: DataFrame, fields: dict[str, str] | None = None, analyzer: Analyzer = analyzers.words, others: dict[str, Analyzer] | None = None) -> DataFrame:
-    """The tokens of docs. fields: the column of each field; others: the analyzer of a field where it is another one.
+@dataclass(frozen=True)
+class Index:
+    tokens: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+    analyzers: dict[str, Analyzer] = field(default_factory=lambda: ANALYZERS)
+
+    @staticmethod
+    def of(tokens: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
+        terms = tokens.groupBy("field", "term", "list_id").agg(F.lit(1).alias("one")).groupBy("field", "term").agg(F.count("*").alias("n"))
+        fields = tokens.where("pos = 0").groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+        return Index(tokens, terms, fields, ANALYZERS if by_field is None else by_field)
+
+    def analyzer(self, name: str) -> Analyzer:
+        return self.analyzers.get(name, analyzers.words)
+
+
+def build_index(docs: DataFrame, fields: dict[str, str] | None = None, by_field: dict[str, Analyzer] | None = None) -> Index:
+    """The index of docs. fields: the column of each field; by_field: the analyzers of fields that aren't words.
 
     Arrays are read as their elements, one after the other. Null and empty texts have no tokens.
     """
     fields = fields or {k: k for k in (*WEIGHTED, *EXACT) if k in docs.columns} | ({"title_alt": "title"} if "title" in docs.columns else {})
+    by_field = ANALYZERS if by_field is None else by_field
     kinds = dict(docs.dtypes)
-    value = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c)
-    each = [F.struct(F.lit(f).alias("field"), (others or {}).get(f, analyzer)(value(c)).alias("terms")) for f, c in fields.items()]
+
+    def terms(f: str, c: str):  # noqa: ANN202
+        analyzer = by_field.get(f, analyzers.words)
+        if kinds[c].startswith("array"):
+            return F.flatten(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(analyzer(x), F.array().cast("array<string>"))))
+        return analyzer(F.col(c))
+
+    each = [F.struct(F.lit(f).alias("field"), terms(f, c).alias("terms")) for f, c in fields.items()]
     rows = docs.where("list_id is not null").select(F.col("list_id").cast("long").alias("list_id"), F.explode(F.array(*each)).alias("x"))
-    return rows.select("list_id", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("pos", "term"))
+    return Index.of(rows.select("list_id", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("pos", "term")), by_field)
 
 
-def field_stats(index: DataFrame) -> DataFrame:
-    """A row for each field: documents that have it, and their mean length."""
-    return index.where("pos = 0").groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+def write_index(index: Index, folder: str) -> None:
+    """Stores an index: tokens in a folder for each field, sorted by term; terms and fields from the tokens as stored."""
+    spark = index.tokens.sparkSession
+    order = ["field", "term", "list_id"]  # the last one, so that a frequent term is dealt among files
+    replace_snapshot(index.tokens.repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/tokens", also_empty=True, partition_by=("field",))
+    stored = Index.of(read_snapshot(spark, f"{folder}/tokens"), index.analyzers)
+    replace_snapshot(stored.terms.repartitionByRange("term", "field").sortWithinPartitions("term", "field"), f"{folder}/terms", also_empty=True)
+    replace_snapshot(stored.fields, f"{folder}/fields", also_empty=True)
 
 
-def query_terms(spark: SparkSession, texts: list[str], analyzer: Analyzer = analyzers.words) -> list[list[str]]:
-    """The terms of each text of a request, by the index's analyzer."""
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", analyzer(strip(F.col("text"))).alias("terms"))
-    found = {r["i"]: list(r["terms"]) for r in rows.collect()}  # the request's own texts
-    return [found[i] for i in range(len(texts))]
+def read_index(spark: SparkSession, folder: str, by_field: dict[str, Analyzer] | None = None) -> Index:
+    """A stored index; by_field as it was built with."""
+    parts = [read_snapshot(spark, f"{folder}/{k}") for k in ("tokens", "terms", "fields")]
+    return Index(*parts, ANALYZERS if by_field is None else by_field)
+
+
+def query_terms(spark: SparkSession, asked: list[tuple[str, Analyzer]]) -> list[list[str]]:
+    """The terms of each text of a request by its analyzer."""
+    if not asked:
+        return []
+    cols = [F.coalesce(analyzer(strip(F.lit(text))), F.array().cast("array<string>")).alias(str(i)) for i, (text, analyzer) in enumerate(asked)]
+    return [list(x) for x in spark.range(1).select(*cols).first()]  # the request's own texts
 
 
 def near_terms(vocabulary: DataFrame, asked: DataFrame, edits: int, longest: int) -> DataFrame:
@@ -78,49 +121,68 @@ def _bm25(tf: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
 
 
-def clause_scores(index: DataFrame, clauses: list[Clause], analyzer: Analyzer = analyzers.words) -> DataFrame:
+def _found_terms(index: Index, asked: list[tuple]) -> tuple[DataFrame, list[str] | None]:
+    """(asked, edits, term) of the index's terms that the request's are or nearly are; the terms themselves while they are MAX_LITERALS at most."""
+    spark = index.tokens.sparkSession
+    same = sorted({(x[3], x[4], x[3]) for x in asked})
+    fuzzy = sorted({(x[3], x[4]) for x in asked if x[4]})
+    rows = spark.createDataFrame(same, "asked string, edits int, term string")
+    if not fuzzy:
+        return rows, sorted({x[2] for x in same})
+    vocabulary = index.terms.where(F.col("field").isin(sorted({x[1] for x in asked}))).select("term").distinct()
+    near = near_terms(vocabulary, spark.createDataFrame(fuzzy, "asked string, edits int"), max(e for _, e in fuzzy), max(len(t) for t, _ in fuzzy)).select("asked", "edits", "term")
+    few = near.limit(MAX_LITERALS + 1).collect()
+    if len(few) > MAX_LITERALS:
+        return rows.unionByName(near).distinct(), None
+    every = sorted({*same, *map(tuple, few)})
+    return spark.createDataFrame(every, "asked string, edits int, term string"), sorted({x[2] for x in every})
+
+
+def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
     """(list_id, score) of every document that matches a clause; empty for no clauses or texts without terms."""
-    spark = index.sparkSession
-    terms = query_terms(spark, [c.text for c in clauses], analyzer) if clauses else []
+    spark = index.tokens.sparkSession
+    pairs = [(i, c, f) for i, c in enumerate(clauses) for f in c.fields]
+    analyzed = query_terms(spark, [(c.text, index.analyzer(f)) for _, c, f in pairs])
     asked, boosts = [], []
-    for i, (c, ts) in enumerate(zip(clauses, terms, strict=True)):
+    for (i, c, f), ts in zip(pairs, analyzed, strict=True):
         for j, t in enumerate(ts):
             most = 0 if c.phrase else c.edits if c.edits is not None else (len(t) > 2) + (len(t) > 5)
-            asked.append((i, j, t, int(most), len(ts), c.phrase, c.all_terms))
-        boosts += [(i, f, b * c.boost) for f, b in c.fields.items()]
+            asked.append((i, f, j, t, int(most), len(ts), c.phrase, c.all_terms))
+        boosts.append((i, f, float(c.fields[f] * c.boost)))
     if not asked:
         return spark.createDataFrame([], "list_id long, score double")
-    wanted = spark.createDataFrame(asked, "clause int, at int, asked string, edits int, terms int, phrase boolean, all_terms boolean")
+    wanted = spark.createDataFrame(asked, "clause int, field string, at int, asked string, edits int, terms int, phrase boolean, all_terms boolean")
     boost = F.broadcast(spark.createDataFrame(boosts, "clause int, field string, boost double"))
-    used = sorted({f for c in clauses for f in c.fields})
-    scope = index.where(F.col("field").isin(used))
-    stats = F.broadcast(field_stats(scope))  # a row for each field
-    edits = max(x[3] for x in asked)
-    pairs = spark.createDataFrame(sorted({(x[2], x[2], 0) for x in asked}), "term string, asked string, edits int")
-    if edits:
-        fuzzy = spark.createDataFrame(sorted({(x[2], x[3]) for x in asked if x[3]}), "asked string, edits int")
-        pairs = pairs.unionByName(near_terms(scope.select("term").distinct(), fuzzy, edits, max(len(x[2]) for x in asked)))
-    matches = wanted.withColumnRenamed("edits", "_edits").join(pairs, "asked").where("edits = _edits or (edits = 0 and term = asked)").drop("edits", "_edits").distinct()
-    hit = scope.join(matches.select("term").distinct(), "term", "left_semi")
+    used = sorted({x[1] for x in asked})
+    found, literals = _found_terms(index, asked)
+    matches = wanted.join(found, ["asked", "edits"]).drop("asked", "edits").distinct()
+
+    def only(df: DataFrame) -> DataFrame:
+        df = df.where(F.col("field").isin(used))
+        return df.where(F.col("term").isin(literals)) if literals is not None else df.join(found.select("term").distinct(), "term", "left_semi")
+
+    matches = F.broadcast(matches) if literals is not None else matches  # MAX_LITERALS terms for each clause and field at most
+    hit = only(index.tokens)
     counted = hit.groupBy("list_id", "field", "len", "term").agg(F.count("*").alias("tf"))
-    seen = counted.groupBy("field", "term").agg(F.count("*").alias("n"))
-    weight = seen.join(stats, "field").select("field", "term", "mean_len", F.log1p((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    stats = F.broadcast(index.fields)  # a row for each field
+    weight = only(index.terms).join(stats, "field").select("field", "term", "mean_len", F.log1p((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    weight = F.broadcast(weight) if literals is not None else weight
     # Clauses of terms: the best variant of each, their sum in a field.
-    single = counted.join(weight, ["field", "term"]).join(matches.where("not phrase"), "term").withColumn("w", _bm25(F.col("tf"), F.col("idf")))
+    single = counted.join(weight, ["field", "term"]).join(matches.where("not phrase"), ["field", "term"]).withColumn("w", _bm25(F.col("tf"), F.col("idf")))
     best = single.groupBy("clause", "list_id", "field", "at", "terms", "all_terms").agg(F.max("w").alias("w"))
     summed = best.groupBy("clause", "list_id", "field", "terms", "all_terms").agg(F.sum("w").alias("w"), F.count("*").alias("found"))
     scores = summed.where("not all_terms or found = terms").select("clause", "list_id", "field", "w")
-    if any(x[5] for x in asked):  # phrases: occurrences whose terms agree on where the phrase begins
-        phrase = matches.where("phrase").select("clause", "at", "term", "terms")
-        starts = hit.join(phrase, "term").groupBy("clause", "list_id", "field", "len", "terms", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("found"))
+    if any(x[6] for x in asked):  # phrases: occurrences whose terms agree on where the phrase begins
+        phrase = matches.where("phrase").select("clause", "field", "at", "term", "terms")
+        starts = hit.join(phrase, ["field", "term"]).groupBy("clause", "list_id", "field", "len", "terms", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("found"))
         whole = starts.where("found = terms").groupBy("clause", "list_id", "field", "len").agg(F.count("*").alias("tf"))
-        idf = phrase.join(weight, "term").groupBy("clause", "field", "mean_len").agg(F.sum("idf").alias("idf"))
+        idf = phrase.join(weight, ["field", "term"]).groupBy("clause", "field", "mean_len").agg(F.sum("idf").alias("idf"))
         scores = scores.unionByName(whole.join(idf, ["clause", "field"]).select("clause", "list_id", "field", _bm25(F.col("tf"), F.col("idf")).alias("w")))
     top = scores.join(boost, ["clause", "field"]).groupBy("clause", "list_id").agg(F.max(F.col("w") * F.col("boost")).alias("w"))
     return top.groupBy("list_id").agg(F.sum("w").alias("score"))
 
 
-def bm25(index: DataFrame, text: str, fields: dict[str, float]) -> DataFrame:
+def bm25(index: Index, text: str, fields: dict[str, float]) -> DataFrame:
     return clause_scores(index, [Clause(text, fields)])
 
 
@@ -144,7 +206,7 @@ def weighted_clauses(texts: list[str], weights: list[float] | None = None) -> li
     return [Clause(t, WEIGHTED, edits=None, boost=w) for t, w in zip(texts, given, strict=False)]
 
 
-def search_titles(index: DataFrame, text: str, exact: bool = False, min_score: float | None = None, data_type: str | None = None, docs: DataFrame | None = None) -> DataFrame:
+def search_titles(index: Index, text: str, exact: bool = False, min_score: float | None = None, data_type: str | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Scores of an exact or fuzzy search; data_type keeps the documents of that kind (docs has it)."""
     found = clause_scores(index, exact_clauses(text) if exact else fuzzy_clauses(text))
     if data_type is not None:
@@ -152,11 +214,11 @@ def search_titles(index: DataFrame, text: str, exact: bool = False, min_score: f
     return found if min_score is None else found.where(F.col("score") >= min_score)
 
 
-def search_weighted(index: DataFrame, texts: list[str], weights: list[float] | None = None) -> DataFrame:
+def search_weighted(index: Index, texts: list[str], weights: list[float] | None = None) -> DataFrame:
     return clause_scores(index, weighted_clauses(texts, weights))
 
 
-def search_adaptive(index: DataFrame, text: str, size: int) -> DataFrame:
+def search_adaptive(index: Index, text: str, size: int) -> DataFrame:
     """The strict search if it finds size documents or more, else the fuzzy one."""
     strict = clause_scores(index, strict_clauses(text))
     return strict if strict.limit(size).count() >= size else clause_scores(index, fuzzy_clauses(text))
@@ -168,7 +230,3 @@ def top(hits: DataFrame, size: int, offset: int = 0) -> DataFrame:
 
 def total(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").cast("long").alias("total"))
-
-
-def with_boosts(clauses: list[Clause], factor: float) -> list[Clause]:
-    return [replace(c, boost=c.boost * factor) for c in clauses]

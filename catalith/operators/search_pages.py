@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,11 @@ def documented_page(
     )
 
 
+def search_or_browse(text: str | None, search: Callable[[str], DataFrame], browse: Callable[[], DataFrame]) -> DataFrame:
+    """search of the text without white space at its ends, or browse where nothing is left of it."""
+    return search(text.strip()) if text and text.strip() else browse()
+
+
 def by_popularity(hits: DataFrame, rows: DataFrame) -> DataFrame:
     """Hits with the unified row of their id, the most popular first; rows: one for each list_id."""
     return hits.join(rows, "list_id").orderBy(F.col("popularity").desc(), F.col("list_id").asc())

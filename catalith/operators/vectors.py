@@ -20,6 +20,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 BLOCK_ROWS, ENCODER_BATCH = 4096, 32
 #: The least similarity, neighbours kept, and targets of one request.
 THRESHOLD, TOP_K, MAX_TARGETS = 0.5, 4, 100
+#: Fixed value: the most neighbours that a request may ask for.
+MAX_TOP_K = 20
 FOUND = "target_doc_id string, doc_id string, similarity_score double"
 
 
@@ -95,10 +97,17 @@ def _ranked(found: DataFrame, types: DataFrame, top_k: int, threshold: float) ->
     return best.join(types.select("doc_id", "doc_type"), "doc_id").select("target_doc_id", "doc_id", "doc_type", "similarity_score", "rank")
 
 
+def checked(top_k: int, threshold: float, targets: int = 1) -> None:
+    """ValueError for what a request may not ask for."""
+    if not 1 <= top_k <= MAX_TOP_K or not 0 <= threshold <= 1:
+        raise ValueError(f"top_k is from 1 to {MAX_TOP_K} and threshold from 0 to 1")
+    if targets > MAX_TARGETS:
+        raise ValueError(f"at most {MAX_TARGETS} targets")
+
+
 def neighbours_of(vectors: DataFrame, targets: list[str], top_k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """The neighbours of up to MAX_TARGETS ids: target_doc_id, doc_id, doc_type, similarity_score, rank. An unknown id has none."""
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"at most {MAX_TARGETS} targets")
+    checked(top_k, threshold, len(targets))
     unit = usable(vectors)
     known = unit.where(F.col("doc_id").isin(list(targets))).select("doc_id", "v").collect()  # MAX_TARGETS rows at most
     names, matrix = [r["doc_id"] for r in known], np.array([r["v"] for r in known], float)
@@ -112,13 +121,16 @@ def neighbours_of(vectors: DataFrame, targets: list[str], top_k: int = TOP_K, th
     return _ranked(unit.select("doc_id", "v").mapInArrow(task, FOUND), unit, top_k, threshold)
 
 
-def all_neighbours(vectors: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The neighbours of every row of vectors; columns as in neighbours_of."""
+def all_neighbours(vectors: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS, targets: DataFrame | None = None) -> DataFrame:
+    """The neighbours of every row of vectors, or of those in targets(doc_id); columns as in neighbours_of."""
+    checked(top_k, threshold)
     unit = usable(vectors)
-    blocks = max(1, math.ceil(unit.count() / block_rows))
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    corpus, asked = unit.select(own.alias("b"), every.alias("t"), "doc_id", "v"), unit.select(every.alias("b"), own.alias("t"), "doc_id", "v")
+    chosen = unit if targets is None else unit.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = unit.agg(F.count("*").alias("n")).withColumn("k", F.lit(0)).unionByName(chosen.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)))
+    blocks, target_blocks = (max(1, math.ceil(r["n"] / block_rows)) for r in sorted(sizes.collect(), key=lambda r: r["k"]))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    corpus, asked = unit.select(own(blocks).alias("b"), every(target_blocks).alias("t"), "doc_id", "v"), chosen.select(every(blocks).alias("b"), own(target_blocks).alias("t"), "doc_id", "v")
 
     def task(c: pa.Table, t: pa.Table) -> pa.Table:
         a, i, s = [], [], []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.operators import detail, recommendations, vectors
 from catalith.plans.tables import CATALOG_SQL, Catalog, as_of, table
+from catalith.sources import stores
 from catalith.sources.listings import recommendation_corpus
 from catalith.sources.stores import valid_requests
 
@@ -33,7 +36,7 @@ def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommend_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
-    return _rounded(detail.enriched(vectors.neighbours_of(_vectors(spark, sf_dir), TARGETS, 4, 0.2), c.api, c.file))
+    return _rounded(detail.enriched(_computed(spark, sf_dir), c.api, c.file))
 
 
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,29 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommendation_corpus(c.api, c.file).select("doc_id", "doc_type", vectors.embedding_text().alias("content"))
 
 
+def embedding_text_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short form: title, description and keywords."""
+    c = Catalog(spark, sf_dir)
+    return recommendation_corpus(c.api, c.file, api_first=True).select("doc_id", "doc_type", vectors.embedding_text(with_office=False).alias("content"), "source")
+
+
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that writes of vectors report: inserted, replaced, one deleted, one that was not there, many asked for, and what is left."""
+    path, rows = f"{stores.work_folder(spark)}/vectors-{uuid.uuid4().hex}", _vectors(spark, sf_dir)
+    inserted = stores.upsert_snapshot(rows, path, "doc_id")
+    replaced = stores.upsert_snapshot(rows.where("cast(doc_id as int) % 10 = 0").withColumn("doc_type", F.lit("API")), path, "doc_id")
+    one, none = stores.remove_one(spark, path, "doc_id", "7"), stores.remove_one(spark, path, "doc_id", "-1")
+    many = stores.remove_many(spark, path, "doc_id", ["8", "9", "-2"])
+    left = stores.read_snapshot(spark, path).agg(F.count("*").cast("long").alias("left_rows"), F.count(F.when(F.col("doc_type") == "API", 1)).cast("long").alias("left_api"))
+    return left.select(*(F.lit(v).cast("long").alias(k) for k, v in {"inserted": inserted, "replaced": replaced, "one": int(one), "none": int(none), "many": many}.items()), "left_rows", "left_api")
+
+
+def failed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing as a target; those without a vector, or without a neighbour, have empty lists."""
+    targets = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("target_doc_id"), F.lit("API").alias("target_doc_type"))
+    return recommendations.failed(recommendations.gathered(targets, _computed(spark, sf_dir)))
+
+
 def embed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing's vector by the encoder without a model, and what a reader checks of it: its size and its norm."""
     c = Catalog(spark, sf_dir)
@@ -76,7 +102,11 @@ def rec_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(recommendations.cache_first(_targets(spark, sf_dir), _stored(spark, sf_dir), _computed(spark, sf_dir), top_k=3))
+    """Only what the store lacks is computed."""
+    targets, kept = _targets(spark, sf_dir), _stored(spark, sf_dir)
+    missing = recommendations.misses(targets, kept).select(F.col("target_doc_id").alias("doc_id"))
+    made = vectors.all_neighbours(_vectors(spark, sf_dir), top_k=3, threshold=0.2, targets=missing)
+    return _rounded(recommendations.cache_first(targets, kept, made, top_k=3))
 
 
 def rec_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +136,15 @@ ORACLES |= {
     "knn_all": _KNN,
     "recommend_enriched": f"""WITH {CATALOG_SQL}, {_PAIRS}, known AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY src) AS r FROM (
 SELECT list_id, list_title, org_nm, 'API' AS data_type, 0 AS src FROM api UNION ALL SELECT list_id, coalesce(nullif(list_title, ''), title), org_nm, 'FILE', 1 FROM file))
-SELECT target_doc_id, k.rank, list_id, list_title, org_nm, data_type, similarity_score FROM k JOIN known ON list_id = doc_id::BIGINT AND r = 1 WHERE rank <= 4 AND target_doc_id IN ({_IN})""",
-    "embedding_text": f"""WITH {CATALOG_SQL} SELECT list_id::VARCHAR AS doc_id, 'API' AS doc_type, coalesce(list_title, '') || '. ' || coalesce("desc", '') || '. 핵심키워드: . 기관: ' || coalesce(org_nm, '') || '. 카테고리: ' || coalesce(category_nm, '') AS content FROM api
-UNION ALL SELECT list_id::VARCHAR, 'FILE', coalesce(list_title, '') || '. . 핵심키워드: . 기관: . 카테고리: ' FROM file""",
+SELECT target_doc_id, k.rank, list_id, list_title, org_nm, data_type, similarity_score FROM k JOIN known ON list_id = doc_id::BIGINT AND r = 1 WHERE rank <= 4""",
+    "embedding_text": f"""WITH {CATALOG_SQL} SELECT list_id::VARCHAR AS doc_id, 'API' AS doc_type, coalesce(list_title, '') || '. ' || coalesce("desc", '') || '. 핵심키워드: ' || array_to_string(coalesce(keywords, []), ' ') || '. 기관: ' || coalesce(org_nm, '') || '. 카테고리: ' || coalesce(new_category_nm, '') AS content FROM api
+UNION ALL SELECT list_id::VARCHAR, 'FILE', coalesce(nullif(list_title, ''), title) || '. ' || coalesce("desc", '') || '. 핵심키워드: ' || array_to_string(coalesce(keywords, []), ' ') || '. 기관: ' || coalesce(org_nm, '') || '. 카테고리: ' || coalesce(new_category_nm, '') FROM file""",
+    "embedding_text_short": f"""WITH {CATALOG_SQL} SELECT list_id::VARCHAR AS doc_id, 'API' AS doc_type, coalesce(list_title, '') || '. ' || coalesce("desc", '') || '. 핵심키워드: ' || array_to_string(coalesce(keywords, []), ' ') AS content, 0 AS source FROM api
+UNION ALL SELECT list_id::VARCHAR, 'FILE', coalesce(nullif(list_title, ''), title) || '. ' || coalesce("desc", '') || '. 핵심키워드: ' || array_to_string(coalesce(keywords, []), ' '), 1 FROM file""",
+    "vector_store": f"""WITH {_UNIT}, w AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'API' ELSE doc_type END AS doc_type FROM v WHERE vec_id NOT IN (7, 8, 9))
+SELECT (SELECT count(*) FROM v) AS inserted, (SELECT count(*) FROM v WHERE vec_id % 10 = 0) AS replaced, (SELECT count(*) FROM v WHERE vec_id = 7) AS one, 0::BIGINT AS none, 3::BIGINT AS many,
+(SELECT count(*) FROM w) AS left_rows, (SELECT count(*) FROM w WHERE doc_type = 'API') AS left_api""",
+    "failed_targets": f"WITH {_PAIRS} SELECT count(*) AS failed FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT target_doc_id FROM k)",
     "rec_upsert": f"""WITH {_PAIRS}, {_STORED}, n AS (SELECT vec_id, (SELECT count(*) FROM k WHERE rank <= 4 AND target_doc_id = vec_id::VARCHAR) AS n FROM embeddings WHERE vec_id % 2 = 0)
 SELECT coalesce(n.vec_id, st.vec_id)::VARCHAR AS target_doc_id, CASE WHEN n.vec_id IS NULL OR st.vec_id IS NULL THEN 1 ELSE 2 END AS version, coalesce(n.n, CASE WHEN has THEN 4 ELSE 0 END) AS n,
 CASE WHEN n.vec_id IS NOT NULL THEN '2024-02-01 00' ELSE strftime(made, '%Y-%m-%d %H') END AS updated, CASE WHEN n.vec_id IS NOT NULL THEN '2024-02-08' END AS expires FROM n FULL JOIN st ON n.vec_id = st.vec_id""",

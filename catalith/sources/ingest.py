@@ -4,21 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from catalith.functions import text
 from catalith.operators.listing import search_documents
-from catalith.operators.search import Analyzer, build_index
+from catalith.operators.search import Index, build_index, read_index, write_index
 from catalith.operators.vectors import Encoder, embedding_text, encode
 from catalith.sources.listings import recommendation_corpus
-from catalith.sources.stores import create_index
+from catalith.sources.stores import create_index, last_version, read_snapshot, replace_snapshot
 
 
-def index_listings(api: DataFrame, file: DataFrame, name: str, recreate: bool = False, analyzer: Analyzer = text.words) -> int:
-    """Writes the search documents (table name) and their tokens (table name_tokens); returns the documents."""
+def index_listings(api: DataFrame, file: DataFrame, folder: str, recreate: bool = False) -> int:
+    """Writes the search documents and their index under folder; returns how many documents.
+
+    An index that is there stays, but for the documents given: the last one written under an id wins.
+    """
     docs = search_documents(api, file)
-    create_index(docs, name, recreate)
-    stored = api.sparkSession.table(name)
-    create_index(build_index(stored, analyzer=analyzer, others={"title_alt": text.english}), f"{name}_tokens", recreate)
-    return stored.count()
+    spark = api.sparkSession
+    if recreate or not last_version(spark, f"{folder}/docs"):
+        replace_snapshot(docs, f"{folder}/docs")
+        write_index(build_index(read_snapshot(spark, f"{folder}/docs")), folder)
+        return docs.count()
+    old, ids = read_snapshot(spark, f"{folder}/docs"), docs.select("list_id")
+    tokens = read_index(spark, folder).tokens.join(ids, "list_id", "left_anti").unionByName(build_index(docs).tokens)
+    merged = Index.of(tokens)
+    write_index(merged, folder)
+    replace_snapshot(old.join(ids, "list_id", "left_anti").unionByName(docs), f"{folder}/docs")
+    return docs.count()
 
 
 def embed_listings(api: DataFrame, file: DataFrame, encoder: Encoder, name: str, recreate: bool = True) -> int:
@@ -30,7 +39,6 @@ def embed_listings(api: DataFrame, file: DataFrame, encoder: Encoder, name: str,
 def build_rankings(rows: DataFrame, folder: str, as_of) -> dict[str, int]:  # noqa: ANN001
     """Rebuilds all rankings and their metadata under folder; returns the rows of each before it is cut."""
     from catalith.operators import ranks
-    from catalith.sources.stores import replace_snapshot
 
     rows = rows.persist()
     made = {"latest": ranks.rank_latest(rows, as_of), "popular": ranks.rank_popular(rows), "trending": ranks.rank_trending(rows, as_of)}

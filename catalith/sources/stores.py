@@ -1,44 +1,103 @@
-"""Writers. A snapshot is a folder of versions: a new one is written beside the old ones and readers take the last.
+"""Writers. A snapshot is a folder of versions: a new one is written beside the old ones and readers take the last finished one.
 
-So a reader never meets a half-written table, what is being read is never overwritten, and a write that is lost with
-its executors leaves the version before it.
+A version is finished when Spark has committed it (its _SUCCESS file), so a reader never meets a half-written
+table, what is being read is never overwritten, a write that is lost with its executors leaves the version before it, and
+of two writers that take one version the second fails. The version before the last is kept for those who read it still.
 """
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.coerce import to_kst
 from catalith.sources.listings import SAVED_REQUEST
 
+#: Versions of a snapshot that stay.
+KEPT_VERSIONS = 2
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, as Spark's readers see it, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a snapshot; only folder names are read."""
+    store, at = _store(spark, path)
+    if not store.exists(at):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()]
+    done = [n for n in names if n.startswith("version=") and store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.removeprefix("version=")) for n in done)
+
 
 def last_version(spark: SparkSession, path: str) -> int:
-    """The last version of a snapshot, 0 without one. Only folder names are read."""
-    try:
-        found = spark.read.parquet(path).agg(F.max("_version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return 0
-        raise
-    return int(found or 0)
-
-
-def replace_snapshot(df: DataFrame, path: str) -> bool:
-    """Writes df as the next version; without rows nothing is written, and the old snapshot stays."""
-    if df.isEmpty():
+    """The last finished version of a snapshot, 0 without one."""
+    return max(versions(spark, path), default=0)
+
+
+def replace_snapshot(df: DataFrame, path: str, also_empty: bool = False, partition_by: tuple[str, ...] = ()) -> bool:
+    """Writes df as the next version; without rows nothing is written, and the old snapshot stays, unless also_empty."""
+    if not also_empty and df.isEmpty():
         return False
-    version = last_version(df.sparkSession, path) + 1
-    df.withColumn("_version", F.lit(version)).write.mode("append").partitionBy("_version").parquet(path)
+    spark = df.sparkSession
+    old = versions(spark, path)
+    df.write.partitionBy(*partition_by).parquet(f"{path}/version={max(old, default=0) + 1:08d}")
+    for v in old[: -(KEPT_VERSIONS - 1)]:
+        store, at = _store(spark, f"{path}/version={v:08d}")
+        store.delete(at, True)
     return True
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The last version; the others are not read."""
-    return spark.read.parquet(path).where(F.col("_version") == last_version(spark, path)).drop("_version")
+    return spark.read.parquet(f"{path}/version={last_version(spark, path):08d}")
+
+
+def upsert_snapshot(new: DataFrame, path: str, key: str) -> int:
+    """Rows of new in place of those with their keys, the others as they are; returns the rows of new. new has one row for each key."""
+    spark = new.sparkSession
+    if last_version(spark, path):
+        old = read_snapshot(spark, path)
+        merged = old.join(new.select(key), key, "left_anti").unionByName(new)
+    else:
+        merged = new
+    seen = Observation()
+    replace_snapshot(merged, path)
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
+
+
+def remove_one(spark: SparkSession, path: str, key: str, value: object) -> bool:
+    """Removes the rows with the value from a snapshot; whether there were any."""
+    rows = read_snapshot(spark, path)
+    if rows.where(F.col(key) == value).isEmpty():
+        return False
+    return replace_snapshot(rows.where(~F.col(key).eqNullSafe(F.lit(value))), path, also_empty=True)
+
+
+def remove_many(spark: SparkSession, path: str, key: str, values: list) -> int:
+    """Removes the rows with any of the values from a snapshot; returns how many values were asked for, found or not."""
+    if values:
+        rows = read_snapshot(spark, path)
+        replace_snapshot(rows.where(~F.coalesce(F.col(key).isin(list(values)), F.lit(False))), path, also_empty=True)
+    return len(values)
 
 
 def valid_requests(requests: DataFrame, as_of: Column) -> DataFrame:
@@ -73,6 +132,7 @@ def delete_index(spark: SparkSession, name: str) -> bool:
 
 
 def insert(df: DataFrame, name: str) -> int:
-    """Appends to a table and returns how many rows it has now."""
-    df.write.mode("append").saveAsTable(name)
-    return df.sparkSession.table(name).count()
+    """Appends to a table; returns how many rows were inserted."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").saveAsTable(name)
+    return seen.get["n"]

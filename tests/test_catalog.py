@@ -119,6 +119,46 @@ def test_search_phrases_edits_and_fallback(index):
     assert ids(search.search_weighted(index, ["bleu box"], [2.0])) == {3}
 
 
+def test_fields_have_analyzers_on_both_sides(spark):
+    docs = spark.createDataFrame(
+        [(1, "boxes of cities", ["Big Data", "x"], "Road Works"), (2, "box of a city", ["Data"], "Road"), (3, None, None, "")], "list_id long, title string, keywords array<string>, category_nm string"
+    )
+    index = search.build_index(docs)
+    ids = lambda text, f: {r["list_id"] for r in search.bm25(index, text, {f: 1.0}).collect()}
+    assert ids("boxes cities", "title") == ids("boxe of the city", "title") == {1, 2} and ids("boxes cities", "title_alt") == {1}
+    assert ids("Data", "keywords") == {2} and ids("Big Data", "keywords") == {1} and ids("data", "keywords") == set()
+    assert ids("Road Works", "category_nm") == {1} and ids("works", "category_nm") == set()
+
+
+def test_stored_index_is_read_by_term_and_takes_later_runs(spark, tables, tmp_path):
+    api, file = tables[:2]
+    folder = str(tmp_path / "index")
+    assert ingest.index_listings(api, file, folder) == 4
+    index = search.read_index(spark, folder)
+    hits = lambda text: {r["list_id"] for r in search.bm25(search.read_index(spark, folder), text, {"list_title": 1.0}).collect()}
+    plan = search.bm25(index, "three", {"list_title": 1.0})._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,three)" in plan or "In(term, [three])" in plan
+    assert hits("three") == {3} and hits("two") == {2} and index.fields.where("field = 'list_title'").first()["docs"] == 3
+    later = api.where("list_id = 3").withColumn("list_title", F.lit("now two")).unionByName(api.where("list_id = 2").withColumns({"list_id": F.lit(30).cast("long"), "list_title": F.lit("new")}))
+    assert ingest.index_listings(later, file.limit(0), folder) == 2
+    assert hits("three") == set() and hits("two") == {2, 3} and hits("new") == {30}
+    assert stores.read_snapshot(spark, f"{folder}/docs").count() == 5
+    assert search.read_index(spark, folder).fields.where("field = 'list_title'").first()["docs"] == 4
+    assert ingest.index_listings(later, file.limit(0), folder, recreate=True) == 2 and hits("two") == {3}
+
+
+def test_many_variants_are_joined(spark, index, monkeypatch):
+    want = rows(search.search_titles(index, "smal ring"), "list_id")
+    monkeypatch.setattr(search, "MAX_LITERALS", 0)
+    assert rows(search.search_titles(index, "smal ring"), "list_id") == want == [(1,), (2,)]
+
+
+def test_blank_requests_browse(spark):
+    seen = []
+    assert search_pages.search_or_browse(" a ", lambda q: seen.append(q) or "hits", lambda: "page") == "hits" and seen == ["a"]
+    assert {search_pages.search_or_browse(q, lambda q: "hits", lambda: "page") for q in (None, "", " \t")} == {"page"}
+
+
 def test_search_pages_follow_precedence(spark, tables):
     hits = spark.createDataFrame([(1, 3.0), (7, 2.0), (50, 1.0), (99, 0.5)], "list_id long, score double")
     docs = spark.createDataFrame([(50, "t50", "t", "o50", "FILE"), (99, "t99", "t", "o", "API")], "list_id long, list_title string, title string, org_nm string, data_type string")
@@ -137,8 +177,11 @@ def test_neighbours(spark):
     assert rows(one, "target_doc_id", "doc_id", "rank")[0] == ("a", "b", 1)
     every = vectors.all_neighbours(v, threshold=0.1, block_rows=1)
     assert rows(every, "target_doc_id", "doc_id", "doc_type") == [("a", "b", "FILE"), ("a", "c", "API"), ("b", "a", "API"), ("b", "c", "API"), ("c", "a", "API"), ("c", "b", "FILE")]
-    with pytest.raises(ValueError):
-        vectors.neighbours_of(v, [str(i) for i in range(101)])
+    some = vectors.all_neighbours(v, threshold=0.1, targets=spark.createDataFrame([("c",), ("z",), ("no",)], "doc_id string"))
+    assert rows(some, "target_doc_id", "doc_id") == [("c", "a"), ("c", "b")]
+    for bad in (lambda: vectors.neighbours_of(v, [str(i) for i in range(101)]), lambda: vectors.neighbours_of(v, ["a"], top_k=21), lambda: vectors.all_neighbours(v, threshold=1.5)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_upsert_counts_versions_and_empty_lists_miss(spark):
@@ -153,6 +196,7 @@ def test_upsert_counts_versions_and_empty_lists_miss(spark):
     assert rows(recommendations.cached(once, 1), "target_doc_id", "doc_id") == [("a", "x")]
     assert rows(recommendations.cached(once, 5, as_of() + F.expr("interval 8 days")), "doc_id") == []
     assert recommendations.to_store(new).count() == 1 and recommendations.remove(once, ["a"]).count() == 1
+    assert recommendations.remove(once).count() == 0 and recommendations.failed(new).first()["failed"] == 1
     assert recommendations.cache_stats(once, targets, as_of()).first()["cache_hit_ratio"] == "50.00%"
 
 
@@ -171,6 +215,53 @@ def test_snapshots_and_requests(spark, tmp_path):
         stores.save_request(spark, requests, 0, "", T)
 
 
+def test_versions_are_pruned_and_rows_removed(spark, tmp_path):
+    path = str(tmp_path / "v")
+    for n in (1, 2, 3, 4):
+        stores.replace_snapshot(spark.range(n), path)
+    assert stores.versions(spark, path) == [3, 4] and stores.read_snapshot(spark, path).count() == 4
+    (tmp_path / "v" / "version=00000009").mkdir()  # a write that was lost
+    assert stores.last_version(spark, path) == 4
+    (tmp_path / "v" / "version=00000009").rmdir()
+    assert stores.upsert_snapshot(spark.range(3, 6), path, "id") == 3
+    assert stores.remove_one(spark, path, "id", 0) and not stores.remove_one(spark, path, "id", 0)
+    assert stores.remove_many(spark, path, "id", [1, 99]) == 2 and stores.remove_many(spark, path, "id", []) == 0
+    assert rows(stores.read_snapshot(spark, path), "id") == [(2,), (3,), (4,), (5,)]
+
+
+def test_catalog_tables(spark):
+    name = "catalith_test_index"
+    stores.delete_index(spark, name)
+    assert stores.create_index(spark.range(2), name) and not stores.create_index(spark.range(5), name)
+    assert stores.insert(spark.range(7, 8), name) == 1 and spark.table(name).count() == 3
+    assert stores.create_index(spark.range(5), name, recreate=True) and spark.table(name).count() == 5
+    assert stores.delete_index(spark, name) and not stores.delete_index(spark, name)
+
+
+def test_shared_folder_is_asked_of_a_cluster(spark):
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():  # noqa: N802
+                return None
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        stores.work_folder(Cluster)
+
+
+def test_page_from_ranking_or_live(spark):
+    snapshot = spark.createDataFrame([(1, "t", "o", None, None, "API", 1)], "list_id long, list_title string, org_nm string, token_count long, has_generated_doc boolean, data_type string, rank int")
+    metadata = spark.createDataFrame([("popular", 7), ("latest", 0)], "sort_type string, total_count long")
+    live = spark.range(1).withColumnRenamed("id", "list_id"), spark.createDataFrame([(9,)], "total long")
+    of = lambda kind, page: [f.collect() for f in ranks.ranked_or_live(snapshot, metadata, kind, live, page)]
+    inside, beyond = paging.clamp(1, 20), paging.clamp(51, 20)
+    assert [(r[0]["list_id"], t[0]["total"]) for r, t in (of("popular", inside), of("popular", beyond), of("latest", beyond), of("none", inside))] == [(1, 7), (0, 7), (0, 9), (1, 0)]
+
+
 def test_rankings_are_stored(spark, tables, tmp_path):
     counts = ingest.build_rankings(ranks.rank_rows(*tables), str(tmp_path), as_of())
     stored = stores.read_snapshot(spark, f"{tmp_path}/rank_popular")
