@@ -130,12 +130,12 @@ def all_neighbours(vectors: DataFrame, top_k: int = TOP_K, threshold: float = TH
     blocks, target_blocks = (max(1, math.ceil(r["n"] / block_rows)) for r in sorted(sizes.collect(), key=lambda r: r["k"]))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    corpus, asked = unit.select(own(blocks).alias("b"), every(target_blocks).alias("t"), "doc_id", "v"), chosen.select(every(blocks).alias("b"), own(target_blocks).alias("t"), "doc_id", "v")
+    corpus, asked = unit.select(own(blocks).alias("b"), every(target_blocks).alias("t"), "doc_id", "v"), chosen.select(every(blocks).alias("b"), own(target_blocks).alias("t"), F.col("doc_id").alias("target"), F.col("v").alias("tv"))
 
     def task(c: pa.Table, t: pa.Table) -> pa.Table:
         a, i, s = [], [], []
         if c.num_rows and t.num_rows:
-            a, i, s = _best(c.column("doc_id").to_pylist(), _matrix(c.column("v")), t.column("doc_id").to_pylist(), _matrix(t.column("v")), top_k, threshold)
+            a, i, s = _best(c.column("doc_id").to_pylist(), _matrix(c.column("v")), t.column("target").to_pylist(), _matrix(t.column("tv")), top_k, threshold)
         return pa.table({"target_doc_id": pa.array(a, pa.string()), "doc_id": pa.array(i, pa.string()), "similarity_score": pa.array(s, pa.float64())})
 
     found = corpus.groupBy("b", "t").cogroup(asked.groupBy("b", "t")).applyInArrow(task, FOUND)

@@ -126,7 +126,7 @@ def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(search.search_titles(_parts(spark, sf_dir), "red widget", min_score=20.0))
+    return _rounded(search.search_titles(_parts(spark, sf_dir), "small", min_score=30.0))
 
 
 WEIGHTED = (["red widget", "smal ring", "brand", "economy"], [2.0, 1.5])
@@ -259,7 +259,7 @@ hits AS (SELECT * FROM strict_hits WHERE (SELECT count(*) FROM strict_hits) >= 2
 ORACLES |= {
     "search_exact_phrase": _titles_sql(search.exact_clauses("red widget")),
     "search_fuzzy": _titles_sql(search.fuzzy_clauses("rad widgot")),
-    "search_min_score": _titles_sql(search.fuzzy_clauses("red widget")) + " WHERE hits.score >= 20.0",
+    "search_min_score": _titles_sql(search.fuzzy_clauses("small")) + " WHERE hits.score >= 30.0",
     "search_weighted": _titles_sql(search.weighted_clauses(*WEIGHTED)),
     "search_adaptive_strict": _titles_sql(search.strict_clauses("small ring")),
     "search_adaptive_relaxed": _titles_sql(search.fuzzy_clauses("smal rings")),
