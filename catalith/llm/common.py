@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalith.sources.stores import work_folder
@@ -188,12 +188,13 @@ class Words:
 def prefix_sums(df: DataFrame, order: list[str], counts: dict[str, str]) -> DataFrame:
     """Adds for each item of counts (new column: counted column) the sum over all rows before it in order.
 
-    Rows are dealt by range of order; only one sum for each range is gathered, so what one task or the
-    driver holds is bounded by the number of ranges. Null keys come first; rows equal in order follow
-    one another in an unspecified order.
+    Rows are dealt by range of order, and where they are equal in it (null or repeated ids) by where they stand in df, so no
+    key fills a task; only one sum for each range is gathered, so what one task or the driver holds is bounded by the
+    number of ranges. Null keys come first.
     """
     spark = df.sparkSession
-    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    by = [*order, "_tie"]
+    dealt = cut(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     totals = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_sum_{new}") for new, c in counts.items())).collect()
     before, running = [], dict.fromkeys(counts, 0)
     for r in sorted(totals, key=lambda r: r["_range"]):
@@ -201,9 +202,7 @@ def prefix_sums(df: DataFrame, order: list[str], counts: dict[str, str]) -> Data
         running = {new: running[new] + r[f"_sum_{new}"] for new in counts}
     names = ", ".join(["_range int", *(f"_before_{new} long" for new in counts)])
     dealt = dealt.join(F.broadcast(spark.createDataFrame(before, names)), "_range")  # a row for each range
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return dealt.select(
         *df.columns,
         *((F.col(f"_before_{new}") + F.coalesce(F.sum(c).over(w), F.lit(0))).cast("long").alias(new) for new, c in counts.items()),

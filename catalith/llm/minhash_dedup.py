@@ -32,10 +32,10 @@ from catalith.llm.common import Words, cut, freed, join_groups, mix, signed, sli
 BINS, BANDS = 128, 32
 #: Similarity to a centre that makes a loose group.
 LOOSE_PERCENT = 50
-#: Shingles of a block in the exact comparison.
-BLOCK_SHINGLES = 1 << 18
-#: Smallest hashes of a set that the members of a bucket compare, and members of a block in that comparison.
-SKETCH, BLOCK_MEMBERS = 128, 256
+#: Shingles and members of a block in the exact comparison.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 1024
+#: Smallest hashes of a set that the members of a bucket compare, by their first 32 bits, and members of a block in that comparison.
+SKETCH, SKETCH_MEMBERS = 128, 512
 _BITS = BINS.bit_length() - 1
 _FIRST = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - _BITS)
 #: The bins that an empty bin asks, in order.
@@ -202,7 +202,7 @@ def _block_groups(least: int) -> Callable[[pa.Table], pa.Table]:
         sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
         n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(n) - n
-        values, code = np.unique(sets.flatten().to_numpy().view(np.uint64), return_inverse=True)
+        values, code = np.unique(sets.flatten().to_numpy().view(np.uint32), return_inverse=True)
         last = np.where(n < SKETCH, len(values), code[begin + n - 1])  # a smaller sketch is the whole set
         right = np.flatnonzero(~left)
         others = np.concatenate([code[begin[j] : begin[j] + n[j]] for j in right]) if len(right) else code[:0]
@@ -233,14 +233,15 @@ def _pairs_in_buckets(live: DataFrame, groups: DataFrame, sets: DataFrame, perce
     member = member.withColumn("g", F.coalesce("g", "rep"))  # a centre has met its members
     parts = member.groupBy("b", "g").agg(F.count("*").alias("size"))
     open_ = parts.groupBy("b").agg(F.max(F.struct("size", "g")).alias("top"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda size: F.ceil(size / BLOCK_MEMBERS).cast("int")
+    blocks = lambda size: F.ceil(size / SKETCH_MEMBERS).cast("int")
     open_ = open_.select("b", F.col("top.g").alias("largest"), blocks(F.col("size") - F.col("top.size")).alias("ls"), blocks(F.col("size")).alias("rs"))
     member = cut(join_groups(member, open_, ["b"]))
     at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     left = member.where("g <> largest").select("b", at("ls").alias("l"), each("rs").alias("r"), "rep", "g", F.lit(True).alias("left"))
     right = member.select("b", each("ls").alias("l"), at("rs").alias("r"), "rep", "g", F.lit(False).alias("left"))
-    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), F.slice("set", 1, SKETCH).alias("sketch")), "rep")
+    sketch = F.transform(F.slice("set", 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
+    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), sketch.alias("sketch")), "rep")
     return rows.groupBy("b", "l", "r").applyInArrow(_block_groups(sketch_percent(percent)), "x long, y long")
 
 
@@ -251,7 +252,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     lower-cased). component_id: the smallest doc_id that links reach, its own included; kept: it is its own.
     Null, empty or blank text: 0 shingles, linked with nothing. Null doc_id: linked with nothing, component_id
     null, kept. Repeated rows: each is returned, with the component of its doc_id; a doc_id with several texts
-    links where one of them does. Other columns are not read. An empty table gives an empty result.
+    links where one of them does. A text of any length is one set. Other columns, whatever their names, are not read. An
+    empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(docs.mapInArrow(freed(_signatures(words)), "doc_id long, n long, f1 long, f2 long, bands array<long>"))

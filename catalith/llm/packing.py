@@ -53,8 +53,9 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, longest: in
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0), and ids if asked for.
 
     The end id closes each document. Null or empty text: the end id alone, one piece of length 1. Null
-    doc_id: packed as well, before the others. Repeated rows: each is packed. Other columns are not
-    read. An empty table gives no pieces.
+    doc_id: packed as well, before the others. Repeated rows: each is packed; rows of one doc_id follow one another as they
+    stand in docs. A text of any length is packed whole. Other columns, whatever their names, are not read. An empty table
+    gives no pieces.
     """
     ids = ", ids array<int>" if with_ids else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

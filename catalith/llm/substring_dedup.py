@@ -85,14 +85,14 @@ def digest_of(raw: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
 
 
-def read_at_source(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def read_at_source(window: int, marks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of the runs asked for: the k-mers of those that are opened, and the digests of those that are sources, both read in the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                asked = part.column("_runs")
+                asked = part.column(marks)
                 ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
                 runs = asked.flatten()
                 start, n, m, path = (runs.field(k).to_numpy() for k in ("start", "n", "m", "path"))
@@ -147,9 +147,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     source = (F.col("doc_id") == F.col("source.doc_id")) & (F.col("start") == F.col("source.start"))
     opened = F.col("branches") & (F.col("doc_id") == F.col("source.doc_id"))
     asked = copies.select("doc_id", F.struct("start", "n", "m", "path", opened.alias("opened"), source.alias("source")).alias("run")).where("run.opened or run.source")
-    asked = asked.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("run").alias("_runs"))  # a set, as rows with one doc_id ask for the same
+    of, marks = free_name(docs, "_of"), free_name(docs, "_runs")
+    asked = asked.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("run").alias(marks))  # a set, as rows with one doc_id ask for the same
     # All columns of docs pass here, so that this shuffle of the texts is the one that the caller's join reuses.
-    read = cut(docs.join(asked, docs["doc_id"] == asked["_of"]).drop("_of").mapInArrow(freed(read_at_source(window)), READ))
+    read = cut(docs.join(asked, docs["doc_id"] == asked[of]).drop(of).mapInArrow(freed(read_at_source(window, marks)), READ))
     digests = read.where("digest is not null").groupBy("m", "path").agg(F.min("digest").alias("digest"))
     later = copies.where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "start", "n", "m", "path")
     whole = join_groups(later, digests, ["m", "path"]).select("doc_id", "start", "n", "digest")

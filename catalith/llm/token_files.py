@@ -100,12 +100,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int
     """Writes docs in ascending doc_id order and returns the folder: record files, and the table index.
 
     The order of the documents is that of (part, at) in the index. Null or empty text: the end id alone.
-    Null doc_ids come first. Rows with one doc_id follow one another. An empty table: an empty index.
+    Null doc_ids come first. Rows with one doc_id follow one another, as they stand in docs; null and repeated doc_ids are dealt
+    among files as well. A text of any length is one record. Other columns, whatever their names, are not read. An
+    empty table: an empty index.
     """
     folder = folder or f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     store, path = _file_system(folder)
     store.create_dir(path, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(freed(_writer(folder, tokenizer, spaced, end_id)), INDEX).write.parquet(f"{folder}/index")
     return folder
 
