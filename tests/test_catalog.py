@@ -238,16 +238,10 @@ def test_catalog_tables(spark):
     assert stores.delete_index(spark, name) and not stores.delete_index(spark, name)
 
 
-def test_shared_folder_is_asked_of_a_cluster(spark):
-    class Cluster:
-        conf = spark.conf
+def test_shared_folder_is_asked_of_a_cluster():
+    from types import SimpleNamespace
 
-        class sparkContext:  # noqa: N801
-            master = "spark://host:7077"
-
-            @staticmethod
-            def getCheckpointDir():  # noqa: N802
-                return None
+    Cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
 
     with pytest.raises(ValueError, match="checkpoint"):
         stores.work_folder(Cluster)
