@@ -49,8 +49,8 @@ class SortedLines:
         self.spread = float(projected.std()) or 1.0
         self.verified = 0
 
-    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
-        """For each query (its projections at) and vector, on how many lines the vector is in the window."""
+    def collisions(self, at: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """For each query (its projections at, half the width of its windows) and vector, on how many lines the vector is in the window."""
         count = np.zeros((len(at), len(self.ids)), np.uint8)
         for j, (line, place) in enumerate(zip(self.sorted, self.place, strict=True)):
             low = np.searchsorted(line, at[:, j] - half).astype(place.dtype)
@@ -63,9 +63,9 @@ class SortedLines:
         at, need = queries @ self.lines, math.ceil(COLLISIONS * LINES)
         known = np.zeros((len(queries), len(self.ids)), bool)
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
-        active, half = np.arange(len(queries)), FIRST * self.spread
+        active, half = np.arange(len(queries)), np.full(len(queries), FIRST * self.spread)
         while len(active):
-            new = (self.collisions(at[active], half) >= need) & ~known[active]
+            new = (self.collisions(at[active], half[active]) >= need) & ~known[active]
             known[active] |= new
             for i, fresh in zip(active, new, strict=True):
                 found = np.flatnonzero(fresh)
@@ -75,8 +75,10 @@ class SortedLines:
                 found, distance = np.concatenate([best[i][0], found]), np.concatenate([best[i][1], distance])
                 nearest = np.lexsort((self.ids[found], distance))[:k]
                 best[i] = found[nearest], distance[nearest]
-            ended = [known[i].all() or (len(best[i][0]) == k and half >= COVER * best[i][1][-1]) for i in active]
-            active, half = active[~np.array(ended)], half * GROWTH
+            enough = np.array([COVER * best[i][1][-1] if len(best[i][0]) == k else np.inf for i in active])
+            ended = known[active].all(1) | (half[active] >= enough)
+            half[active] = np.minimum(half[active] * GROWTH, enough)  # no wider than it need be
+            active = active[~ended]
         return [(self.ids[found], distance) for found, distance in best]
 
 

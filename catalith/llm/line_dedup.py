@@ -90,9 +90,9 @@ def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
 def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range in the order of _KEYS. at: place in the group of the rank; offset: of the first equal (rank, next); shared: not alone.
 
-    Equal rows, which are of repeated documents, count once.
+    Equal rows, which are of repeated documents, count once. Two rows without doc_id (pos -1 and -2) say where the range begins and ends.
     """
-    keys = [None] * 4
+    keys, begin = [None] * 4, None
     count = offset = 0
     for b, last in _held_back(batches):
         cols = [b.column(k).fill_null(-1).to_numpy(zero_copy_only=False) for k in _KEYS]
@@ -100,8 +100,6 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = same[0] & same[1] & same[2] & same[3]
         if again.any():
             kept = np.flatnonzero(~again)
-            if last and not len(kept):
-                return
             b, cols, same = b.take(pa.array(kept)), [c[kept] for c in cols], [x[kept] for x in same]
         n = len(cols[0]) if last else len(cols[0]) - 1
         if not len(cols[0]):
@@ -117,7 +115,13 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n:
             out = [*(b.column(k) for k in ("doc_id", "pos", "left", "before", "long", "rank", "low")), pa.array(cols[1]), pa.array(at), pa.array(offsets), pa.array(shared)]
             yield pa.RecordBatch.from_arrays([c.slice(0, n) for c in out], names=[x.split()[0] for x in _SORTED.split(", ")])
+            begin = begin or (cols[0][0], cols[1][0])
             keys, count, offset = [c[n - 1] for c in cols], int(at[n - 1]) + 1, int(offsets[n - 1])
+    if begin:
+        names = [x.split()[0] for x in _SORTED.split(", ")]
+        edge = {"pos": ([-1, -2], pa.int32()), "rank": ([begin[0], keys[0]], pa.int64()), "next": ([begin[1], keys[1]], pa.int64()), "at": ([0, count - 1], pa.int64()), "offset": ([0, offset], pa.int64())}
+        none = {"doc_id": pa.int64(), "left": pa.int32(), "before": pa.int64(), "long": pa.bool_(), "low": pa.int32(), "shared": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(*edge[x]) if x in edge else pa.nulls(2, none[x]) for x in names], names=names)
 
 
 def _round(moving: DataFrame, rest: DataFrame | None, k: int) -> DataFrame:
@@ -126,21 +130,20 @@ def _round(moving: DataFrame, rest: DataFrame | None, k: int) -> DataFrame:
     if rest is not None:
         one = one.unionByName(rest.select(*(x.split()[0] for x in _KEPT.split(", "))), allowMissingColumns=True)
     one = cut(one)
-    ends = one.where("_range is not null").groupBy("_range").agg(F.min(F.struct("rank", "next")).alias("lo"), F.max(F.struct("rank", "next", "at", "offset")).alias("hi"))
+    ends = sorted(one.where("doc_id is null").select("_range", "pos", "rank", "next", "at", "offset").collect(), key=lambda r: (r["_range"], -r["pos"]))  # two rows for each range
+    bounds = list(zip(ends[::2], ends[1::2], strict=True))
     rows, rank, following, count, offset = [], None, None, 0, 0
-    bounds = sorted(ends.collect(), key=lambda r: r["_range"])  # a row for each range
-    for i, r in enumerate(bounds):
-        lo, hi = r["lo"], r["hi"]
+    for i, (lo, hi) in enumerate(bounds):
         carried = count if lo["rank"] == rank else 0
         joins = rank is not None and (lo["rank"], lo["next"]) == (rank, following)
-        then = bounds[i + 1]["lo"] if i + 1 < len(bounds) else None
+        then = bounds[i + 1][0] if i + 1 < len(bounds) else None
         goes_on = then is not None and (then["rank"], then["next"]) == (hi["rank"], hi["next"])
-        rows.append((r["_range"], lo["rank"], lo["next"], carried, offset if joins else None, hi["rank"], hi["next"], goes_on))
+        rows.append((lo["_range"], lo["rank"], lo["next"], carried, offset if joins else None, hi["rank"], hi["next"], goes_on))
         alone = lo["rank"] == hi["rank"]
         offset = offset if joins and alone and lo["next"] == hi["next"] else hi["offset"] + carried * alone
         rank, following, count = hi["rank"], hi["next"], hi["at"] + 1 + carried * alone
     named = "_range int, lo_rank long, lo_next long, carried long, joined long, hi_rank long, hi_next long, goes_on boolean"
-    placed = one.join(F.broadcast(one.sparkSession.createDataFrame(rows, named)), "_range", "left")
+    placed = one.where("doc_id is not null").join(F.broadcast(one.sparkSession.createDataFrame(rows, named)), "_range", "left")
     first = (F.col("rank") == F.col("lo_rank")) & (F.col("next") == F.col("lo_next")) & F.col("joined").isNotNull()
     last = (F.col("rank") == F.col("hi_rank")) & (F.col("next") == F.col("hi_next")) & F.col("goes_on")
     offset = F.when(first, F.col("joined")).otherwise(F.col("offset") + F.when(F.col("rank") == F.col("lo_rank"), F.col("carried")).otherwise(0))

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.common import Words, cut, freed, join_groups, mix, signed, slices
@@ -122,18 +122,16 @@ def components(edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
     that Spark splits where an id has many edges.
     """
     e = cut(edges.select(*kinds, F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u > v").distinct())
+    of = lambda name, value: F.struct(F.col(name).alias("id"), F.col(value).alias("to"))
+    ways = lambda df, *structs: df.select(*kinds, F.explode(F.array(*structs)).alias("_")).select(*kinds, "_.*")  # noqa: E731  # one pass for both
     while True:
-        ends = e.select(*kinds, F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            e.select(*kinds, F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-        )
-        if ends.groupBy(*kinds, "id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
+        ends = ways(e, of("u", "v"), of("v", "u")).groupBy(*kinds, "id").agg(F.sum(F.expr("int(id > to)")).alias("up"), F.max(F.expr("int(id < to)")).alias("down"))
+        if ends.where("up + down > 1 and up > 0").isEmpty():
             return e.select(*kinds, F.col("u").alias("id"), F.col("v").alias("component"))
-        both = e.unionByName(e.select(*kinds, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*kinds, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = join_groups(both.where("v > u"), least, [*kinds, "u"]).select(*kinds, F.col("v").alias("u"), F.col("m").alias("v"))
+        least = ways(e, of("u", "v"), of("v", "u")).groupBy(*kinds, "id").agg(F.least(F.min("to"), F.col("id")).alias("m"))
+        large = join_groups(e.withColumn("id", F.col("v")), least, [*kinds, "id"]).select(*kinds, "u", F.col("m").alias("v"))
         least = large.groupBy(*kinds, "u").agg(F.min("v").alias("m"))
-        small = join_groups(large, least, [*kinds, "u"]).select(*kinds, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(least.select(*kinds, "u", F.col("m").alias("v"))).distinct())
+        e = cut(ways(join_groups(large, least, [*kinds, "u"]), of("v", "m"), of("u", "m")).where("id <> to").select(*kinds, F.col("id").alias("u"), F.col("to").alias("v")).distinct())
 
 
 def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -163,6 +161,15 @@ def _block_links(percent: int) -> Callable[[pa.Table], pa.Table]:
     return task
 
 
+def _blocks(outside: Column) -> Column:
+    """A row for each block (l, r of ls times rs) of a member: as a left row if it is outside the largest part, and as a right row."""
+    at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    each = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    row = lambda left, right, is_left: F.struct(left.alias("l"), right.alias("r"), F.lit(is_left).alias("left"))
+    lefts, rights = F.transform(each("rs"), lambda j: row(at("ls"), j, True)), F.transform(each("ls"), lambda j: row(j, at("rs"), False))
+    return F.explode(F.when(outside, F.concat(lefts, rights)).otherwise(rights)).alias("_")
+
+
 def _links_in_groups(reps: DataFrame, groups: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links of step 4: reps(rep, n), groups and of (id, component), sets(doc_id, set)."""
     member = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left").withColumn("g", F.coalesce("g", "rep"))
@@ -177,11 +184,8 @@ def _links_in_groups(reps: DataFrame, groups: DataFrame, of: DataFrame, sets: Da
         "g", F.col("top.of").alias("largest"), blocks(size - F.col("top.size"), total - F.col("top.total")).alias("ls"), blocks(size, total).alias("rs")
     )
     member = cut(join_groups(member, open_, ["g"]))
-    at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = member.where("of <> largest").select("g", at("ls").alias("l"), each("rs").alias("r"), "rep", "of", F.lit(True).alias("left"))
-    right = member.select("g", each("ls").alias("l"), at("rs").alias("r"), "rep", "of", F.lit(False).alias("left"))
-    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    dealt = member.select("g", "rep", "of", _blocks(F.col("of") != F.col("largest"))).select("g", "rep", "of", "_.*")
+    rows = dealt.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
     return rows.groupBy("g", "l", "r").applyInArrow(_block_links(percent), "x long, y long")
 
 
@@ -236,12 +240,9 @@ def _pairs_in_buckets(live: DataFrame, groups: DataFrame, sets: DataFrame, perce
     blocks = lambda size: F.ceil(size / SKETCH_MEMBERS).cast("int")
     open_ = open_.select("b", F.col("top.g").alias("largest"), blocks(F.col("size") - F.col("top.size")).alias("ls"), blocks(F.col("size")).alias("rs"))
     member = cut(join_groups(member, open_, ["b"]))
-    at = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = member.where("g <> largest").select("b", at("ls").alias("l"), each("rs").alias("r"), "rep", "g", F.lit(True).alias("left"))
-    right = member.select("b", each("ls").alias("l"), at("rs").alias("r"), "rep", "g", F.lit(False).alias("left"))
+    dealt = member.select("b", "rep", "g", _blocks(F.col("g") != F.col("largest"))).select("b", "rep", "g", "_.*")
     sketch = F.transform(F.slice("set", 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
-    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), sketch.alias("sketch")), "rep")
+    rows = dealt.join(sets.select(F.col("doc_id").alias("rep"), sketch.alias("sketch")), "rep")
     return rows.groupBy("b", "l", "r").applyInArrow(_block_groups(sketch_percent(percent)), "x long, y long")
 
 
