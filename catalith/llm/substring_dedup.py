@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from catalith.llm.common import Words, cut, free_name, freed, join_groups, signed, slices
 
 RUNS = "doc_id long, start int, n int, m long, path long"
-#: What is read at source coordinates: a k-mer (its edge), or a whole path (its digest).
-READ = "doc_id long, pos int, m long, edge long, path long, digest binary"
+#: What is read at source coordinates of a run: the k-mers of one that is opened, the digest of one that is a source.
+READ = "doc_id long, start int, m long, path long, edges array<long>, digest binary"
 #: Words of a minimizer for windows of 50 words.
 MINIMIZER_WORDS = 16
 
@@ -98,25 +98,16 @@ def read_at_source(window: int, marks: str) -> Callable[[Iterator[pa.RecordBatch
                 start, n, m, path = (runs.field(k).to_numpy() for k in ("start", "n", "m", "path"))
                 opened, source = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("opened", "source"))
                 row = np.repeat(np.arange(len(part)), np.diff(ends))
-                first, last = start + w.row[row], start + w.row[row] + n + window - 1
-                fits = last <= w.row[row + 1]  # all, unless rows with one doc_id differ
-                o, r = np.flatnonzero(opened), np.flatnonzero(source & fits)
-                each = np.repeat(o, n[o])
-                word = np.arange(n[o].sum()) - np.repeat(np.cumsum(n[o]) - n[o], n[o]) + first[each]
-                each, word = (x[word + window <= w.row[row[each] + 1]] for x in (each, word))
-                digests = [digest_of(w.data[w.start[a] : w.end[b - 1]].tobytes()) for a, b in zip(first[r], last[r], strict=True)]
-                whole = np.concatenate([each, r])
-                none = np.arange(len(whole)) >= len(each)
+                first, end = start + w.row[row], w.row[row + 1]
+                fits = np.clip(end - window - first + 1, 0, n)  # n, unless rows with one doc_id differ
+                opened_n = np.where(opened, fits, 0)
+                word = np.arange(opened_n.sum()) - np.repeat(np.cumsum(opened_n) - opened_n, opened_n) + np.repeat(first, opened_n)
+                edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(opened_n)]).astype(np.int32)), pa.array(signed(w.span_hash(word, window))))
+                whole = source & (fits == n)
+                digests = [digest_of(w.data[w.start[a] : w.end[a + k + window - 2]].tobytes()) if x else None for a, k, x in zip(first, n, whole, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(row[whole])),
-                        pa.array(np.concatenate([word, first[r]]).astype(np.int64) - w.row[row[whole]], pa.int64()).cast(pa.int32()),
-                        pa.array(m[whole]),
-                        pa.array(np.concatenate([signed(w.span_hash(word, window)), np.zeros(len(r), np.int64)]), mask=none),
-                        pa.array(path[whole], mask=~none),
-                        pa.array([None] * len(each) + digests, pa.binary()),
-                    ],
-                    names=["doc_id", "pos", "m", "edge", "path", "digest"],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(m), pa.array(path), edges, pa.array(digests, pa.binary())],
+                    names=[x.split()[0] for x in READ.split(", ")],
                 )
 
     return task
@@ -154,10 +145,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     digests = read.where("digest is not null").groupBy("m", "path").agg(F.min("digest").alias("digest"))
     later = copies.where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "start", "n", "m", "path")
     whole = join_groups(later, digests, ["m", "path"]).select("doc_id", "start", "n", "digest")
-    edges = read.where("edge is not null").select("doc_id", "pos", "m", "edge")
+    edges = read.select("doc_id", "start", "m", F.posexplode("edges").alias("_at", "edge")).select("doc_id", (F.col("start") + F.col("_at")).alias("start"), "m", "edge")
     first = edges.groupBy("m", "edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     single = join_groups(edges, first, ["m", "edge"]).where("doc_id > lo")
-    single = single.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest"))
+    single = single.select("doc_id", "start", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest"))
     return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
 
 

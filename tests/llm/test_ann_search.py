@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from catalith.llm import ann_search as op
 from catalith.llm.queries import op4_ann_search
@@ -30,6 +31,20 @@ def test_recall_and_scores(spark, monkeypatch):
         assert hits >= 0.95 * len(got)
 
 
+@pytest.mark.parametrize(("dim", "spread"), [(64, 1.0), (256, 1.0), (64, 0.1)])
+def test_a_full_block(dim, spread):
+    """Recall of a block of production size, without structure and in clusters; where neighbours are near, few vectors are verified."""
+    r = np.random.default_rng(7)
+    v = r.standard_normal((80, dim))[r.integers(0, 80, op.VECTORS_IN_BLOCK)] * (spread < 1) * 3 + r.standard_normal((op.VECTORS_IN_BLOCK, dim)) * spread
+    own = np.arange(0, len(v), 200)
+    index = op.SortedLines(np.arange(len(v)), v)
+    got = index.search(v[own], own, 10)
+    want = brute(list(enumerate(v)), [(int(i), v[i]) for i in own])
+    hits = sum(len({i for i, _ in want[int(q)]} & set(ids.tolist())) for q, (ids, _) in zip(own, got, strict=True))
+    assert hits >= 0.95 * 10 * len(own)
+    assert spread == 1 or index.verified < 0.05 * len(v) * len(own)
+
+
 def test_cases(spark):
     good = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (200, [5.0, 5.0]), (100, [1.0, 0.0])]
     bad = [(4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (300, [0.0, 0.0]), (9, [1.0, 2.0, 3.0]), (10, [])]
