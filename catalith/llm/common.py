@@ -100,7 +100,7 @@ def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     kept = _KEPT_POWERS.get(base)
     if kept is None or len(kept[0]) < size:
         one = np.ones(1, np.uint64)
-        n = max(1 << 16, int(size) + 1)
+        n = 1 << max(16, int(size).bit_length())  # a power of two, so that it seldom grows
         kept = tuple(np.concatenate([one, np.cumprod(np.full(n, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
         if n <= 2 * SLICE_BYTES:
             _KEPT_POWERS[base] = kept

@@ -7,16 +7,14 @@ equal k-mers always lie in runs with the same minimizer. A run is one row.
 
 1.  Runs are aggregated by minimizer. Minimizers of a single document hold no repeated edge and go.
 2.  Runs of one minimizer with the same content are one nonbranching path: they compact, by a Spark
-    join, into its source, the first place of the smallest document; a copy in a later document is repeated as a whole.
+    join, into their first document, and every copy in a later one is repeated as a whole.
 3.  Where a minimizer has several paths (the graph branches there: the ends of a shared passage, an
     edited word), the copies of each path in its first document are opened into their k-mers again,
     read at their source coordinates, and compared edge by edge.
-4.  The words of each path are read at its source coordinates as well; their digest goes to the copies, and a
-    copy whose own words have another digest is no copy.
-5.  The spans found are merged for each document and cut out of its text.
+4.  The spans found are merged for each document and cut out of its text.
 
-A k-mer is found by two independent 64-bit values (minimizer and content), a path is verified by 128 bits of its words.
-Aggregations combine before the shuffle and joins have one row for each key on one side, so
+A k-mer is compared by two independent 64-bit values (minimizer and content), so a false match is out of
+reach. Aggregations combine before the shuffle and joins have one row for each key on one side, so
 a group of copies of any size is split among tasks.
 """
 
@@ -33,8 +31,7 @@ from pyspark.sql import functions as F
 from catalith.llm.common import Words, cut, free_name, freed, join_groups, signed, slices
 
 RUNS = "doc_id long, start int, n int, m long, path long"
-#: What is read at source coordinates of a run: the k-mers of one that is opened, the digest of one that is a source.
-READ = "doc_id long, start int, m long, path long, edges array<long>, digest binary"
+EDGES = "doc_id long, pos int, m long, edge long"
 #: Words of a minimizer for windows of 50 words.
 MINIMIZER_WORDS = 16
 
@@ -80,34 +77,30 @@ def runs_of(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return task
 
 
-def digest_of(raw: bytes) -> bytes:
-    """128 bits of the words of raw, whatever white space is between them."""
-    return hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest()
-
-
-def read_at_source(window: int, marks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of the runs asked for: the k-mers of those that are opened, and the digests of those that are sources, both read in the text."""
+def edges_of(window: int, marks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k-mers of the runs asked for, read at their places in the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"))
-                asked = part.column(marks)
+                ids, asked = part.column("doc_id").to_pylist(), part.column(marks)
                 ends = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
                 runs = asked.flatten()
-                start, n, m, path = (runs.field(k).to_numpy() for k in ("start", "n", "m", "path"))
-                opened, source = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("opened", "source"))
-                row = np.repeat(np.arange(len(part)), np.diff(ends))
-                first, end = start + w.row[row], w.row[row + 1]
-                fits = np.clip(end - window - first + 1, 0, n)  # n, unless rows with one doc_id differ
-                opened_n = np.where(opened, fits, 0)
-                word = np.arange(opened_n.sum()) - np.repeat(np.cumsum(opened_n) - opened_n, opened_n) + np.repeat(first, opened_n)
-                edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(opened_n)]).astype(np.int32)), pa.array(signed(w.span_hash(word, window))))
-                whole = source & (fits == n)
-                digests = [digest_of(w.data[w.start[a] : w.end[a + k + window - 2]].tobytes()) if x else None for a, k, x in zip(first, n, whole, strict=True)]
+                start, n, m = (runs.field(k).to_numpy() for k in ("start", "n", "m"))
+                row = np.repeat(np.arange(len(ids)), np.diff(ends))
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos = np.repeat(start, n) + offset
+                word = pos + np.repeat(w.row[row], n)
+                fits = word + window <= np.repeat(w.row[row + 1], n)  # all, unless rows with one doc_id differ
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(m), pa.array(path), edges, pa.array(digests, pa.binary())],
-                    names=[x.split()[0] for x in READ.split(", ")],
+                    [
+                        part.column("doc_id").take(pa.array(np.repeat(row, n)[fits])),
+                        pa.array(pos[fits].astype(np.int32)),
+                        pa.array(np.repeat(m, n)[fits]),
+                        pa.array(signed(w.span_hash(word[fits], window))),
+                    ],
+                    names=["doc_id", "pos", "m", "edge"],
                 )
 
     return task
@@ -119,10 +112,9 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, spans): for each document with words to remove, the runs (start, n, digest) of repeated windows.
+    """(doc_id, spans): for each document with words to remove, the runs (start, n) of repeated windows.
 
-    Window i of a run covers the words start + i to start + i + window - 1. digest: of all these words where they stand in
-    the source; null for a window that was read at both its places.
+    Window i of a run covers the words start + i to start + i + window - 1.
     """
     docs = with_ids(docs)
     runs = docs.select("doc_id", "text").mapInArrow(freed(runs_of(window)), RUNS)
@@ -133,34 +125,21 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         .drop("hi")
     )
     found = cut(join_groups(runs, shared, ["m"]))
-    paths = found.groupBy("m", "path").agg(F.min(F.struct("doc_id", "start")).alias("source"))
-    copies = join_groups(found.select("doc_id", "start", "n", "m", "path", "branches"), paths, ["m", "path"])
-    source = (F.col("doc_id") == F.col("source.doc_id")) & (F.col("start") == F.col("source.start"))
-    opened = F.col("branches") & (F.col("doc_id") == F.col("source.doc_id"))
-    asked = copies.select("doc_id", F.struct("start", "n", "m", "path", opened.alias("opened"), source.alias("source")).alias("run")).where("run.opened or run.source")
+    branching = found.where("branches").drop("lo", "branches")
+    paths = branching.groupBy("m", "path").agg(F.min("doc_id").alias("first"))
+    copies = join_groups(branching, paths, ["m", "path"])
+    whole = found.where("not branches and doc_id > lo").select("doc_id", "start", "n").unionByName(
+        copies.where("doc_id > first").select("doc_id", "start", "n")
+    )
     of, marks = free_name(docs, "_of"), free_name(docs, "_runs")
-    asked = asked.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("run").alias(marks))  # a set, as rows with one doc_id ask for the same
+    asked = (  # a set, as rows with one doc_id ask for the same
+        copies.where("doc_id = first").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("start", "n", "m")).alias(marks))
+    )
     # All columns of docs pass here, so that this shuffle of the texts is the one that the caller's join reuses.
-    read = cut(docs.join(asked, docs["doc_id"] == asked[of]).drop(of).mapInArrow(freed(read_at_source(window, marks)), READ))
-    digests = read.where("digest is not null").groupBy("m", "path").agg(F.min("digest").alias("digest"))
-    later = copies.where(F.col("doc_id") > F.col("source.doc_id")).select("doc_id", "start", "n", "m", "path")
-    whole = join_groups(later, digests, ["m", "path"]).select("doc_id", "start", "n", "digest")
-    edges = read.select("doc_id", "start", "m", F.posexplode("edges").alias("_at", "edge")).select("doc_id", (F.col("start") + F.col("_at")).alias("start"), "m", "edge")
+    edges = docs.join(asked, docs["doc_id"] == asked[of]).drop(of).mapInArrow(freed(edges_of(window, marks)), EDGES)
     first = edges.groupBy("m", "edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    single = join_groups(edges, first, ["m", "edge"]).where("doc_id > lo")
-    single = single.select("doc_id", "start", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("digest"))
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
-
-
-def _verified(w: Words, first: int, window: int, spans: pa.StructArray) -> np.ndarray:
-    """Which spans of a text, whose first word is given, have the words that their digests ask for."""
-    start, n = (spans.field(k).to_numpy() for k in ("start", "n"))
-    good = np.ones(len(start), bool)
-    for i, given in enumerate(spans.field("digest").to_pylist()):
-        if given is not None:
-            a, b = first + int(start[i]), first + int(start[i]) + int(n[i]) + window - 1
-            good[i] = b <= len(w.end) and digest_of(w.data[w.start[a] : w.end[b - 1]].tobytes()) == given
-    return good
+    single = join_groups(edges, first, ["m", "edge"]).where("doc_id > lo").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _covered(n_words: int, window: int, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -186,8 +165,7 @@ def _cutter(names: list[str], added: list[str], marks: str, window: int) -> Call
                     if given:
                         r0, r1 = w.row[i], w.row[i + 1]
                         s = spans[i].values
-                        good = _verified(w, int(r0), window, s)
-                        gone = _covered(int(r1 - r0), window, s.field("start").to_numpy()[good], s.field("n").to_numpy()[good])
+                        gone = _covered(int(r1 - r0), window, s.field("start").to_numpy(), s.field("n").to_numpy())
                         removed[i] = gone.sum()
                         start = w.start[r0:r1] - a
                         turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
@@ -211,9 +189,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     Adds _n_words and _n_removed (of the input). Kept words stay with the white space after them; a text
     that loses nothing is unchanged. Null text: stays null, no words. Text shorter than a window: unchanged.
     Null doc_id: the row is kept as it is and is no source. Rows that share a doc_id count as one document:
-    none is a source for the other, and what is found in one is cut from each, where its words are the same. A text of
-    any length is read whole. Other columns pass through, whatever their names; the two new ones have further
-    underscores where docs has their names. An empty table gives an empty result.
+    none is a source for the other, and what is found in one is cut from each. A text of any length is read whole. Other
+    columns pass through, whatever their names; the two new ones have further underscores where docs has their names. An
+    empty table gives an empty result.
     """
     of, marks, *added = (free_name(docs, x) for x in ("_of", "_spans", "_n_words", "_n_removed"))
     spans = repeated_spans(docs, window).select(F.col("doc_id").alias(of), F.col("spans").alias(marks))

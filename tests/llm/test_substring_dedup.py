@@ -1,10 +1,7 @@
 import hashlib
 import re
 
-import pyarrow as pa
-
 from catalith.llm import substring_dedup as op
-from catalith.llm.common import Words
 from catalith.llm.queries import op1_substring_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -64,14 +61,6 @@ def test_second_copy_in_the_document_of_the_first(spark):
     assert sorted(map(tuple, op.digest(op.substring_dedup(df)).collect()), key=repr) == brute(rows)
 
 
-def test_copies_are_verified_by_their_words():
-    text = pa.array(["a b c d e f", "x a b"])
-    w, spans = Words(text), lambda raw: pa.StructArray.from_arrays([pa.array([1, 1]), pa.array([2, 9]), pa.array([raw, None], pa.binary())], names=["start", "n", "digest"])
-    assert op._verified(w, 0, 3, spans(op.digest_of(b"b  c\nd e"))).tolist() == [True, True]
-    assert op._verified(w, 0, 3, spans(op.digest_of(b"b c d f"))).tolist() == [False, True]
-    assert op._verified(w, 6, 3, spans(op.digest_of(b"a b"))).tolist() == [False, True]  # beyond the end of the text
-
-
 def test_clashing_names(spark):
     from pyspark.sql import functions as F
 
