@@ -30,14 +30,19 @@ _SPACED = re.compile(rf"[{_SPACE}]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{_SPACE}{_MARK}]|
 
 
 class PieceEncoder:
-    """spaced: the tokenizer is byte-level; else it drops white space and lower-cases."""
+    """spaced: the tokenizer is byte-level; else it drops white space and lower-cases.
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    plain: strings of special tokens in a text are ordinary text; else they are those tokens, as in the library's own call.
+    """
+
+    def __init__(self, path: str, spaced: bool, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special and not plain else None
         self.spaced = spaced
         self.kept: dict[str, bytes] = {}
         #: What stands between pieces, and which ids end one: the line feed's own, or those that close a word.
@@ -73,7 +78,15 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(x or "") for x in texts]
+        texts = [x or "" for x in texts]
+        whole = [self.special is not None and self.special.search(x) is not None for x in texts]  # special tokens are found before a text is cut
+        out = self.encode_pieces([[] if w else self.pieces(x) for w, x in zip(whole, texts, strict=True)])
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of texts cut into pieces."""
         new = list(set(chain.from_iterable(cut)).difference(self.kept))
         fresh = self.fresh(new)
         if len(self.kept) < CACHE_PIECES:
@@ -95,6 +108,6 @@ class _Either(dict):
 
 
 @functools.lru_cache(4)
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, plain: bool = False) -> PieceEncoder:
     """One for each process, which Spark uses for many tasks."""
-    return PieceEncoder(path, spaced)
+    return PieceEncoder(path, spaced, plain)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from catalith.llm import secret_scan as secrets
 from catalith.llm.license_scan import LOWER, NOTICES, PHRASES, UPPER
+from catalith.llm.merkle_manifest import FAN, FIELDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
@@ -130,4 +132,108 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op2_license_scan": OP2, "op5_line_dedup": OP5, "op8_minhash_dedup": OP8}
+
+
+def _hits(kind: int, pattern: str, least: int, group: int = 0) -> str:
+    """The matches of a kind: their places follow from the lengths of the matches and of the gaps between them."""
+    said = pattern.replace("'", "''")
+    length = lambda part: f"coalesce(list_sum([length(x) for x in {part}]), 0)"
+    return f"""
+  SELECT r, source, {kind} AS kind, start, start + length(m) AS "end", value FROM (
+    SELECT r, source, matches[i] AS m, regexp_extract(matches[i], '{said}', {group}) AS value,
+      {length("gaps[1:i]")} + {length("matches[1:i-1]")} AS start
+    FROM (SELECT r, source, matches, gaps, unnest(range(1, len(matches) + 1)) AS i FROM (
+      SELECT r, source, regexp_extract_all(t, '{said}') AS matches, string_split_regex(t, '{said}') AS gaps FROM texts WHERE regexp_matches(t, '{said}')))
+  ) WHERE length(value) >= {least}"""
+
+
+OP12 = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS ({_hits(0, secrets.ASSIGN, secrets.ASSIGN_LEAST, 2)}
+  UNION ALL {_hits(1, secrets.ACCESS, secrets.ACCESS_LEAST)}
+  UNION ALL {_hits(2, f"{secrets.HEX[:-1]}{{{secrets.HEX_LEAST},}}", secrets.HEX_LEAST)}),
+every AS (SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) >= {secrets.LIVE_DIGITS}
+  AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= {secrets.LIVE_LETTERS}
+  AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_DISTINCT} AS live
+  FROM (FROM base UNION ALL {_hits(3, f"{secrets.WIDE[:-1]}{{{secrets.WIDE_LEAST},}}", secrets.WIDE_LEAST)})),
+candidates AS (SELECT * FROM every e WHERE kind < 3 OR live AND NOT EXISTS (FROM base b WHERE b.r = e.r AND b.start < e."end" AND e.start < b."end")),
+owners AS (SELECT value, count(DISTINCT source) + max((source IS NULL)::INT) AS n FROM candidates GROUP BY value),
+judged AS (
+  SELECT *, CASE WHEN n >= {secrets.SHARED_OWNERS} THEN 'shared' WHEN live THEN 'live' ELSE 'unclear' END AS verdict,
+    {list(secrets.KINDS)}[kind + 1] || ':' || start || ':' || "end" AS said
+  FROM candidates JOIN owners USING (value)
+),
+kept AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (WHERE kind = 3) AS n_owned, count(*) FILTER (WHERE verdict = 'shared') AS n_shared, count(*) FILTER (WHERE verdict = 'live') AS n_live
+  FROM judged WHERE kind < 3 OR verdict = 'live' GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ("n_assign", "n_access", "n_hex", "n_owned", "n_shared", "n_live"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+#: CRC-32 bit by bit over the decimal digits.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"""
+_RUN = f"PARTITION BY layer, tree, lvl, pos // {FAN} ORDER BY pos"
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256({" || ".join(map(_field, FIELDS))}) AS leaf,
+    sha256({" || ".join(_field(f if f != "text" else f"CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END") for f in FIELDS)}) AS found
+  FROM documents
+),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves
+),
+up AS (
+  SELECT tree, 0 AS lvl, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // {FAN}, (n + {FAN - 1}) // {FAN}, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lvl, n, pos // {FAN}
+),
+roots AS (SELECT tree, lvl AS height, node AS subroot FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, tree AS pos, (SELECT count(*) FROM roots) AS n, subroot AS node FROM roots
+  UNION ALL
+  SELECT lvl + 1, pos // {FAN}, (n + {FAN - 1}) // {FAN}, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // {FAN}
+),
+nodes AS (SELECT 0 AS layer, tree, lvl, pos, node FROM up WHERE n > 1 UNION ALL SELECT 1, 0, lvl, pos, node FROM top WHERE n > 1),
+siblings AS (
+  SELECT layer, tree, lvl, pos, coalesce(string_agg(node, '') OVER ({_RUN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER ({_RUN} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes
+),
+heights AS (SELECT tree, height, (SELECT max(lvl) FROM top) AS top_height FROM roots),
+steps AS (
+  SELECT r, k, CASE WHEN k < height THEN 0 ELSE 1 END AS layer, CASE WHEN k < height THEN tree ELSE 0 END AS tree,
+    CASE WHEN k < height THEN k ELSE k - height END AS lvl, (CASE WHEN k < height THEN pos // ({FAN} ** k)::BIGINT ELSE tree // ({FAN} ** (k - height))::BIGINT END) AS pos
+  FROM (SELECT r, tree, pos, height, unnest(range(height + top_height)) AS k FROM placed JOIN heights USING (tree))
+),
+paths AS (SELECT r, k, before, after FROM steps JOIN siblings USING (layer, tree, lvl, pos)),
+proofs AS (SELECT r, string_agg(before || after, '' ORDER BY k) AS proof FROM paths GROUP BY r),
+fold AS (
+  SELECT r, 0 AS k, found AS node FROM placed
+  UNION ALL
+  SELECT r, k + 1, sha256(before || node || after) FROM fold JOIN paths USING (r, k)
+),
+folded AS (SELECT r, arg_max(node, k) AS folded_root FROM fold GROUP BY r),
+root AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN roots USING (tree) JOIN folded USING (r) LEFT JOIN proofs USING (r), root
+"""
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1,
+    "op2_license_scan": OP2,
+    "op5_line_dedup": OP5,
+    "op8_minhash_dedup": OP8,
+    "op12_secret_scan": OP12,
+    "op13_merkle_manifest": OP13,
+}

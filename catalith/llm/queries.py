@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import ann_search, license_scan, line_dedup, minhash_dedup, packing, quality_rules
-from catalith.llm import sentencepiece_codec, substring_dedup, token_files, toxicity
+from catalith.llm import ann_search, license_scan, line_dedup, merkle_manifest, minhash_dedup, packing, quality_rules
+from catalith.llm import secret_scan, sentencepiece_codec, substring_dedup, token_alignment, token_files, toxicity
 from catalith.llm.common import table
 from catalith.llm.oracles import ORACLES as ORACLES
 
@@ -58,6 +58,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents"), owner="source", repository="doc_id"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digest_of_proofs(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_substring_dedup,
     op2_license_scan,
@@ -69,5 +82,8 @@ _ALL = (
     op8_minhash_dedup,
     op9_sentencepiece,
     op10_quality_rules,
+    op11_token_alignment,
+    op12_secret_scan,
+    op13_merkle_manifest,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

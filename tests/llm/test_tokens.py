@@ -12,9 +12,9 @@ from catalith.llm.queries import op6_packing, op7_token_files
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def ids_of(path, texts, end):
+def ids_of(path, texts, end, plain=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -45,12 +45,14 @@ def test_lengths():
         assert sum(packing.lengths(n, 64)) == n
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
-def test_pieces_encode_as_the_library(doc_rows, path, spaced):
-    texts = [r[1] for r in doc_rows] + ["a.b'll ,x", "Σς ΣΑΣ.́ x́. á", "\x85\x85a \r\n\tb\x0c ", "!!..  ..!! ?", "12ab3c.4d", " x  y", "The'S x'", " ́ a"]
-    coder = bpe.PieceEncoder(path, spaced)
+def test_pieces_encode_as_the_library(doc_rows, path, spaced, plain):
+    special = ["<|endoftext|>", "a <|endoftext|>\n<|startoftext|> b", " <|ENDOFTEXT|>x", "foo  <|endoftext|>  bar\n <|startoftext|>\n", "x<|endoftext|", "y<|startoftext|><|endoftext|>"]
+    texts = [r[1] for r in doc_rows] + special + ["a.b'll ,x", "Σς ΣΑΣ.́ x́. á", "\x85\x85a \r\n\tb\x0c ", "!!..  ..!! ?", "12ab3c.4d", " x  y", "The'S x'", " ́ a"]
+    coder = bpe.PieceEncoder(path, spaced, plain)
     got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)]
-    assert got == [x[:-1] for x in ids_of(path, texts, 0)]
+    assert got == [x[:-1] for x in ids_of(path, texts, 0, plain)]
 
 
 def test_full_cache(monkeypatch, doc_rows):
