@@ -92,21 +92,10 @@ class PieceEncoder:
         if len(self.kept) < CACHE_PIECES:
             self.kept |= fresh
             return [b"".join(map(self.kept.__getitem__, p)) for p in cut]
-        known = self.kept | fresh if len(fresh) > len(self.kept) else _Either(fresh, self.kept)
+        known = self.kept | fresh
         return [b"".join(map(known.__getitem__, p)) for p in cut]
 
 
-class _Either(dict):
-    """A dictionary that asks another one for what it lacks."""
-
-    def __init__(self, own: dict[str, bytes], other: dict[str, bytes]) -> None:
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key: str) -> bytes:
-        return self.other[key]
-
-
 @functools.lru_cache(4)
 def encoder(path: str, spaced: bool, plain: bool = False) -> PieceEncoder:
     """One for each process, which Spark uses for many tasks."""

@@ -78,12 +78,33 @@ def groups_of(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b
     return cuts + 1, last[cuts] + 1
 
 
+class Joined:
+    """Whether the bytes of a text's tokens, one after the other, are the text's; for all texts of a pass at once."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.raw = raw
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def __call__(self, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+        every = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int64)
+        size = self.size[every]
+        at = np.repeat(self.start[every] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        ends = np.append(0, np.cumsum(size))[np.cumsum([len(x) for x in ids], dtype=np.int64)]
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        if np.array_equal(ends, np.cumsum([len(x) for x in texts])) and np.array_equal(self.bytes[at], text):
+            return np.ones(len(ids), bool)
+        return np.array([b"".join(map(self.raw.__getitem__, x.tolist())) == t for x, t in zip(ids, texts, strict=True)], bool)
+
+
 class Aligner:
     """The two tokenizers of a process, and what the strings and keys of their ids need."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.size_a, self.size_b = (np.array([len(x) for x in side.raw], np.int64) for side in (self.a, self.b))
+        self.joined_a, self.joined_b = Joined(self.a.raw), Joined(self.b.raw)
+        self.size_a, self.size_b = self.joined_a.size, self.joined_b.size
         #: A pair of ids is a * base + b.
         self.base = len(self.b.raw)
         #: Each id with what may follow it.
@@ -93,12 +114,15 @@ class Aligner:
         """The ids of each text by A and by B; none if the bytes of either differ from the space and the text."""
         none = np.zeros(0, "<u4")
         live = [i for i, t in enumerate(texts) if t]
-        out_a, out_b = [none] * len(texts), [none] * len(texts)
         some = [texts[i] for i in live]
-        for i, text, a, b in zip(live, some, self.a.encode(some), self.b.encode(some), strict=True):
-            raw = f" {text}".encode()
-            if b"".join(map(self.a.raw.__getitem__, a.tolist())) == raw == b"".join(map(self.b.raw.__getitem__, b.tolist())):
-                out_a[i], out_b[i] = a, b
+        raws = [f" {t}".encode() for t in some]
+        same = np.ones(len(some), bool)
+        found = self.a.encode(some), self.b.encode(some)
+        for side, ids in zip((self.joined_a, self.joined_b), found, strict=True):
+            same &= side(ids, raws)
+        out_a, out_b = [none] * len(texts), [none] * len(texts)
+        for k in np.flatnonzero(same).tolist():
+            out_a[live[k]], out_b[live[k]] = found[0][k], found[1][k]
         return out_a, out_b
 
     def align(self, texts: list[str | None]) -> dict[str, np.ndarray | list[str]]:
