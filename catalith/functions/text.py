@@ -78,3 +78,11 @@ def deletions(word: Column, edits: int) -> Column:
     for _ in range(edits):
         out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
     return out
+
+
+def left_by_deletions(word: str, edits: int) -> set[str]:
+    """The same for a word of a request."""
+    out = {word}
+    for _ in range(edits):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.coerce import falsy_or, int_or_zero, timestamp_or_null, trending_score, truthy_id
 from catalith.operators.lookup import lookup_last
-from catalith.operators.paging import Page, take
+from catalith.operators.paging import Page
 
 #: Rows kept of each ranking.
 KEPT = {"latest": 200_000, "popular": 200_000, "trending": 1_000}
@@ -95,8 +95,9 @@ def rank_counts(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_page(snapshot: DataFrame, page: Page) -> DataFrame:
-    """A page of a stored ranking; no token count reads as 0, no flag as false."""
-    return take(snapshot, [F.col("rank").asc()], page).select(
+    """A page of a stored ranking: its ranks, which the scan gets, as a ranking is stored in their order. No token count reads as 0, no flag as false."""
+    rows = snapshot.where(F.col("rank").between(page.offset + 1, page.offset + page.size)).orderBy("rank")
+    return rows.select(
         "list_id",
         "list_title",
         "org_nm",

@@ -1,8 +1,11 @@
 """Weighted full-text search over an index of tokens.
 
-The index is three tables: tokens (list_id, field, len, pos, term), terms (field, term and how many documents have it)
-and fields (how many documents have the field, and its mean length). A stored one is sorted by term, and a request
-reads the terms it asks for only: they are literals that go down to the scan while they are MAX_LITERALS at most, and
+The index is four tables: tokens (list_id, field, len, pos, term), terms (field, term and how many documents have it),
+fields (how many documents have the field, and its mean length) and deletions (key, term): what is left of the first
+PREFIX characters of a term after up to MAX_EDITS deletions. Two terms within as many edits share such a key: of an
+alignment's first PREFIX characters on either side, no more than the edits are unmatched. So a fuzzy term reads its few keys
+and verifies a handful of terms; no request reads the vocabulary. A stored index is sorted by term and key, and a request
+reads what it asks for only: literals that go down to the scan while they are MAX_LITERALS at most, and
 else the small side of a join. Every field has an analyzer, for texts and requests alike. Scores are BM25 (Robertson, Zaragoza 2009) within a
 field, with idf = ln(1 + (N - n + 0.5) / (n + 0.5)) over the documents that have the field; a clause scores its
 best field times its boost, and a document the sum of its clauses. A query term that matches several terms of the
@@ -19,7 +22,6 @@ from pyspark.sql import functions as F
 
 from catalith.functions import text as analyzers
 from catalith.functions.coerce import strip
-from catalith.sources.stores import read_snapshot, replace_snapshot
 
 K1, B = 1.2, 0.75
 #: Boosts of the fields by kind of clause.
@@ -35,6 +37,8 @@ Analyzer = Callable[[Column], Column]
 ANALYZERS: dict[str, Analyzer] = {"title": analyzers.english, **dict.fromkeys(("category_nm", "dept_nm", "keywords", "data_format", "api_type"), analyzers.keyword)}
 #: Terms that a request puts into the scan of the index; with more, it joins them.
 MAX_LITERALS = 5_000
+#: Edits that deletions are stored for, and characters of a term that they are taken of: 37 keys for a term at most.
+MAX_EDITS, PREFIX = 2, 8
 
 
 @dataclass(frozen=True)
@@ -49,18 +53,42 @@ class Clause:
     boost: float = 1.0
 
 
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """field, term and n, the documents that have it there."""
+    return tokens.groupBy("field", "term", "list_id").agg(F.lit(1).alias("one")).groupBy("field", "term").agg(F.count("*").alias("n"))
+
+
+def field_totals(tokens: DataFrame) -> DataFrame:
+    """field, docs that have it and total, the tokens of all of them."""
+    return tokens.where("pos = 0").groupBy("field").agg(F.count("*").alias("docs"), F.sum("len").alias("total"))
+
+
+def mean_lengths(totals: DataFrame) -> DataFrame:
+    return totals.select("field", "docs", (F.col("total") / F.col("docs")).alias("mean_len"))
+
+
+def deletion_postings(terms: DataFrame) -> DataFrame:
+    """key and term of each distinct term."""
+    head = F.substring("term", 1, PREFIX)
+    return terms.select("term").distinct().select(F.explode(analyzers.deletions(head, MAX_EDITS)).alias("key"), "term")
+
+
 @dataclass(frozen=True)
 class Index:
     tokens: DataFrame
     terms: DataFrame
     fields: DataFrame
+    deletions: DataFrame
     analyzers: dict[str, Analyzer] = field(default_factory=lambda: ANALYZERS)
 
     @staticmethod
     def of(tokens: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
-        terms = tokens.groupBy("field", "term", "list_id").agg(F.lit(1).alias("one")).groupBy("field", "term").agg(F.count("*").alias("n"))
-        fields = tokens.where("pos = 0").groupBy("field").agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-        return Index(tokens, terms, fields, ANALYZERS if by_field is None else by_field)
+        terms = term_counts(tokens)
+        return Index.stored(tokens, terms, mean_lengths(field_totals(tokens)), deletion_postings(terms), by_field)
+
+    @staticmethod
+    def stored(tokens: DataFrame, terms: DataFrame, fields: DataFrame, deletions: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
+        return Index(tokens, terms, fields, deletions, ANALYZERS if by_field is None else by_field)
 
     def analyzer(self, name: str) -> Analyzer:
         return self.analyzers.get(name, analyzers.words)
@@ -86,22 +114,6 @@ def build_index(docs: DataFrame, fields: dict[str, str] | None = None, by_field:
     return Index.of(rows.select("list_id", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("pos", "term")), by_field)
 
 
-def write_index(index: Index, folder: str) -> None:
-    """Stores an index: tokens in a folder for each field, sorted by term; terms and fields from the tokens as stored."""
-    spark = index.tokens.sparkSession
-    order = ["field", "term", "list_id"]  # the last one, so that a frequent term is dealt among files
-    replace_snapshot(index.tokens.repartitionByRange(*order).sortWithinPartitions(*order), f"{folder}/tokens", also_empty=True, partition_by=("field",))
-    stored = Index.of(read_snapshot(spark, f"{folder}/tokens"), index.analyzers)
-    replace_snapshot(stored.terms.repartitionByRange("term", "field").sortWithinPartitions("term", "field"), f"{folder}/terms", also_empty=True)
-    replace_snapshot(stored.fields, f"{folder}/fields", also_empty=True)
-
-
-def read_index(spark: SparkSession, folder: str, by_field: dict[str, Analyzer] | None = None) -> Index:
-    """A stored index; by_field as it was built with."""
-    parts = [read_snapshot(spark, f"{folder}/{k}") for k in ("tokens", "terms", "fields")]
-    return Index(*parts, ANALYZERS if by_field is None else by_field)
-
-
 def query_terms(spark: SparkSession, asked: list[tuple[str, Analyzer]]) -> list[list[str]]:
     """The terms of each text of a request by its analyzer."""
     if not asked:
@@ -110,11 +122,18 @@ def query_terms(spark: SparkSession, asked: list[tuple[str, Analyzer]]) -> list[
     return [list(x) for x in spark.range(1).select(*cols).first()]  # the request's own texts
 
 
-def near_terms(vocabulary: DataFrame, asked: DataFrame, edits: int, longest: int) -> DataFrame:
-    """(term, asked, edits) of all pairs within their edits, met on what deletions leave of both; asked is the request's."""
-    keys = asked.select("asked", "edits", F.explode(analyzers.deletions(F.col("asked"), edits)).alias("key"))
-    words = vocabulary.where(F.length("term") <= longest + edits).select("term", F.explode(analyzers.deletions(F.col("term"), edits)).alias("key"))
-    return words.join(F.broadcast(keys), "key").where("levenshtein(term, asked) <= edits").select("term", "asked", "edits").distinct()
+def near_terms(index: Index, asked: list[tuple[str, int]]) -> DataFrame:
+    """(asked, edits, term) of all terms within the edits of those asked, which are the request's; met on what deletions leave of both."""
+    if any(e > MAX_EDITS for _, e in asked):
+        raise ValueError(f"edits are from 0 to {MAX_EDITS}")
+    spark = index.tokens.sparkSession
+    keys = sorted({(a, e, k) for a, e in asked for k in analyzers.left_by_deletions(a[:PREFIX], e)})
+    few = sorted({k for _, _, k in keys})
+    rows = spark.createDataFrame(keys, "asked string, edits int, key string")
+    postings = index.deletions.where(F.col("key").isin(few)) if len(few) <= MAX_LITERALS else index.deletions
+    near = F.abs(F.length("term") - F.length("asked")) <= F.col("edits")
+    met = postings.join(F.broadcast(rows) if len(few) <= MAX_LITERALS else rows, "key").where(near & F.expr("levenshtein(term, asked) <= edits"))
+    return met.select("asked", "edits", "term").distinct()
 
 
 def _bm25(tf: Column, idf: Column) -> Column:
@@ -129,8 +148,7 @@ def _found_terms(index: Index, asked: list[tuple]) -> tuple[DataFrame, list[str]
     rows = spark.createDataFrame(same, "asked string, edits int, term string")
     if not fuzzy:
         return rows, sorted({x[2] for x in same})
-    vocabulary = index.terms.where(F.col("field").isin(sorted({x[1] for x in asked}))).select("term").distinct()
-    near = near_terms(vocabulary, spark.createDataFrame(fuzzy, "asked string, edits int"), max(e for _, e in fuzzy), max(len(t) for t, _ in fuzzy)).select("asked", "edits", "term")
+    near = near_terms(index, fuzzy)
     few = near.limit(MAX_LITERALS + 1).collect()
     if len(few) > MAX_LITERALS:
         return rows.unionByName(near).distinct(), None

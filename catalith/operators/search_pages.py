@@ -13,6 +13,17 @@ from catalith.operators.search import top
 
 #: Hits fetched for each row of a page (MIN_HITS at least), and rows that pages are cut from.
 OVERFETCH, MIN_HITS, CAP = 3, 10, 2
+#: Hits whose ids go down to the scans of what they are joined with.
+MAX_IDS = 1_000
+
+
+def _of_hits(hits: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """hits, found once, and the rows of the tables with their ids; all as they are where hits are more than MAX_IDS, no page."""
+    few = hits.limit(MAX_IDS + 1).collect()
+    if len(few) > MAX_IDS:
+        return hits, *tables
+    ids = sorted({r["list_id"] for r in few} - {None})
+    return hits.sparkSession.createDataFrame(few, hits.schema), *(t.where(F.col("list_id").isin(ids)) for t in tables)
 
 
 def _known(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -25,6 +36,7 @@ def found_listings(hits: DataFrame, docs: DataFrame, api: DataFrame, file: DataF
 
     docs: what the index was built from. A hit with only a generated API document counts as one without.
     """
+    hits, docs, api, file, api_docs, file_docs = _of_hits(hits, docs, api, file, api_docs, file_docs)
     source = dedup_last(docs.select("list_id", F.col("list_title").alias("_title"), F.col("org_nm").alias("_org"), F.col("data_type").alias("_kind")), ["list_id"], ["_kind", "_title"])
     rows = hits.join(source, "list_id", "left")
     for known in (
@@ -57,13 +69,12 @@ def documented_page(
     Pages are cut from the first CAP * size such rows among the first overfetch * size hits, so later ones are
     empty; overfetch None: from all hits.
     """
-    ids = id_union(api_docs.select("list_id"), file_docs.select("list_id"))
     if overfetch is not None:
-        hits = top(hits, max(overfetch * size, MIN_HITS))
-    chosen = hits.join(ids, "list_id", "left_semi")
+        hits, docs, api, file, api_docs, file_docs = _of_hits(top(hits, max(overfetch * size, MIN_HITS)), docs, api, file, api_docs, file_docs)
+    chosen = hits.join(id_union(api_docs.select("list_id"), file_docs.select("list_id")), "list_id", "left_semi")
     if overfetch is not None:
         chosen = top(chosen, CAP * size)
-    chosen = top(chosen, size, (page - 1) * size)
+    chosen, docs, api, file, api_docs, file_docs = _of_hits(top(chosen, size, (page - 1) * size), docs, api, file, api_docs, file_docs)
     source = docs.select("list_id", F.col("list_title").alias("_list_title"), F.col("title").alias("_title"))
     rows = chosen.join(dedup_last(source, ["list_id"], ["_list_title", "_title"]), "list_id", "left")
     generated = [d.select("list_id", F.lit(True).alias(k)).distinct() for k, d in (("_api", api_docs), ("_file", file_docs))]

@@ -14,7 +14,8 @@ from catalith.operators import listing, paging, search, search_pages
 from catalith.operators.listing import keep_first, unified
 from catalith.plans.tables import CATALOG_SQL, Catalog, iso_sql, table
 from catalith.sources.ingest import index_listings
-from catalith.sources.stores import read_snapshot, work_folder
+from catalith.sources import segments
+from catalith.sources.stores import fingerprint, work_folder
 
 QUERIES, ORACLES = {}, {}
 PARTS = {"list_id": "p_partkey", "list_title": "p_name", "title": "p_type", "org_nm": "p_brand", "desc": "p_type || ' ' || p_name"}
@@ -26,12 +27,14 @@ SELECT list_id, list_title, title_en AS title, category_nm, dept_nm, org_nm, "de
 UNION ALL SELECT list_id, list_title, title, new_category_nm, dept_nm, org_nm, "desc", data_type, 'FILE', keywords, 'FILE', 1 FROM file)) WHERE r = 1)"""
 LISTED_FIELDS = {k: k for k in ("list_title", "title", "keywords", "org_nm", "category_nm", "dept_nm", "desc")} | {"title_alt": "title"}
 _STOP = ", ".join(f"'{w}'" for w in analyzers.STOP_WORDS)
-_FOLDERS: dict[tuple[str, str, str], str] = {}
+#: The tables that listings are made of.
+LISTING_TABLES = ("documents", "pages", "orders")
+_FOLDERS: dict[tuple, str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> str:
-    """The folder of an index that build has written, once for each session and tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object], tables: tuple[str, ...]) -> str:
+    """The folder of an index that build has written, once for each session and state of the tables' files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _FOLDERS:
         folder = f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
         build(folder)
@@ -105,12 +108,12 @@ def _titles_sql(clauses: list[search.Clause]) -> str:
 
 def _parts(spark: SparkSession, sf_dir: str) -> search.Index:
     docs = table(spark, sf_dir, "part").selectExpr(*(f"{v} AS {k}" for k, v in PARTS.items()))
-    return search.read_index(spark, stored(spark, sf_dir, "parts", lambda folder: search.write_index(search.build_index(docs, PART_FIELDS), folder)))
+    return segments.read_index(spark, stored(spark, sf_dir, "parts", lambda folder: segments.upsert(docs, folder, PART_FIELDS), ("part",)))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> search.Index:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS list_id", "text")
-    return search.read_index(spark, stored(spark, sf_dir, "texts", lambda folder: search.write_index(search.build_index(docs, {"desc": "text"}), folder)))
+    return segments.read_index(spark, stored(spark, sf_dir, "texts", lambda folder: segments.upsert(docs, folder, {"desc": "text"}), ("documents",)))
 
 
 def _rounded(hits: DataFrame) -> DataFrame:
@@ -157,8 +160,8 @@ TERMS = "the and license"
 
 def _listed(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, search.Index]:
     c = Catalog(spark, sf_dir)
-    folder = stored(spark, sf_dir, "listings", lambda folder: index_listings(c.api, c.file, folder))
-    return c, read_snapshot(spark, f"{folder}/docs"), search.read_index(spark, folder)
+    folder = stored(spark, sf_dir, "listings", lambda folder: index_listings(c.api, c.file, folder), LISTING_TABLES)
+    return c, segments.read_docs(spark, folder), segments.read_index(spark, folder)
 
 
 def search_frontend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +205,8 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = c.api.where("list_id in (1, 2)").withColumn("desc", F.lit(INDEX_UPSERT_EXTRA))
     new = c.api.where("list_id = 3").withColumns({"list_id": F.lit(-5).cast("long"), "desc": F.lit(INDEX_UPSERT_EXTRA)})
     index_listings(changed.unionByName(new), c.file.limit(0), folder)
-    hits = search.bm25(search.read_index(spark, folder), TERMS, {"desc": 1.0})
-    kept = read_snapshot(spark, f"{folder}/docs").select("list_id", "data_type")
+    hits = search.bm25(segments.read_index(spark, folder), TERMS, {"desc": 1.0})
+    kept = segments.read_docs(spark, folder).select("list_id", "data_type")
     return _rounded(hits).join(kept, "list_id").select("list_id", "data_type", "score")
 
 

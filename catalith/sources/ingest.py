@@ -5,29 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from catalith.operators.listing import search_documents
-from catalith.operators.search import Index, build_index, read_index, write_index
 from catalith.operators.vectors import Encoder, embedding_text, encode
 from catalith.sources.listings import recommendation_corpus
-from catalith.sources.stores import create_index, last_version, read_snapshot, replace_snapshot
+from catalith.sources.segments import upsert
+from catalith.sources.stores import create_index, replace_snapshot
 
 
 def index_listings(api: DataFrame, file: DataFrame, folder: str, recreate: bool = False) -> int:
     """Writes the search documents and their index under folder; returns how many documents.
 
-    An index that is there stays, but for the documents given: the last one written under an id wins.
+    An index that is there stays, but for the documents given: the last one written under an id wins. One segment is written, in
+    proportion to the documents given, and committed at once (see segments).
     """
-    docs = search_documents(api, file)
-    spark = api.sparkSession
-    if recreate or not last_version(spark, f"{folder}/docs"):
-        replace_snapshot(docs, f"{folder}/docs")
-        write_index(build_index(read_snapshot(spark, f"{folder}/docs")), folder)
-        return docs.count()
-    old, ids = read_snapshot(spark, f"{folder}/docs"), docs.select("list_id")
-    tokens = read_index(spark, folder).tokens.join(ids, "list_id", "left_anti").unionByName(build_index(docs).tokens)
-    merged = Index.of(tokens)
-    write_index(merged, folder)
-    replace_snapshot(old.join(ids, "list_id", "left_anti").unionByName(docs), f"{folder}/docs")
-    return docs.count()
+    return upsert(search_documents(api, file), folder, recreate=recreate)
 
 
 def embed_listings(api: DataFrame, file: DataFrame, encoder: Encoder, name: str, recreate: bool = True) -> int:

@@ -1,8 +1,9 @@
 """Writers. A snapshot is a folder of versions: a new one is written beside the old ones and readers take the last finished one.
 
 A version is finished when Spark has committed it (its _SUCCESS file), so a reader never meets a half-written
-table, what is being read is never overwritten, a write that is lost with its executors leaves the version before it, and
-of two writers that take one version the second fails. The version before the last is kept for those who read it still.
+table, what is being read is never overwritten, and a write that is lost with its executors leaves the version before it. Numbers
+go on after the largest folder, finished or not, so that what a lost write left stands in nobody's way; it is removed with
+the old versions. Of two writers that take one number the second fails. The version before the last is kept for those who read it still.
 """
 
 from __future__ import annotations
@@ -37,14 +38,26 @@ def _store(spark: SparkSession, path: str):  # noqa: ANN202
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The finished versions of a snapshot; only folder names are read."""
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Files, bytes and last change of what is at a path, by which a reader knows that it is as it was."""
+    store, at = _store(spark, path)
+    summary = store.getContentSummary(at)
+    found = [f.getModificationTime() for f in store.listStatus(at)]
+    return summary.getFileCount(), summary.getLength(), max(found, default=0)
+
+
+def _numbered(spark: SparkSession, path: str) -> dict[int, bool]:
+    """The versions of a snapshot, and whether they are finished; only folder names are read."""
     store, at = _store(spark, path)
     if not store.exists(at):
-        return []
+        return {}
     names = [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()]
-    done = [n for n in names if n.startswith("version=") and store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[1])]
-    return sorted(int(n.removeprefix("version=")) for n in done)
+    return {int(n.removeprefix("version=")): store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[1]) for n in names if n.startswith("version=")}
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a snapshot."""
+    return sorted(v for v, done in _numbered(spark, path).items() if done)
 
 
 def last_version(spark: SparkSession, path: str) -> int:
@@ -57,31 +70,37 @@ def replace_snapshot(df: DataFrame, path: str, also_empty: bool = False, partiti
     if not also_empty and df.isEmpty():
         return False
     spark = df.sparkSession
-    old = versions(spark, path)
-    df.write.partitionBy(*partition_by).parquet(f"{path}/version={max(old, default=0) + 1:08d}")
-    for v in old[: -(KEPT_VERSIONS - 1)]:
-        store, at = _store(spark, f"{path}/version={v:08d}")
-        store.delete(at, True)
+    found = _numbered(spark, path)
+    df.write.partitionBy(*partition_by).parquet(f"{path}/version={max(found, default=0) + 1:08d}")
+    kept = sorted(v for v, done in found.items() if done)[-(KEPT_VERSIONS - 1) :]
+    for v in found:
+        if not kept or v < kept[0]:  # a later unfinished one may still be written
+            store, at = _store(spark, f"{path}/version={v:08d}")
+            store.delete(at, True)
     return True
 
 
+def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={version:08d}")
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The last version; the others are not read."""
-    return spark.read.parquet(f"{path}/version={last_version(spark, path):08d}")
+    return read_version(spark, path, last_version(spark, path))
 
 
 def upsert_snapshot(new: DataFrame, path: str, key: str) -> int:
-    """Rows of new in place of those with their keys, the others as they are; returns the rows of new. new has one row for each key."""
-    spark = new.sparkSession
+    """Rows of new in place of those with their keys, the others as they are; returns the rows of new. new has one row for each key.
+
+    The rows are counted as they are written, so the number is that of the rows of new in the store.
+    """
+    spark, seen = new.sparkSession, Observation()
+    marked = new.withColumn("_new", F.lit(True))
     if last_version(spark, path):
         old = read_snapshot(spark, path)
-        merged = old.join(new.select(key), key, "left_anti").unionByName(new)
-    else:
-        merged = new
-    seen = Observation()
-    replace_snapshot(merged, path)
-    new.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-    return seen.get["n"]
+        marked = old.join(new.select(key), key, "left_anti").withColumn("_new", F.lit(False)).unionByName(marked)
+    written = replace_snapshot(marked.observe(seen, F.count(F.when(F.col("_new"), 1)).alias("n")).drop("_new"), path, also_empty=bool(last_version(spark, path)))
+    return seen.get["n"] if written else 0
 
 
 def remove_one(spark: SparkSession, path: str, key: str, value: object) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import coerce, text
 from catalith.operators import detail, listing, lookup, paging, ranks, recommendations, search, search_pages, stats, vectors
-from catalith.sources import ingest, listings, stores
+from catalith.sources import ingest, listings, segments, stores
 
 T = dt.datetime(2024, 1, 1)
 DOC = "list_id long, token_count long, generated_at timestamp, markdown string"
@@ -134,16 +134,16 @@ def test_stored_index_is_read_by_term_and_takes_later_runs(spark, tables, tmp_pa
     api, file = tables[:2]
     folder = str(tmp_path / "index")
     assert ingest.index_listings(api, file, folder) == 4
-    index = search.read_index(spark, folder)
-    hits = lambda text: {r["list_id"] for r in search.bm25(search.read_index(spark, folder), text, {"list_title": 1.0}).collect()}
+    index = segments.read_index(spark, folder)
+    hits = lambda text: {r["list_id"] for r in search.bm25(segments.read_index(spark, folder), text, {"list_title": 1.0}).collect()}
     plan = search.bm25(index, "three", {"list_title": 1.0})._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,three)" in plan or "In(term, [three])" in plan
     assert hits("three") == {3} and hits("two") == {2} and index.fields.where("field = 'list_title'").first()["docs"] == 2
     later = api.where("list_id = 3").withColumn("list_title", F.lit("now two")).unionByName(api.where("list_id = 2").withColumns({"list_id": F.lit(30).cast("long"), "list_title": F.lit("new")}))
     assert ingest.index_listings(later, file.limit(0), folder) == 2
     assert hits("three") == set() and hits("two") == {2, 3} and hits("new") == {30}
-    assert stores.read_snapshot(spark, f"{folder}/docs").count() == 5
-    assert search.read_index(spark, folder).fields.where("field = 'list_title'").first()["docs"] == 3
+    assert segments.read_docs(spark, folder).count() == 5
+    assert segments.read_index(spark, folder).fields.where("field = 'list_title'").first()["docs"] == 3
     assert ingest.index_listings(later, file.limit(0), folder, recreate=True) == 2 and hits("two") == {3}
 
 
@@ -222,7 +222,7 @@ def test_versions_are_pruned_and_rows_removed(spark, tmp_path):
     assert stores.versions(spark, path) == [3, 4] and stores.read_snapshot(spark, path).count() == 4
     (tmp_path / "v" / "version=00000009").mkdir()  # a write that was lost
     assert stores.last_version(spark, path) == 4
-    (tmp_path / "v" / "version=00000009").rmdir()
+    assert stores.replace_snapshot(spark.range(4), path) and stores.versions(spark, path) == [4, 10]  # writers go on after it, while it stays
     assert stores.upsert_snapshot(spark.range(3, 6), path, "id") == 3
     assert stores.remove_one(spark, path, "id", 0) and not stores.remove_one(spark, path, "id", 0)
     assert stores.remove_many(spark, path, "id", [1, 99]) == 2 and stores.remove_many(spark, path, "id", []) == 0
