@@ -71,17 +71,8 @@ def highlight(text: Column, terms: list[str], before: str = "<em>", after: str =
     return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({found})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}")
 
 
-def deletions(word: Column, edits: int) -> Column:
-    """word and what is left of it after up to edits deletions: words within that distance share one of these."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    out = F.array(word)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, one))))
-    return out
-
-
 def left_by_deletions(word: str, edits: int) -> set[str]:
-    """The same for a word of a request."""
+    """A word of a request and what is left of it after up to edits deletions."""
     out = {word}
     for _ in range(edits):
         out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}

@@ -68,9 +68,14 @@ def mean_lengths(totals: DataFrame) -> DataFrame:
 
 
 def deletion_postings(terms: DataFrame) -> DataFrame:
-    """key and term of each distinct term."""
-    head = F.substring("term", 1, PREFIX)
-    return terms.select("term").distinct().select(F.explode(analyzers.deletions(head, MAX_EDITS)).alias("key"), "term")
+    """key and term of each distinct term: its first PREFIX characters without those at i and j, of which none, one or two are places in it.
+
+    A generator for each place keeps this in compiled code; a key that comes twice stays twice.
+    """
+    heads = terms.select("term").distinct().select("term", F.substring("term", 1, PREFIX).alias("head")).withColumn("n", F.length("head"))
+    one = heads.select("term", "head", "n", F.explode(F.sequence(F.lit(0), "n")).alias("i")).where("i = 0 or i < n")
+    two = one.select("term", "head", "i", F.explode(F.expr("sequence(if(i = 0, 0, i + 1), n)")).alias("j"))
+    return two.select(F.expr("concat(substring(head, 1, i - 1), substring(head, i + 1, j - i - 1), substring(head, j + 1))").alias("key"), "term")
 
 
 @dataclass(frozen=True)

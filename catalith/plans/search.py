@@ -155,7 +155,7 @@ def search_phrase_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.clause_scores(_texts(spark, sf_dir), [search.Clause("the and", {"desc": 1.0}, phrase=True)]))
 
 
-TERMS = "the and license"
+TERMS = "the and"
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, search.Index]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.operators import detail, recommendations, vectors
+from catalith.operators import detail, recommendations, vector_index, vectors
 from catalith.plans.tables import CATALOG_SQL, Catalog, as_of, table
 from catalith.sources import stores
 from catalith.sources.listings import recommendation_corpus
@@ -34,6 +34,24 @@ def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.all_neighbours(_vectors(spark, sf_dir), top_k=4, threshold=0.2))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    folder = f"{stores.work_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    return vector_index.write_vector_index(_vectors(spark, sf_dir), folder)
+
+
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, against all rows, from the lists that are probed."""
+    index = _index(spark, sf_dir)
+    asked = index.rows.where("cast(doc_id as long) % 50 = 0").select("doc_id", "v")
+    return _rounded(vector_index.search(index, asked, top_k=10, threshold=0.0, probes=max(1, len(index.centres) * 3 // 4)))
+
+
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_all from the blocks that the triangle inequality leaves open."""
+    index = _index(spark, sf_dir)
+    return _rounded(vector_index.exact_neighbours(index, index.rows.select("doc_id", "v"), top_k=4, threshold=0.2))
+
+
 def recommend_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Catalog(spark, sf_dir)
     return _rounded(detail.enriched(_computed(spark, sf_dir), c.api, c.file))
@@ -134,6 +152,7 @@ _ITEMS = """SELECT vec_id::VARCHAR AS target_doc_id, (vec_id - i)::VARCHAR AS do
 ORACLES |= {
     "knn_one": f"{_KNN} AND target_doc_id IN ({_IN})",
     "knn_all": _KNN,
+    "knn_pruned": _KNN,
     "recommend_enriched": f"""WITH {CATALOG_SQL}, {_PAIRS}, known AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY src) AS r FROM (
 SELECT list_id, list_title, org_nm, 'API' AS data_type, 0 AS src FROM api UNION ALL SELECT list_id, coalesce(nullif(list_title, ''), title), org_nm, 'FILE', 1 FROM file))
 SELECT target_doc_id, k.rank, list_id, list_title, org_nm, data_type, similarity_score FROM k JOIN known ON list_id = doc_id::BIGINT AND r = 1 WHERE rank <= 4""",
@@ -155,4 +174,4 @@ UNION ALL SELECT *, 'realtime' FROM k WHERE rank <= 3 AND target_doc_id NOT IN (
 (SELECT printf('%.2f%%', 100.0 * count(*) FILTER (user_id IN (SELECT vec_id FROM st WHERE has)) / count(*)) FROM events) AS cache_hit_ratio FROM st""",
     "save_request": """SELECT user_id AS list_id, CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'click' THEN props END AS url, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS created_at FROM events WHERE user_id <> 0 OR event_type = 'click'""",
 }
-QUERIES |= {k: globals()[k] for k in [*ORACLES, "embed_listings"]}
+QUERIES |= {k: globals()[k] for k in [*ORACLES, "embed_listings", "knn_index"]}

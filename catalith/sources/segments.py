@@ -130,7 +130,7 @@ def upsert(
         totals = totals.unionByName(less(field_totals(old), ["docs", "total"])).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
     write_table(terms, f"{path}/terms", ("term", "field"))
     write_table(totals, f"{path}/totals")
-    write_table(deletion_postings(term_counts(tokens)), f"{path}/deletions", ("key", "term"))
+    write_table(deletion_postings(_read(spark, path, "terms").where("n > 0")), f"{path}/deletions", ("key", "term"))  # a term of no more documents than before is stored already
     commit(spark, folder, [*before, (path, n)], seen)
     merge(spark, folder)
     return n

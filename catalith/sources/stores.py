@@ -92,15 +92,17 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def upsert_snapshot(new: DataFrame, path: str, key: str) -> int:
     """Rows of new in place of those with their keys, the others as they are; returns the rows of new. new has one row for each key.
 
-    The rows are counted as they are written, so the number is that of the rows of new in the store.
+    The rows are counted as they are written, so the number is that of the rows of new in the store. Without any nothing is written.
     """
+    if new.isEmpty():
+        return 0
     spark, seen = new.sparkSession, Observation()
     marked = new.withColumn("_new", F.lit(True))
     if last_version(spark, path):
         old = read_snapshot(spark, path)
         marked = old.join(new.select(key), key, "left_anti").withColumn("_new", F.lit(False)).unionByName(marked)
-    written = replace_snapshot(marked.observe(seen, F.count(F.when(F.col("_new"), 1)).alias("n")).drop("_new"), path, also_empty=bool(last_version(spark, path)))
-    return seen.get["n"] if written else 0
+    replace_snapshot(marked.observe(seen, F.count(F.when(F.col("_new"), 1)).alias("n")).drop("_new"), path, also_empty=True)
+    return seen.get["n"]
 
 
 def remove_one(spark: SparkSession, path: str, key: str, value: object) -> bool:
