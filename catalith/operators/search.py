@@ -6,7 +6,9 @@ PREFIX characters of a term after up to MAX_EDITS deletions. Two terms within as
 alignment's first PREFIX characters on either side, no more than the edits are unmatched. So a fuzzy term reads its few keys
 and verifies a handful of terms; no request reads the vocabulary. A stored index is sorted by term and key, and a request
 reads what it asks for only: literals that go down to the scan while they are MAX_LITERALS at most, and
-else the small side of a join. Every field has an analyzer, for texts and requests alike. Scores are BM25 (Robertson, Zaragoza 2009) within a
+else the small side of a join. A fifth table, impacts, has for every field, term and range of RANGE_IDS ids the largest frequency and
+the smallest length of the documents there; scores grow with the one and fall with the other, so these bound the score of every
+document of a range, and a page of hits reads the ranges that can reach it (top_hits; the block-max form of WAND: Ding, Suel 2011). Every field has an analyzer, for texts and requests alike. Scores are BM25 (Robertson, Zaragoza 2009) within a
 field, with idf = ln(1 + (N - n + 0.5) / (n + 0.5)) over the documents that have the field; a clause scores its
 best field times its boost, and a document the sum of its clauses. A query term that matches several terms of the
 vocabulary counts with the best of them. Distances of terms are Levenshtein's.
@@ -14,6 +16,7 @@ vocabulary counts with the best of them. Distances of terms are Levenshtein's.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -39,6 +42,10 @@ ANALYZERS: dict[str, Analyzer] = {"title": analyzers.english, **dict.fromkeys(("
 MAX_LITERALS = 5_000
 #: Edits that deletions are stored for, and characters of a term that they are taken of: 37 keys for a term at most.
 MAX_EDITS, PREFIX = 2, 8
+#: Ids of a range whose scores are bounded together; ranges that are read first, for the score that a page needs.
+RANGE_IDS, FIRST_RANGES = 128, 4
+#: What scores may be off by where ranges are left out; pages by scores of six decimals stay the same.
+SLACK = 2e-6
 
 
 @dataclass(frozen=True)
@@ -78,22 +85,37 @@ def deletion_postings(terms: DataFrame) -> DataFrame:
     return two.select(F.expr("concat(substring(head, 1, i - 1), substring(head, i + 1, j - i - 1), substring(head, j + 1))").alias("key"), "term")
 
 
+def term_impacts(tokens: DataFrame) -> DataFrame:
+    """field, term, range, tf and len: the most of a term and the least length in any document of a range."""
+    tf = tokens.groupBy("field", "term", "list_id").agg(F.count("*").alias("tf"), F.min("len").alias("len"))
+    return largest_impacts(tf.withColumn("range", range_of(F.col("list_id"))))
+
+
+def range_of(list_id: Column) -> Column:
+    return F.floor(list_id / RANGE_IDS).cast("long")
+
+
+def largest_impacts(impacts: DataFrame) -> DataFrame:
+    return impacts.groupBy("field", "term", "range").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+
+
 @dataclass(frozen=True)
 class Index:
     tokens: DataFrame
     terms: DataFrame
     fields: DataFrame
     deletions: DataFrame
+    impacts: DataFrame
     analyzers: dict[str, Analyzer] = field(default_factory=lambda: ANALYZERS)
 
     @staticmethod
     def of(tokens: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
         terms = term_counts(tokens)
-        return Index.stored(tokens, terms, mean_lengths(field_totals(tokens)), deletion_postings(terms), by_field)
+        return Index.stored(tokens, terms, mean_lengths(field_totals(tokens)), deletion_postings(terms), term_impacts(tokens), by_field)
 
     @staticmethod
-    def stored(tokens: DataFrame, terms: DataFrame, fields: DataFrame, deletions: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
-        return Index(tokens, terms, fields, deletions, ANALYZERS if by_field is None else by_field)
+    def stored(tokens: DataFrame, terms: DataFrame, fields: DataFrame, deletions: DataFrame, impacts: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
+        return Index(tokens, terms, fields, deletions, impacts, ANALYZERS if by_field is None else by_field)
 
     def analyzer(self, name: str) -> Analyzer:
         return self.analyzers.get(name, analyzers.words)
@@ -161,8 +183,19 @@ def _found_terms(index: Index, asked: list[tuple]) -> tuple[DataFrame, list[str]
     return spark.createDataFrame(every, "asked string, edits int, term string"), sorted({x[2] for x in every})
 
 
-def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
-    """(list_id, score) of every document that matches a clause; empty for no clauses or texts without terms."""
+@dataclass(frozen=True)
+class _Request:
+    """What clauses ask of an index: matches (clause, field, at, term, terms, phrase, all_terms), weight of the terms, boost of the clauses' fields."""
+
+    matches: DataFrame
+    weight: DataFrame
+    boost: DataFrame
+    only: Callable[[DataFrame], DataFrame]
+    phrases: bool
+
+
+def _request(index: Index, clauses: list[Clause]) -> _Request | None:
+    """None for no clauses or texts without terms."""
     spark = index.tokens.sparkSession
     pairs = [(i, c, f) for i, c in enumerate(clauses) for f in c.fields]
     analyzed = query_terms(spark, [(c.text, index.analyzer(f)) for _, c, f in pairs])
@@ -173,7 +206,7 @@ def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
             asked.append((i, f, j, t, int(most), len(ts), c.phrase, c.all_terms))
         boosts.append((i, f, float(c.fields[f] * c.boost)))
     if not asked:
-        return spark.createDataFrame([], "list_id long, score double")
+        return None
     wanted = spark.createDataFrame(asked, "clause int, field string, at int, asked string, edits int, terms int, phrase boolean, all_terms boolean")
     boost = F.broadcast(spark.createDataFrame(boosts, "clause int, field string, boost double"))
     used = sorted({x[1] for x in asked})
@@ -185,24 +218,107 @@ def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
         return df.where(F.col("term").isin(literals)) if literals is not None else df.join(found.select("term").distinct(), "term", "left_semi")
 
     matches = F.broadcast(matches) if literals is not None else matches  # MAX_LITERALS terms for each clause and field at most
-    hit = only(index.tokens)
-    counted = hit.groupBy("list_id", "field", "len", "term").agg(F.count("*").alias("tf"))
     stats = F.broadcast(index.fields)  # a row for each field
     weight = only(index.terms).join(stats, "field").select("field", "term", "mean_len", F.log1p((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
-    weight = F.broadcast(weight) if literals is not None else weight
-    # Clauses of terms: the best variant of each, their sum in a field.
-    single = counted.join(weight, ["field", "term"]).join(matches.where("not phrase"), ["field", "term"]).withColumn("w", _bm25(F.col("tf"), F.col("idf")))
-    best = single.groupBy("clause", "list_id", "field", "at", "terms", "all_terms").agg(F.max("w").alias("w"))
-    summed = best.groupBy("clause", "list_id", "field", "terms", "all_terms").agg(F.sum("w").alias("w"), F.count("*").alias("found"))
-    scores = summed.where("not all_terms or found = terms").select("clause", "list_id", "field", "w")
-    if any(x[6] for x in asked):  # phrases: occurrences whose terms agree on where the phrase begins
-        phrase = matches.where("phrase").select("clause", "field", "at", "term", "terms")
+    return _Request(matches, F.broadcast(weight) if literals is not None else weight, boost, only, any(x[6] for x in asked))
+
+
+def _term_scores(request: _Request, counted: DataFrame, key: str) -> DataFrame:
+    """(clause, key, field, w) of clauses of terms: the best variant of each, their sum in a field; counted: key, field, term, tf, len."""
+    single = counted.join(request.weight, ["field", "term"]).join(request.matches.where("not phrase"), ["field", "term"]).withColumn("w", _bm25(F.col("tf"), F.col("idf")))
+    best = single.groupBy("clause", key, "field", "at", "terms", "all_terms").agg(F.max("w").alias("w"))
+    summed = best.groupBy("clause", key, "field", "terms", "all_terms").agg(F.sum("w").alias("w"), F.count("*").alias("found"))
+    return summed.where("not all_terms or found = terms").select("clause", key, "field", "w")
+
+
+def _phrase_scores(request: _Request, whole: DataFrame, key: str) -> DataFrame:
+    """The same of phrases; whole: clause, key, field, tf, len of the phrase."""
+    phrase = request.matches.where("phrase").select("clause", "field", "term")
+    idf = phrase.join(request.weight, ["field", "term"]).groupBy("clause", "field", "mean_len").agg(F.sum("idf").alias("idf"))
+    return whole.join(idf, ["clause", "field"]).select("clause", key, "field", _bm25(F.col("tf"), F.col("idf")).alias("w"))
+
+
+def _summed(request: _Request, scores: DataFrame, key: str) -> DataFrame:
+    """(key, score): the best field of each clause times its boost, added up."""
+    top = scores.join(request.boost, ["clause", "field"]).groupBy("clause", key).agg(F.max(F.col("w") * F.col("boost")).alias("w"))
+    return top.groupBy(key).agg(F.sum("w").alias("score"))
+
+
+def _scores(request: _Request, tokens: DataFrame) -> DataFrame:
+    hit = request.only(tokens)
+    scores = _term_scores(request, hit.groupBy("list_id", "field", "len", "term").agg(F.count("*").alias("tf")), "list_id")
+    if request.phrases:  # occurrences whose terms agree on where the phrase begins
+        phrase = request.matches.where("phrase").select("clause", "field", "at", "term", "terms")
         starts = hit.join(phrase, ["field", "term"]).groupBy("clause", "list_id", "field", "len", "terms", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("found"))
         whole = starts.where("found = terms").groupBy("clause", "list_id", "field", "len").agg(F.count("*").alias("tf"))
-        idf = phrase.join(weight, ["field", "term"]).groupBy("clause", "field", "mean_len").agg(F.sum("idf").alias("idf"))
-        scores = scores.unionByName(whole.join(idf, ["clause", "field"]).select("clause", "list_id", "field", _bm25(F.col("tf"), F.col("idf")).alias("w")))
-    top = scores.join(boost, ["clause", "field"]).groupBy("clause", "list_id").agg(F.max(F.col("w") * F.col("boost")).alias("w"))
-    return top.groupBy("list_id").agg(F.sum("w").alias("score"))
+        scores = scores.unionByName(_phrase_scores(request, whole, "list_id"))
+    return _summed(request, scores, "list_id")
+
+
+def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
+    """(list_id, score) of every document that matches a clause; empty for no clauses or texts without terms."""
+    request = _request(index, clauses)
+    return index.tokens.sparkSession.createDataFrame([], "list_id long, score double") if request is None else _scores(request, index.tokens)
+
+
+def range_bounds(request: _Request, impacts: DataFrame) -> DataFrame:
+    """(range, score): no document of the range scores more. Ranges without a match have no row.
+
+    A phrase is in a document no more often than the rarest of its terms.
+    """
+    known = request.only(impacts)
+    scores = _term_scores(request, known, "range")
+    if request.phrases:
+        phrase = request.matches.where("phrase").select("clause", "field", "at", "term", "terms")
+        least = known.join(phrase, ["field", "term"]).groupBy("clause", "range", "field", "terms").agg(F.min("tf").alias("tf"), F.min("len").alias("len"), F.count("*").alias("found"))
+        scores = scores.unionByName(_phrase_scores(request, least.where("found = terms").select("clause", "range", "field", "tf", "len"), "range"))
+    return _summed(request, scores, "range")
+
+
+def _in_ranges(index: Index, ranges: list[int]) -> DataFrame:
+    """The tokens of ranges; neighbouring ones are one condition on the ids, which the scan gets."""
+    runs: list[list[int]] = []
+    for r in sorted(ranges):
+        if runs and r == runs[-1][1] + 1:
+            runs[-1][1] = r
+        else:
+            runs.append([r, r])
+    if len(runs) > 64:  # many conditions cost more than they leave out
+        return index.tokens.where(F.col("list_id").between(runs[0][0] * RANGE_IDS, (runs[-1][1] + 1) * RANGE_IDS - 1)).where(range_of(F.col("list_id")).isin(ranges))
+    which = F.lit(False)
+    for a, b in runs:
+        which = which | F.col("list_id").between(a * RANGE_IDS, (b + 1) * RANGE_IDS - 1)
+    return index.tokens.where(which)
+
+
+def open_ranges(index: Index, clauses: list[Clause], wanted: int) -> tuple[_Request | None, list[int] | DataFrame, int]:
+    """The request, the ranges that can hold one of its best wanted hits (a frame of them where they are more than MAX_LITERALS), and how many were read first.
+
+    The ranges of the highest bounds are scored first; the score of their hit number wanted is one that every hit of the page has at least, so
+    ranges whose bound is lower are left out.
+    """
+    request = _request(index, clauses)
+    if request is None:
+        return None, [], 0
+    bounds = range_bounds(request, index.impacts)
+    first = [r["range"] for r in bounds.orderBy(F.col("score").desc(), "range").limit(FIRST_RANGES + math.ceil(wanted / RANGE_IDS)).collect()]
+    least = _scores(request, _in_ranges(index, first)).orderBy(F.col("score").desc()).select("score").limit(wanted).collect() if first else []
+    if len(least) == wanted:
+        bounds = bounds.where(F.col("score") >= least[-1]["score"] - SLACK)
+    few = bounds.select("range").limit(MAX_LITERALS + 1).collect()
+    return request, [r["range"] for r in few] if len(few) <= MAX_LITERALS else bounds.select("range"), len(first)
+
+
+def top_hits(index: Index, clauses: list[Clause], size: int, offset: int = 0) -> DataFrame:
+    """top() of clause_scores(), from the ranges of ids that can reach the page; ties and scores are the same."""
+    request, ranges, _ = open_ranges(index, clauses, offset + size)
+    if request is None:
+        return top(clause_scores(index, []), size, offset)
+    if isinstance(ranges, DataFrame):
+        tokens = index.tokens.withColumn("range", range_of(F.col("list_id"))).join(ranges, "range", "left_semi").drop("range")
+    else:
+        tokens = _in_ranges(index, ranges) if ranges else index.tokens.where("false")
+    return top(_scores(request, tokens), size, offset)
 
 
 def bm25(index: Index, text: str, fields: dict[str, float]) -> DataFrame:

@@ -61,6 +61,11 @@ def found_listings(hits: DataFrame, docs: DataFrame, api: DataFrame, file: DataF
     )
 
 
+def fetched(size: int, overfetch: int = OVERFETCH) -> int:
+    """Hits that a page of size rows is chosen from."""
+    return max(overfetch * size, MIN_HITS)
+
+
 def documented_page(
     hits: DataFrame, docs: DataFrame, api: DataFrame, file: DataFrame, api_docs: DataFrame, file_docs: DataFrame, page: int, size: int, overfetch: int | None = OVERFETCH
 ) -> DataFrame:
@@ -70,7 +75,7 @@ def documented_page(
     empty; overfetch None: from all hits.
     """
     if overfetch is not None:
-        hits, docs, api, file, api_docs, file_docs = _of_hits(top(hits, max(overfetch * size, MIN_HITS)), docs, api, file, api_docs, file_docs)
+        hits, docs, api, file, api_docs, file_docs = _of_hits(top(hits, fetched(size, overfetch)), docs, api, file, api_docs, file_docs)
     chosen = hits.join(id_union(api_docs.select("list_id"), file_docs.select("list_id")), "list_id", "left_semi")
     if overfetch is not None:
         chosen = top(chosen, CAP * size)

@@ -51,6 +51,11 @@ def default_lists(n: int) -> int:
     return max(1, min(MAX_LISTS, round(math.sqrt(n))))
 
 
+def exact_lists(n: int) -> int:
+    """Lists for exact neighbours: of BLOCK_ROWS vectors, as a target's vector goes to every block that stays open; a few where n is small."""
+    return max(1, min(MAX_LISTS, max(8, math.ceil(n / BLOCK_ROWS))))
+
+
 def fit_centres(unit: DataFrame, lists: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """The centres of k-means over sample_rows rows, those of the smallest hashes of their ids, so that the sample depends on the ids alone."""
     sample = unit.select("doc_id", array_to_vector("v").alias("v")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).coalesce(1).persist()

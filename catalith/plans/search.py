@@ -156,6 +156,14 @@ def search_phrase_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERMS = "the and"
+TOP = [search.Clause("the mit license", {"desc": 1.0}), search.Clause("under the mit license", {"desc": 2.0}, phrase=True)]
+
+
+def search_top_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of 20 hits, from the ranges of ids that can hold one of them."""
+    return _rounded(search.top_hits(_texts(spark, sf_dir), TOP, 20, 20))
+
+
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, search.Index]:
@@ -221,7 +229,8 @@ def synonym_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_with_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, docs, index = _listed(spark, sf_dir)
-    return search_pages.documented_page(_rounded(search.search_weighted(index, [TERMS])), docs, *c.all, page=2, size=10)
+    hits = search.top_hits(index, search.weighted_clauses([TERMS]), search_pages.fetched(10))
+    return search_pages.documented_page(_rounded(hits), docs, *c.all, page=2, size=10)
 
 
 def search_by_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +276,7 @@ ORACLES |= {
     "search_adaptive_strict": _titles_sql(search.strict_clauses("small ring")),
     "search_adaptive_relaxed": _titles_sql(search.fuzzy_clauses("smal rings")),
     "search_bm25": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, [search.Clause('the and aux', {'desc': 1.0})])}\nSELECT list_id, round(score, 6) AS score FROM hits",
+    "search_top_page": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, TOP)}\nSELECT list_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, list_id LIMIT 20 OFFSET 20",
     "search_phrase_text": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, [search.Clause('the and', {'desc': 1.0}, phrase=True)])}\nSELECT list_id, round(score, 6) AS score FROM hits",
     "search_keywords": _listed_sql(search.weighted_clauses(["License", "Kind 3"], [1.0, 2.0])),
     "search_english_titles": _listed_sql([search.Clause("data sets 12", {"title": 2.0})]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +35,21 @@ def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(vectors.all_neighbours(_vectors(spark, sf_dir), top_k=4, threshold=0.2))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
-    folder = f"{stores.work_folder(spark)}/vector-index-{uuid.uuid4().hex}"
-    return vector_index.write_vector_index(_vectors(spark, sf_dir), folder)
+def _index(spark: SparkSession, sf_dir: str, lists: Callable[[int], int]) -> vector_index.VectorIndex:
+    rows = _vectors(spark, sf_dir)
+    return vector_index.write_vector_index(rows, f"{stores.work_folder(spark)}/vector-index-{uuid.uuid4().hex}", lists(rows.count()))
 
 
 def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 50, against all rows, from the lists that are probed."""
-    index = _index(spark, sf_dir)
+    index = _index(spark, sf_dir, vector_index.default_lists)
     asked = index.rows.where("cast(doc_id as long) % 50 = 0").select("doc_id", "v")
     return _rounded(vector_index.search(index, asked, top_k=10, threshold=0.0, probes=max(1, len(index.centres) * 3 // 4)))
 
 
 def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """knn_all from the blocks that the triangle inequality leaves open."""
-    index = _index(spark, sf_dir)
+    index = _index(spark, sf_dir, vector_index.exact_lists)
     return _rounded(vector_index.exact_neighbours(index, index.rows.select("doc_id", "v"), top_k=4, threshold=0.2))
 
 

@@ -1,7 +1,7 @@
 """A stored search index: segments, and a manifest whose commit makes them one index.
 
 An upsert writes one segment, in proportion to what changes: tokens (in a folder for each field, in order of the term), deletions
-(in order of the key), documents (in order of the id), the ids that it replaces in all segments before it, and counts. Counts are signed:
+(in order of the key), impacts (in order of the term), documents (in order of the id), the ids that it replaces in all segments before it, and counts. Counts are signed:
 those of the new documents less those of the documents replaced, which are analysed again from their stored rows, so the sums
 over the segments are the counts of the index and no reader has to look for what is dead. Then the manifest, a snapshot of the
 segments' paths in order, is committed. Readers open what the last manifest names: they see all tables of a
@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.operators.search import MAX_LITERALS, Analyzer, Index, build_index, deletion_postings, field_totals, mean_lengths, term_counts
+from catalith.operators.search import MAX_LITERALS, Analyzer, Index, build_index, deletion_postings, field_totals, largest_impacts, mean_lengths, term_counts, term_impacts
 from catalith.sources.stores import _store, last_version, read_version, replace_snapshot, versions
 
 #: Segments that an index has at most, after which the newest are merged.
@@ -26,7 +26,7 @@ MAX_SEGMENTS = 8
 TOKENS = "list_id long, len int, pos int, term string, field string"
 MANIFEST = "at int, path string, docs long"
 #: The tables of a segment.
-TABLES = ("docs", "ids", "tokens", "terms", "totals", "deletions")
+TABLES = ("docs", "ids", "tokens", "terms", "totals", "deletions", "impacts")
 
 
 def write_table(df: DataFrame, path: str, order: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> None:
@@ -84,7 +84,8 @@ def read_index(spark: SparkSession, folder: str, by_field: dict[str, Analyzer] |
     paths = [p for p, _ in manifest(spark, folder)]
     terms = _summed(spark, paths, "terms", ["field", "term"], ["n"]).where("n > 0")
     totals = _summed(spark, paths, "totals", ["field"], ["docs", "total"]).where("docs > 0")
-    return Index.stored(_live(spark, paths, "tokens"), terms, mean_lengths(totals), _every(spark, paths, "deletions"), by_field)
+    impacts = largest_impacts(_every(spark, paths, "impacts"))  # those of documents that are replaced bound as well
+    return Index.stored(_live(spark, paths, "tokens"), terms, mean_lengths(totals), _every(spark, paths, "deletions"), impacts, by_field)
 
 
 def read_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +132,7 @@ def upsert(
     write_table(terms, f"{path}/terms", ("term", "field"))
     write_table(totals, f"{path}/totals")
     write_table(deletion_postings(_read(spark, path, "terms").where("n > 0")), f"{path}/deletions", ("key", "term"))  # a term of no more documents than before is stored already
+    write_table(term_impacts(tokens), f"{path}/impacts", ("term", "field", "range"))
     commit(spark, folder, [*before, (path, n)], seen)
     merge(spark, folder)
     return n
@@ -168,6 +170,7 @@ def merge(spark: SparkSession, folder: str, most: int = MAX_SEGMENTS) -> bool:
     write_table(_summed(spark, paths, "totals", ["field"], ["docs", "total"]), f"{path}/totals")
     deletions = _every(spark, paths, "deletions").distinct() if first else deletion_postings(_read(spark, path, "terms"))  # without the terms that are gone
     write_table(deletions, f"{path}/deletions", ("key", "term"))
+    write_table(term_impacts(_read(spark, path, "tokens")), f"{path}/impacts", ("term", "field", "range"))
     commit(spark, folder, [*segments[:first], (path, _read(spark, path, "docs").count())], segments)
     return True
 

@@ -75,6 +75,8 @@ def same(spark, folder, docs):
     assert rows(segments.read_docs(spark, folder), "list_id", "list_title", "desc") == rows(docs, "list_id", "list_title", "desc")
     score = lambda index: {r["list_id"]: round(r["score"], 9) for r in search.search_titles(index, "red rings").collect()}
     assert score(stored) == score(fresh)
+    pages = lambda index: [(r["list_id"], round(r["score"], 9)) for r in search.top_hits(index, search.weighted_clauses(["red ring", "box"], [1.0, 3.0]), 4, 1).collect()]
+    assert pages(stored) == pages(fresh)
 
 
 def frame(spark, rows):
@@ -149,3 +151,55 @@ def test_a_second_writer_is_noticed(spark, tmp_path, monkeypatch):
     segments.upsert(frame(spark, {2: ("c", "d")}), folder, FIELDS)
     with pytest.raises(RuntimeError, match="another writer"):
         segments.commit(spark, folder, seen, seen)
+
+
+def many_docs(spark, n=3000):
+    """Common words everywhere, rare ones in few ranges, and documents that are equal, so that scores tie."""
+    r = random.Random(9)
+    rows = []
+    for i in range(n):
+        words = ["the", "and"] * r.randint(0, 3) + [r.choice("abcdefgh") for _ in range(r.randint(1, 6))]
+        if i % 400 < 3:
+            words += ["rare"] * (i % 3 + 1) + ["gem"]
+        r.shuffle(words)
+        rows.append((i * 3 - 900, " ".join(words), "the rare gem" if i % 700 == 5 else None))
+    return spark.createDataFrame([*rows, *((10_000 + i, "the rare and", None) for i in range(30))], SCHEMA)
+
+
+def test_pages_from_ranges_are_those_of_all_scores(spark, tmp_path):
+    segments.upsert(many_docs(spark), str(tmp_path), FIELDS)
+    index = segments.read_index(spark, str(tmp_path))
+    two = {"list_title": 2.0, "desc": 1.0}
+    requests = [
+        [search.Clause("rare", two)],
+        [search.Clause("the rare", two), search.Clause("and gem", {"list_title": 1.0}, boost=3.0)],
+        [search.Clause("rare gem", two, phrase=True), search.Clause("the and", two)],
+        [search.Clause("the raer gem", two, all_terms=True, edits=1), search.Clause("a b", two, phrase=True)],
+        [search.Clause("missing", two)],
+        [],
+    ]
+    for clauses in requests:
+        every = search.clause_scores(index, clauses)
+        for size, offset in ((5, 0), (10, 15), (7, 100), (4000, 0)):
+            want = [(r["list_id"], round(r["score"], 9)) for r in search.top(every, size, offset).collect()]
+            assert [(r["list_id"], round(r["score"], 9)) for r in search.top_hits(index, clauses, size, offset).collect()] == want
+
+
+def test_ranges_are_left_out(spark, tmp_path, monkeypatch):
+    segments.upsert(many_docs(spark), str(tmp_path), FIELDS)
+    index = segments.read_index(spark, str(tmp_path))
+    clauses = [search.Clause("the rare gem", {"list_title": 1.0})]
+    every = index.tokens.select(search.range_of(F.col("list_id")).alias("r")).distinct().count()
+    _, few, first = search.open_ranges(index, clauses, 10)
+    assert first < 10 and len(few) < every / 2
+    want = search.top_hits(index, clauses, 10).collect()
+    monkeypatch.setattr(search, "MAX_LITERALS", 3)
+    assert isinstance(search.open_ranges(index, clauses, 10)[1], type(index.tokens)) and search.top_hits(index, clauses, 10).collect() == want
+
+
+def test_bounds_hold(spark):
+    index = search.build_index(many_docs(spark, 500), FIELDS)
+    clauses = [search.Clause("the rare gem", {"list_title": 1.0, "desc": 2.0}), search.Clause("rare gem", {"list_title": 1.0}, phrase=True)]
+    bounds = {r["range"]: r["score"] for r in search.range_bounds(search._request(index, clauses), index.impacts).collect()}
+    scores = search.clause_scores(index, clauses).withColumn("range", search.range_of(F.col("list_id"))).collect()
+    assert scores and all(r["score"] <= bounds[r["range"]] + 1e-9 for r in scores)
