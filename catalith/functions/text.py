@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalith.functions.stemming import stems
+
 #: The usual English stop words of text engines.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -26,20 +28,10 @@ def keyword(text: Column) -> Column:
     return F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def stem(word: Column) -> Column:
-    """English plural endings off (the S stemmer: Harman 1991)."""
-    return (
-        F.when(word.rlike("[^ae]ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "es$", "e"))
-        .when(word.rlike("[^us]s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
-    )
-
-
 def english(text: Column) -> Column:
     """words without stop words, stemmed."""
     stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.transform(F.filter(words(text), lambda w: ~F.array_contains(stop, w)), stem)
+    return stems(F.filter(words(text), lambda w: ~F.array_contains(stop, w)))
 
 
 def char_grams(text: Column, least: int = 2, most: int = 3) -> Column:

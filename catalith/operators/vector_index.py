@@ -2,7 +2,7 @@
 
 Vectors are made unit, so a similarity s is a distance of sqrt(2 - 2 s). Centres come from Spark's k-means over a bounded
 sample; every vector belongs to the list of its nearest centre. Lists are stored in order of the distance to the centre and cut into
-blocks of BLOCK_ROWS at most, so that a list that holds a third of all rows is many blocks, and each block is a ring around its
+blocks of BLOCK_ROWS, so that a list that holds a third of all rows is many blocks, and each block is a ring around its
 centre. A target meets blocks by equi-joins only:
 
 - approximate: the blocks of its nearest lists. Rows are scored there by the centre and an 8-bit code of the residual, and
@@ -34,12 +34,12 @@ REFINE = 8
 #: What sums of squares in double precision may be off by.
 SLACK = 1e-9
 
-ROWS = "block long, list int, far double, doc_id string, doc_type string, v array<double>, scale float, code binary"
+ROWS = "part int, at long, list int, far double, doc_id string, doc_type string, v array<double>, scale float, code binary"
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """rows: ROWS, in order of list and far; blocks: block, list, near and far of its ring, n; centres: one in each row."""
+    """rows: ROWS and block, in order of list and far; blocks: block, list, near and far of its ring, n; centres: one in each row."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -86,6 +86,7 @@ def _assigner(centres: np.ndarray):  # noqa: ANN202
                 codes = np.round(rest / scale[:, None]).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.zeros(len(v), np.int32)),
                         pa.array(np.zeros(len(v), np.int64)),
                         pa.array(own.astype(np.int32)),
                         pa.array(np.linalg.norm(rest, axis=1)),
@@ -99,20 +100,18 @@ def _assigner(centres: np.ndarray):  # noqa: ANN202
     return task
 
 
-def _numbered(block_rows: int):  # noqa: ANN202
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order get the number of their block: block_rows rows of one list at most."""
-        block, held, at = TaskContext.get().partitionId() << 32, 0, None
-        for b in batches:
-            out = np.empty(b.num_rows, np.int64)
-            for i, one in enumerate(b.column("list").to_pylist()):
-                if at is not None and (one != at or held == block_rows):
-                    block, held = block + 1, 0
-                at, held = one, held + 1
-                out[i] = block
-            yield b.set_column(0, "block", pa.array(out))
-
-    return task
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order get the number of their part, and where they stand among the part's rows of their list."""
+    part, seen, last = TaskContext.get().partitionId(), 0, None
+    for b in batches:
+        lists = b.column("list").to_numpy()
+        start = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+        at = np.arange(len(lists)) - np.repeat(start, np.diff(np.append(start, len(lists))))
+        if len(lists) and lists[0] == last:
+            at[lists == last] += seen
+        if len(lists):
+            last, seen = lists[-1], at[-1] + 1
+        yield b.set_column(0, "part", pa.array(np.full(len(lists), part, np.int32))).set_column(1, "at", pa.array(at))
 
 
 def write_vector_index(vectors: DataFrame, folder: str, lists: int | None = None, block_rows: int = BLOCK_ROWS) -> VectorIndex:
@@ -125,18 +124,31 @@ def write_vector_index(vectors: DataFrame, folder: str, lists: int | None = None
     centres = fit_centres(unit, min(lists or default_lists(n), MAX_LISTS, n)) if n else np.zeros((0, 0))
     order = ["list", "far", "doc_id"]
     assigned = unit.select("doc_id", "doc_type", "v").mapInArrow(_assigner(centres), ROWS)
-    dealt = assigned.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered(block_rows), ROWS)
+    dealt = assigned.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, ROWS)
     replace_snapshot(dealt, f"{folder}/rows", also_empty=True)
-    stored = read_snapshot(spark, f"{folder}/rows")
-    rings = stored.groupBy("block", "list").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.count("*").alias("n"))
+    # Blocks don't depend on how rows were dealt: a list goes on from part to part. A row for each part and list that meet, parts and lists at most.
+    counts = read_snapshot(spark, f"{folder}/rows").groupBy("list", "part").agg(F.count("*").alias("n")).orderBy("list", "part").collect()
+    parts, before = [], 0
+    for i, r in enumerate(counts):
+        before = before + counts[i - 1]["n"] if i and counts[i - 1]["list"] == r["list"] else 0
+        parts.append((r["list"], r["part"], before, block_rows))
+    replace_snapshot(spark.createDataFrame(parts, "list int, part int, before long, block_rows int"), f"{folder}/parts", also_empty=True)
+    rings = _rows(spark, folder).groupBy("block", "list").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.count("*").alias("n"))
     replace_snapshot(rings, f"{folder}/blocks", also_empty=True)
     replace_snapshot(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>"), f"{folder}/centres", also_empty=True)
     return read_vector_index(spark, folder)
 
 
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows with the block that they are in."""
+    parts = F.broadcast(read_snapshot(spark, f"{folder}/parts"))  # as many rows as parts and lists
+    number = F.expr("shiftleft(cast(list as long), 32) + (before + at) div block_rows")
+    return read_snapshot(spark, f"{folder}/rows").join(parts, ["list", "part"]).withColumn("block", number).drop("before", "block_rows")
+
+
 def read_vector_index(spark: SparkSession, folder: str) -> VectorIndex:
     centres = read_snapshot(spark, f"{folder}/centres").orderBy("list").collect()  # MAX_LISTS rows at most
-    return VectorIndex(read_snapshot(spark, f"{folder}/rows"), read_snapshot(spark, f"{folder}/blocks"), np.array([r["centre"] for r in centres]))
+    return VectorIndex(_rows(spark, folder), read_snapshot(spark, f"{folder}/blocks"), np.array([r["centre"] for r in centres]))
 
 
 def _probes(targets: DataFrame, centres: np.ndarray, pick) -> DataFrame:  # noqa: ANN001

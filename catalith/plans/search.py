@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.functions import stemming
 from catalith.functions import text as analyzers
+from catalith.functions.stemming import stems_sql
 from catalith.operators import listing, paging, search, search_pages
 from catalith.operators.listing import keep_first, unified
 from catalith.plans.tables import CATALOG_SQL, Catalog, iso_sql, table
@@ -47,19 +48,14 @@ def _kind(field: str) -> str:
 
 
 def _terms(text: str, field: str) -> list[str]:
-    """The terms of a request, for the SQL; its texts are words of a-z with spaces between."""
+    """The terms of a request as SQL; its texts are words of a-z with spaces between."""
     words = text.lower().split()
+    quoted = lambda ws: [f"'{w}'" for w in ws]
     if _kind(field) == "keyword":
-        return [text.strip()]
+        return quoted([text.strip()])
     if _kind(field) == "words":
-        return words
-    plurals = (("[^ae]ies$", "ies$", "y"), ("[^aeo]es$", "es$", "e"), ("[^us]s$", "s$", ""))
-    stem = lambda w: next((re.sub(end, new, w) for has, end, new in plurals if re.search(has, w)), w)
-    return [stem(w) for w in words if w not in analyzers.STOP_WORDS]
-
-
-def _stem_sql(w: str) -> str:
-    return f"CASE WHEN regexp_matches({w}, '[^ae]ies$') THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '[^aeo]es$') THEN regexp_replace({w}, 'es$', 'e') WHEN regexp_matches({w}, '[^us]s$') THEN regexp_replace({w}, 's$', '') ELSE {w} END"
+        return quoted(words)
+    return [f"({stems_sql(f'[{w}]')})[1]" for w in quoted(w for w in words if w not in analyzers.STOP_WORDS)]
 
 
 def _analyzed_sql(field: str, column: str) -> str:
@@ -68,20 +64,20 @@ def _analyzed_sql(field: str, column: str) -> str:
     if _kind(field) == "keyword":
         return f"""CASE WHEN "{column}" <> '' THEN ["{column}"] ELSE [] END"""
     words = rf"""list_filter(string_split_regex(lower(coalesce("{column}", '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""
-    return words if _kind(field) == "words" else f"list_transform(list_filter({words}, lambda x: x NOT IN ({_STOP})), lambda x: {_stem_sql('x')})"
+    return words if _kind(field) == "words" else stems_sql(f"list_filter({words}, lambda x: x NOT IN ({_STOP}))")
 
 
 def hits_sql(source: str, fields: dict[str, str], clauses: list[search.Clause]) -> str:
     """Common table expressions up to hits(list_id, score), for clauses whose texts are words with spaces between."""
-    value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else repr(x)
+    value = lambda x: x if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else repr(x)
     rows, boosts = [], []
     for i, c in enumerate(clauses):
         for f, b in c.fields.items():
             terms = _terms(c.text, f)
             for j, t in enumerate(terms):
-                edits = 0 if c.phrase else c.edits if c.edits is not None else (len(t) > 2) + (len(t) > 5)
-                rows.append((i, f, j, t, edits, len(terms), c.phrase, c.all_terms))
-            boosts.append((i, f, float(b * c.boost)))
+                edits = 0 if c.phrase else c.edits if c.edits is not None else f"(length({t}) > 2)::INT + (length({t}) > 5)::INT"
+                rows.append((i, f"'{f}'", j, t, edits, len(terms), c.phrase, c.all_terms))
+            boosts.append((i, f"'{f}'", float(b * c.boost)))
     values = lambda x: ", ".join(f"({', '.join(map(value, r))})" for r in x)
     ascii_ = r"regexp_replace(term, '[^\x00-\x7F]', '?', 'g')"  # a character is one edit; DuckDB counts bytes
     raw = " UNION ALL ".join(f"SELECT list_id, '{f}' AS field, {_analyzed_sql(f, c)} AS ts FROM {source}" for f, c in fields.items())
@@ -184,9 +180,12 @@ def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.search_weighted(_listed(spark, sf_dir)[2], ["License", "Kind 3"], [1.0, 2.0]))
 
 
+ENGLISH = "datas setting 12"
+
+
 def search_english_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title's terms are stemmed, and so are the request's."""
-    return _rounded(search.bm25(_listed(spark, sf_dir)[2], "data sets 12", {"title": 2.0}))
+    return _rounded(search.bm25(_listed(spark, sf_dir)[2], ENGLISH, {"title": 2.0}))
 
 
 def search_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +248,10 @@ def char_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(analyzers.english(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").cast("long").alias("n"))
+    """Every word is stemmed once, with how often it occurs."""
+    words = table(spark, sf_dir, "documents").select(F.explode(analyzers.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    kept = words.where(~F.col("word").isin(analyzers.STOP_WORDS))
+    return kept.groupBy(stemming.stem(F.col("word")).alias("term")).agg(F.sum("n").cast("long").alias("n"))
 
 
 _WEIGHTED_TERMS = search.weighted_clauses([TERMS])
@@ -279,7 +281,7 @@ ORACLES |= {
     "search_top_page": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, TOP)}\nSELECT list_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, list_id LIMIT 20 OFFSET 20",
     "search_phrase_text": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, [search.Clause('the and', {'desc': 1.0}, phrase=True)])}\nSELECT list_id, round(score, 6) AS score FROM hits",
     "search_keywords": _listed_sql(search.weighted_clauses(["License", "Kind 3"], [1.0, 2.0])),
-    "search_english_titles": _listed_sql([search.Clause("data sets 12", {"title": 2.0})]),
+    "search_english_titles": _listed_sql([search.Clause(ENGLISH, {"title": 2.0})]),
     "search_by_kind": _listed_sql(search.fuzzy_clauses("example")) + " WHERE list_id IN (SELECT list_id FROM lst WHERE data_type = 'FILE')",
     "search_or_browse": f"WITH {CATALOG_SQL} SELECT list_id, list_title, org_nm, data_type FROM kept ORDER BY popularity DESC, list_id LIMIT 20",
     "index_upsert": f"""WITH {CATALOG_SQL},
@@ -309,8 +311,8 @@ FROM t LEFT JOIN lst l USING (list_id) LEFT JOIN api a USING (list_id) LEFT JOIN
     "char_grams": r"""WITH w AS (SELECT unnest(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM part),
 g AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w)
 SELECT gram, count(*) AS n FROM (SELECT substr(w, i, 2) AS gram FROM g WHERE i + 1 <= length(w) UNION ALL SELECT substr(w, i, 3) FROM g WHERE i + 2 <= length(w)) GROUP BY 1""",
-    "english_terms": rf"""WITH w AS (SELECT unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM documents)
-SELECT {_stem_sql('w')} AS term,
-count(*) AS n FROM w WHERE w NOT IN ({_STOP}) GROUP BY 1""",
+    "english_terms": rf"""WITH w AS (SELECT unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM documents),
+d AS (SELECT w, count(*) AS n FROM w WHERE w NOT IN ({_STOP}) GROUP BY 1)
+SELECT ({stems_sql('[w]')})[1] AS term, sum(n)::BIGINT AS n FROM d GROUP BY 1""",
 }
 QUERIES |= {k: globals()[k] for k in ORACLES}

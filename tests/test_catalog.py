@@ -99,7 +99,7 @@ def test_analyzers(spark):
     one = spark.range(1).select(
         text.english(F.lit("The Cities, boxes and Kés")).alias("e"), text.char_grams(F.lit("abc")).alias("g"), text.with_synonyms(F.array(F.lit("car"), F.lit("x")), {"car": ["auto"]}).alias("s"), text.highlight(F.lit("Red redder red"), ["red"]).alias("h")
     ).first()
-    assert (one.e, one.g, one.s, one.h) == (["city", "boxe", "ké"], ["ab", "abc", "bc"], ["car", "auto", "x"], "<em>Red</em> redder <em>red</em>")
+    assert (one.e, one.g, one.s, one.h) == (["citi", "box", "ké"], ["ab", "abc", "bc"], ["car", "auto", "x"], "<em>Red</em> redder <em>red</em>")
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +125,7 @@ def test_fields_have_analyzers_on_both_sides(spark):
     )
     index = search.build_index(docs)
     ids = lambda text, f: {r["list_id"] for r in search.bm25(index, text, {f: 1.0}).collect()}
-    assert ids("boxes cities", "title") == ids("boxe of the city", "title") == {1, 2} and ids("boxes cities", "title_alt") == {1}
+    assert ids("boxes cities", "title") == ids("boxing of the city", "title") == {1, 2} and ids("boxes cities", "title_alt") == {1}
     assert ids("Data", "keywords") == {2} and ids("Big Data", "keywords") == {1} and ids("data", "keywords") == set()
     assert ids("Road Works", "category_nm") == {1} and ids("works", "category_nm") == set()
 
