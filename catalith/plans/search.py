@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalith.functions import stemming
 from catalith.functions import text as analyzers
 from catalith.functions.stemming import stems_sql
-from catalith.operators import listing, paging, search, search_pages
+from catalith.operators import infix, listing, paging, search, search_pages
 from catalith.operators.listing import keep_first, unified
 from catalith.plans.tables import CATALOG_SQL, Catalog, iso_sql, table
 from catalith.sources.ingest import index_listings
@@ -151,6 +151,16 @@ def search_phrase_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.clause_scores(_texts(spark, sf_dir), [search.Clause("the and", {"desc": 1.0}, phrase=True)]))
 
 
+PART = "RIN.ex"
+
+
+def search_infix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages that hold a part, from the postings of its rarest grams."""
+    docs = table(spark, sf_dir, "pages").selectExpr("page_id AS list_id", "url AS text")
+    folder = stored(spark, sf_dir, "grams", lambda folder: infix.write_gram_index(docs, folder), ("pages",))
+    return infix.infix_search(infix.read_gram_index(spark, folder), PART)
+
+
 TERMS = "the and"
 TOP = [search.Clause("the mit license", {"desc": 1.0}), search.Clause("under the mit license", {"desc": 2.0}, phrase=True)]
 
@@ -175,6 +185,14 @@ def search_frontend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_pages.found_listings(hits, docs, *c.all)
 
 
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stored index is made of: its segments, documents, tables, and whether each of them has bytes on disk."""
+    c, _, _ = _listed(spark, sf_dir)
+    folder = stored(spark, sf_dir, "listings", lambda folder: index_listings(c.api, c.file, folder), LISTING_TABLES)
+    parts = segments.sizes(spark, folder).agg(F.max("segments").cast("long").alias("segments"), F.count("*").alias("parts"), F.min(F.col("bytes") > 0).alias("has_bytes"))
+    return parts.join(segments.read_docs(spark, folder).agg(F.count("*").alias("documents")), F.lit(True))  # one row each
+
+
 def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole keywords, letter for letter, beside the words of the other fields."""
     return _rounded(search.search_weighted(_listed(spark, sf_dir)[2], ["License", "Kind 3"], [1.0, 2.0]))
@@ -278,6 +296,9 @@ ORACLES |= {
     "search_adaptive_strict": _titles_sql(search.strict_clauses("small ring")),
     "search_adaptive_relaxed": _titles_sql(search.fuzzy_clauses("smal rings")),
     "search_bm25": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, [search.Clause('the and aux', {'desc': 1.0})])}\nSELECT list_id, round(score, 6) AS score FROM hits",
+    "search_infix": f"SELECT page_id AS list_id, url AS text FROM pages WHERE contains(lower(url), lower('{PART}'))",
+    "index_stats": f"""WITH {CATALOG_SQL},
+{LISTED_SQL} SELECT 1::BIGINT AS segments, count(*) AS documents, (SELECT count(*) FROM (SELECT unnest([{", ".join(f"'{t}'" for t in segments.TABLES)}]))) AS parts, true AS has_bytes FROM lst""",
     "search_top_page": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, TOP)}\nSELECT list_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, list_id LIMIT 20 OFFSET 20",
     "search_phrase_text": f"WITH {_TEXT},\n{hits_sql('docs', {'desc': 'text'}, [search.Clause('the and', {'desc': 1.0}, phrase=True)])}\nSELECT list_id, round(score, 6) AS score FROM hits",
     "search_keywords": _listed_sql(search.weighted_clauses(["License", "Kind 3"], [1.0, 2.0])),

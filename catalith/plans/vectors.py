@@ -128,6 +128,18 @@ def rec_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(recommendations.cache_first(targets, kept, made, top_k=3))
 
 
+def rec_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored recommendations deleted in their store: one target, one that is not there, several, then all; and what the store has on disk before that."""
+    path, key = f"{stores.work_folder(spark)}/recommendations-{uuid.uuid4().hex}", "target_doc_id"
+    stores.replace_snapshot(_stored(spark, sf_dir), path)
+    one, none, many = stores.remove_one(spark, path, key, "9"), stores.remove_one(spark, path, key, "-1"), stores.remove_many(spark, path, key, ["0", "3", "-2"])
+    has = stores.snapshot_stats(spark, path).first()
+    cleared = stores.remove_all(spark, path)
+    counts = {"one": int(one), "none": int(none), "many": many, "stored_rows": has["rows"], "has_bytes": int(has["bytes"] > 0), "versions": has["versions"], "cleared": cleared}
+    left = stores.read_snapshot(spark, path).agg(F.count("*").alias("left_rows"))
+    return left.select(*(F.lit(v).cast("long").alias(k) for k, v in counts.items()), "left_rows")
+
+
 def rec_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(recommendations.cached(_stored(spark, sf_dir), 2))
 
@@ -170,6 +182,8 @@ SELECT coalesce(n.vec_id, st.vec_id)::VARCHAR AS target_doc_id, CASE WHEN n.vec_
 CASE WHEN n.vec_id IS NOT NULL THEN '2024-02-01 00' ELSE strftime(made, '%Y-%m-%d %H') END AS updated, CASE WHEN n.vec_id IS NOT NULL THEN '2024-02-08' END AS expires FROM n FULL JOIN st ON n.vec_id = st.vec_id""",
     "rec_cache_first": f"""WITH {_PAIRS}, {_STORED} {_ITEMS.format(", 'cache' AS source", 3)}
 UNION ALL SELECT *, 'realtime' FROM k WHERE rank <= 3 AND target_doc_id NOT IN (SELECT vec_id::VARCHAR FROM st WHERE has)""",
+    "rec_delete": f"""WITH {_STORED} SELECT count(*) FILTER (vec_id = 9) AS one, 0::BIGINT AS none, 3::BIGINT AS many, count(*) FILTER (vec_id NOT IN (0, 3, 9)) AS stored_rows,
+1::BIGINT AS has_bytes, 2::BIGINT AS versions, count(*) FILTER (vec_id NOT IN (0, 3, 9)) AS cleared, 0::BIGINT AS left_rows FROM st""",
     "rec_cached": f"WITH {_STORED} {_ITEMS.format('', 2)}",
     "rec_cache_stats": f"""WITH {_STORED} SELECT count(*) AS total_cached_docs, count(*) FILTER (made >= TIMESTAMP '2024-01-31 00:00:00') AS recent_recommendations, round(avg(CASE WHEN has THEN 4.0 ELSE 0.0 END), 6) AS avg_recommendations_per_doc,
 (SELECT printf('%.2f%%', 100.0 * count(*) FILTER (user_id IN (SELECT vec_id FROM st WHERE has)) / count(*)) FROM events) AS cache_hit_ratio FROM st""",

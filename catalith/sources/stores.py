@@ -121,6 +121,23 @@ def remove_many(spark: SparkSession, path: str, key: str, values: list) -> int:
     return len(values)
 
 
+def remove_all(spark: SparkSession, path: str) -> int:
+    """Empties a snapshot; returns how many rows it had."""
+    rows = read_snapshot(spark, path)
+    n = rows.count()
+    replace_snapshot(rows.limit(0), path, also_empty=True)
+    return n
+
+
+def snapshot_stats(spark: SparkSession, path: str) -> DataFrame:
+    """rows, files and bytes of a snapshot, and how many versions are kept."""
+    last = last_version(spark, path)
+    store, at = _store(spark, f"{path}/version={last:08d}")
+    summary = store.getContentSummary(at)
+    found = [(summary.getFileCount(), summary.getLength(), len(versions(spark, path)))]
+    return spark.createDataFrame(found, "files long, bytes long, versions int").join(read_version(spark, path, last).agg(F.count("*").alias("rows")), F.lit(True))  # one row each
+
+
 def valid_requests(requests: DataFrame, as_of: Column) -> DataFrame:
     """Requests with an id or an address (0 and "" are none), stamped with the wall-clock time at UTC+9."""
     has = (F.coalesce("list_id", F.lit(0)) != 0) | (F.coalesce("url", F.lit("")) != "")
