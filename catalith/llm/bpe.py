@@ -3,7 +3,7 @@
 The library encodes a text of invented or rare words at 1-2 MB/s. Its pre-tokenizers cut every text at
 white space and between letters and punctuation, and never merge across those cuts, so the ids of
 a text are the ids of its pieces in order. A piece found before is read from a dictionary of the task's
-process, which stops growing at CACHE_PIECES (the pieces after that are encoded, not kept). New pieces are encoded
+process, which stops growing at CACHE_PIECES (the pieces after that are encoded for a batch, not kept). New pieces are encoded
 JOINED at a time in one string, as the library spends more on a string than on a short piece.
 """
 
@@ -17,8 +17,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a process keeps, about 300 bytes each; pieces of one string.
-CACHE_PIECES, JOINED = 50_000, 2_000
+#: Pieces that a process keeps, about 250 bytes each; pieces of one string.
+CACHE_PIECES, JOINED = 450_000, 2_000
 
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _MARK = ".,;:!?|#*$%&"
@@ -33,9 +33,10 @@ class PieceEncoder:
     """spaced: the tokenizer is byte-level; else it drops white space and lower-cases.
 
     plain: strings of special tokens in a text are ordinary text; else they are those tokens, as in the library's own call.
+    most: pieces that are kept, CACHE_PIECES by default.
     """
 
-    def __init__(self, path: str, spaced: bool, plain: bool = False) -> None:
+    def __init__(self, path: str, spaced: bool, plain: bool = False, most: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +46,7 @@ class PieceEncoder:
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special and not plain else None
         self.spaced = spaced
         self.kept: dict[str, bytes] = {}
+        self.most = most
         #: What stands between pieces, and which ids end one: the line feed's own, or those that close a word.
         self.between = "\n" if spaced else " "
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -87,16 +89,18 @@ class PieceEncoder:
 
     def encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
         """The ids of texts cut into pieces."""
-        new = list(set(chain.from_iterable(cut)).difference(self.kept))
-        fresh = self.fresh(new)
-        if len(self.kept) < CACHE_PIECES:
-            self.kept |= fresh
-            return [b"".join(map(self.kept.__getitem__, p)) for p in cut]
-        known = self.kept | fresh
-        return [b"".join(map(known.__getitem__, p)) for p in cut]
+        kept = self.kept
+        fresh = self.fresh(list(set(chain.from_iterable(cut)).difference(kept)))
+        kept.update(fresh)
+        out = [b"".join(map(kept.__getitem__, p)) for p in cut]
+        most = CACHE_PIECES if self.most is None else self.most
+        if len(kept) > most:
+            for p in list(fresh)[max(0, most - len(kept) + len(fresh)) :]:
+                del kept[p]
+        return out
 
 
 @functools.lru_cache(4)
-def encoder(path: str, spaced: bool, plain: bool = False) -> PieceEncoder:
+def encoder(path: str, spaced: bool, plain: bool = False, most: int | None = None) -> PieceEncoder:
     """One for each process, which Spark uses for many tasks."""
-    return PieceEncoder(path, spaced, plain)
+    return PieceEncoder(path, spaced, plain, most)

@@ -24,13 +24,13 @@ def lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << j for j in range(longest.bit_length() - 2, -1, -1) if rest >> j & 1]
 
 
-def _pieces(tokenizer: str, spaced: bool, end_id: int, longest: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(tokenizer: str, spaced: bool, end_id: int, longest: int, with_ids: bool, kept_pieces: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = end_id.to_bytes(4, "little")
     kinds = [("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     kind = pa.list_(pa.struct(kinds))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, spaced).encode
+        encode = encoder(tokenizer, spaced, most=kept_pieces).encode
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 pieces, tokens = [], []
@@ -49,17 +49,17 @@ def _pieces(tokenizer: str, spaced: bool, end_id: int, longest: int, with_ids: b
     return task
 
 
-def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, longest: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, longest: int = 2048, with_ids: bool = False, kept_pieces: int | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0), and ids if asked for.
 
     The end id closes each document. Null or empty text: the end id alone, one piece of length 1. Null
     doc_id: packed as well, before the others. Repeated rows: each is packed; rows of one doc_id follow one another as they
     stand in docs. A text of any length is packed whole. Other columns, whatever their names, are not read. An empty table
-    gives no pieces.
+    gives no pieces. kept_pieces: what a process keeps of the encoder's work; the result is the same.
     """
     ids = ", ids array<int>" if with_ids else ""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        freed(_pieces(tokenizer, spaced, end_id, longest, with_ids)),
+        freed(_pieces(tokenizer, spaced, end_id, longest, with_ids, kept_pieces)),
         f"doc_id long, doc_tokens long, pieces array<struct<length: long, ids_crc32: long{ids}>>",
     )
     sizes = [1 << j for j in range(longest.bit_length() - 1, -1, -1)]

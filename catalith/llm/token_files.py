@@ -67,7 +67,7 @@ def _writer(folder: str, tokenizer: str, spaced: bool, end_id: int) -> Callable[
         store, path = _file_system(folder)
         out, at, offset, end = None, 0, 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for rows in slices(batch, limit=1 << 20):
+            for rows in slices(batch, limit=1 << 21):
                 out = out or store.open_output_stream(f"{path}/{file}")
                 offsets, tokens = [], []
                 for ids in coder.encode(rows.column("text").to_pylist()):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from catalith.llm import line_dedup, minhash_dedup, packing, substring_dedup, toxicity
 from catalith.llm.common import cut, free_name, table
 
+#: Pieces that a process keeps while it packs: few, as the stages before need the memory of the machine when a run follows another.
+KEPT_PIECES = 50_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -51,7 +53,7 @@ def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a sequence, as op6 packs. A null or empty text is the end id alone. An empty table gives no pieces."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1, longest=2048)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1, longest=2048, kept_pieces=KEPT_PIECES)
 
 
 STAGES: list[tuple[str, Stage]] = [
