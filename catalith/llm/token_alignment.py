@@ -28,6 +28,8 @@ from catalith.llm.common import cut, freed, join_groups, slices
 
 #: Text of a block (or one document), and of one pass of numpy in it.
 BLOCK_BYTES, PASS_BYTES = 4 << 20, 1 << 19
+#: Pieces that a process keeps of the work of tokenizer A; fewer than elsewhere, as tokenizer B and the links are in memory as well.
+KEPT_PIECES = 100_000
 #: Links of a group that are listed one by one; larger groups multiply the counts of their ids.
 LISTED_LINKS = 1 << 16
 
@@ -46,7 +48,7 @@ class ByteLevel:
     """Tokenizer A: ids of a space and the text, and the bytes of each id."""
 
     def __init__(self, path: str) -> None:
-        self.coder: PieceEncoder = encoder(path, True, True)
+        self.coder: PieceEncoder = encoder(path, True, True, KEPT_PIECES)
         at = byte_level()
         self.raw = [b""] * self.coder.tokenizer.get_vocab_size()
         for token, i in self.coder.tokenizer.get_vocab().items():
