@@ -1,6 +1,7 @@
-"""Weighted full-text search over an index of tokens.
+"""Weighted full-text search over an index of postings.
 
-The index is four tables: tokens (list_id, field, len, pos, term), terms (field, term and how many documents have it),
+The index is five tables: postings (list_id, field, len, term, tf and at, the places of the term in the field, counted from 0; a row for each
+term of a field of a document), terms (field, term and how many documents have it),
 fields (how many documents have the field, and its mean length) and deletions (key, term): what is left of the first
 PREFIX characters of a term after up to MAX_EDITS deletions. Two terms within as many edits share such a key: of an
 alignment's first PREFIX characters on either side, no more than the edits are unmatched. So a fuzzy term reads its few keys
@@ -60,14 +61,28 @@ class Clause:
     boost: float = 1.0
 
 
-def term_counts(tokens: DataFrame) -> DataFrame:
+def places_by_term(tokens: Column) -> Column:
+    """(term, tf, at) of each distinct term of an array of (term, pos) in their order; the array must be a column that is read, not made, here.
+
+    A term's tokens are a run of the array, so that all work is linear and within the row: nothing is shuffled to group a document's tokens.
+    """
+    term = lambda i: F.get(tokens, i - 1)["term"]
+    every = F.sequence(F.lit(1), F.size(tokens))
+    first = F.filter(every, lambda i: ~term(i - 1).eqNullSafe(term(i)))
+    last = F.filter(every, lambda i: ~term(i + 1).eqNullSafe(term(i)))
+    places = lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.get(tokens, i - 1)["pos"])
+    runs = F.arrays_zip(first.alias("first"), last.alias("last"))
+    return F.transform(runs, lambda r: F.struct(term(r["first"]).alias("term"), (r["last"] - r["first"] + 1).alias("tf"), places(r).alias("at")))
+
+
+def term_counts(postings: DataFrame) -> DataFrame:
     """field, term and n, the documents that have it there."""
-    return tokens.groupBy("field", "term", "list_id").agg(F.lit(1).alias("one")).groupBy("field", "term").agg(F.count("*").alias("n"))
+    return postings.groupBy("field", "term").agg(F.count("*").alias("n"))
 
 
-def field_totals(tokens: DataFrame) -> DataFrame:
+def field_totals(postings: DataFrame) -> DataFrame:
     """field, docs that have it and total, the tokens of all of them."""
-    return tokens.where("pos = 0").groupBy("field").agg(F.count("*").alias("docs"), F.sum("len").alias("total"))
+    return postings.where(F.get("at", F.lit(0)) == 0).groupBy("field").agg(F.count("*").alias("docs"), F.sum("len").cast("long").alias("total"))
 
 
 def mean_lengths(totals: DataFrame) -> DataFrame:
@@ -85,10 +100,9 @@ def deletion_postings(terms: DataFrame) -> DataFrame:
     return two.select(F.expr("concat(substring(head, 1, i - 1), substring(head, i + 1, j - i - 1), substring(head, j + 1))").alias("key"), "term")
 
 
-def term_impacts(tokens: DataFrame) -> DataFrame:
+def term_impacts(postings: DataFrame) -> DataFrame:
     """field, term, range, tf and len: the most of a term and the least length in any document of a range."""
-    tf = tokens.groupBy("field", "term", "list_id").agg(F.count("*").alias("tf"), F.min("len").alias("len"))
-    return largest_impacts(tf.withColumn("range", range_of(F.col("list_id"))))
+    return largest_impacts(postings.select("field", "term", range_of(F.col("list_id")).alias("range"), "tf", "len"))
 
 
 def range_of(list_id: Column) -> Column:
@@ -101,7 +115,7 @@ def largest_impacts(impacts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    tokens: DataFrame
+    postings: DataFrame
     terms: DataFrame
     fields: DataFrame
     deletions: DataFrame
@@ -109,13 +123,18 @@ class Index:
     analyzers: dict[str, Analyzer] = field(default_factory=lambda: ANALYZERS)
 
     @staticmethod
-    def of(tokens: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
-        terms = term_counts(tokens)
-        return Index.stored(tokens, terms, mean_lengths(field_totals(tokens)), deletion_postings(terms), term_impacts(tokens), by_field)
+    def of(postings: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
+        terms = term_counts(postings)
+        return Index.stored(postings, terms, mean_lengths(field_totals(postings)), deletion_postings(terms), term_impacts(postings), by_field)
 
     @staticmethod
-    def stored(tokens: DataFrame, terms: DataFrame, fields: DataFrame, deletions: DataFrame, impacts: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
-        return Index(tokens, terms, fields, deletions, impacts, ANALYZERS if by_field is None else by_field)
+    def stored(postings: DataFrame, terms: DataFrame, fields: DataFrame, deletions: DataFrame, impacts: DataFrame, by_field: dict[str, Analyzer] | None = None) -> Index:
+        return Index(postings, terms, fields, deletions, impacts, ANALYZERS if by_field is None else by_field)
+
+    @property
+    def tokens(self) -> DataFrame:
+        """list_id, field, len, pos, term: a row for each token."""
+        return self.postings.select("list_id", "field", "len", F.explode("at").alias("pos"), "term")
 
     def analyzer(self, name: str) -> Analyzer:
         return self.analyzers.get(name, analyzers.words)
@@ -124,7 +143,7 @@ class Index:
 def build_index(docs: DataFrame, fields: dict[str, str] | None = None, by_field: dict[str, Analyzer] | None = None) -> Index:
     """The index of docs. fields: the column of each field; by_field: the analyzers of fields that aren't words.
 
-    Arrays are read as their elements, one after the other. Null and empty texts have no tokens.
+    docs have one row for each list_id. Arrays are read as their elements, one after the other. Null and empty texts have no tokens.
     """
     fields = fields or {k: k for k in (*WEIGHTED, *EXACT) if k in docs.columns} | ({"title_alt": "title"} if "title" in docs.columns else {})
     by_field = ANALYZERS if by_field is None else by_field
@@ -136,9 +155,12 @@ def build_index(docs: DataFrame, fields: dict[str, str] | None = None, by_field:
             return F.flatten(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(analyzer(x), F.array().cast("array<string>"))))
         return analyzer(F.col(c))
 
-    each = [F.struct(F.lit(f).alias("field"), terms(f, c).alias("terms")) for f, c in fields.items()]
-    rows = docs.where("list_id is not null").select(F.col("list_id").cast("long").alias("list_id"), F.explode(F.array(*each)).alias("x"))
-    return Index.of(rows.select("list_id", "x.field", F.size("x.terms").alias("len"), F.posexplode("x.terms").alias("pos", "term")), by_field)
+    tokens = lambda f, c: F.sort_array(F.transform(terms(f, c), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    each = [F.struct(F.lit(f).alias("field"), tokens(f, c).alias("tokens")) for f, c in fields.items()]
+    rows = docs.where("list_id is not null").select(F.col("list_id").cast("long").alias("list_id"), F.explode(F.array(*each)).alias("x")).where(F.size("x.tokens") > 0)
+    parts = rows.select("list_id", "x.field", F.size("x.tokens").alias("len"), "x.tokens")
+    found = parts.select("list_id", "field", "len", F.explode(places_by_term(F.col("tokens"))).alias("p"))  # tokens are not among what goes along with every term
+    return Index.of(found.select("list_id", "field", "len", "p.term", "p.tf", "p.at"), by_field)
 
 
 def query_terms(spark: SparkSession, asked: list[tuple[str, Analyzer]]) -> list[list[str]]:
@@ -153,7 +175,7 @@ def near_terms(index: Index, asked: list[tuple[str, int]]) -> DataFrame:
     """(asked, edits, term) of all terms within the edits of those asked, which are the request's; met on what deletions leave of both."""
     if any(e > MAX_EDITS for _, e in asked):
         raise ValueError(f"edits are from 0 to {MAX_EDITS}")
-    spark = index.tokens.sparkSession
+    spark = index.postings.sparkSession
     keys = sorted({(a, e, k) for a, e in asked for k in analyzers.left_by_deletions(a[:PREFIX], e)})
     few = sorted({k for _, _, k in keys})
     rows = spark.createDataFrame(keys, "asked string, edits int, key string")
@@ -169,7 +191,7 @@ def _bm25(tf: Column, idf: Column) -> Column:
 
 def _found_terms(index: Index, asked: list[tuple]) -> tuple[DataFrame, list[str] | None]:
     """(asked, edits, term) of the index's terms that the request's are or nearly are; the terms themselves while they are MAX_LITERALS at most."""
-    spark = index.tokens.sparkSession
+    spark = index.postings.sparkSession
     same = sorted({(x[3], x[4], x[3]) for x in asked})
     fuzzy = sorted({(x[3], x[4]) for x in asked if x[4]})
     rows = spark.createDataFrame(same, "asked string, edits int, term string")
@@ -196,7 +218,7 @@ class _Request:
 
 def _request(index: Index, clauses: list[Clause]) -> _Request | None:
     """None for no clauses or texts without terms."""
-    spark = index.tokens.sparkSession
+    spark = index.postings.sparkSession
     pairs = [(i, c, f) for i, c in enumerate(clauses) for f in c.fields]
     analyzed = query_terms(spark, [(c.text, index.analyzer(f)) for _, c, f in pairs])
     asked, boosts = [], []
@@ -244,12 +266,14 @@ def _summed(request: _Request, scores: DataFrame, key: str) -> DataFrame:
     return top.groupBy(key).agg(F.sum("w").alias("score"))
 
 
-def _scores(request: _Request, tokens: DataFrame) -> DataFrame:
-    hit = request.only(tokens)
-    scores = _term_scores(request, hit.groupBy("list_id", "field", "len", "term").agg(F.count("*").alias("tf")), "list_id")
+def _scores(request: _Request, postings: DataFrame) -> DataFrame:
+    hit = request.only(postings)
+    scores = _term_scores(request, hit.select("list_id", "field", "len", "term", "tf"), "list_id")
     if request.phrases:  # occurrences whose terms agree on where the phrase begins
         phrase = request.matches.where("phrase").select("clause", "field", "at", "term", "terms")
-        starts = hit.join(phrase, ["field", "term"]).groupBy("clause", "list_id", "field", "len", "terms", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("found"))
+        begun = F.explode(F.transform("at", lambda pos: pos - F.col("nth"))).alias("start")
+        begins = hit.join(phrase.withColumnRenamed("at", "nth"), ["field", "term"]).select("clause", "list_id", "field", "len", "terms", begun)
+        starts = begins.groupBy("clause", "list_id", "field", "len", "terms", "start").agg(F.count("*").alias("found"))
         whole = starts.where("found = terms").groupBy("clause", "list_id", "field", "len").agg(F.count("*").alias("tf"))
         scores = scores.unionByName(_phrase_scores(request, whole, "list_id"))
     return _summed(request, scores, "list_id")
@@ -258,7 +282,7 @@ def _scores(request: _Request, tokens: DataFrame) -> DataFrame:
 def clause_scores(index: Index, clauses: list[Clause]) -> DataFrame:
     """(list_id, score) of every document that matches a clause; empty for no clauses or texts without terms."""
     request = _request(index, clauses)
-    return index.tokens.sparkSession.createDataFrame([], "list_id long, score double") if request is None else _scores(request, index.tokens)
+    return index.postings.sparkSession.createDataFrame([], "list_id long, score double") if request is None else _scores(request, index.postings)
 
 
 def range_bounds(request: _Request, impacts: DataFrame) -> DataFrame:
@@ -276,7 +300,7 @@ def range_bounds(request: _Request, impacts: DataFrame) -> DataFrame:
 
 
 def _in_ranges(index: Index, ranges: list[int]) -> DataFrame:
-    """The tokens of ranges; neighbouring ones are one condition on the ids, which the scan gets."""
+    """The postings of ranges; neighbouring ones are one condition on the ids, which the scan gets."""
     runs: list[list[int]] = []
     for r in sorted(ranges):
         if runs and r == runs[-1][1] + 1:
@@ -284,11 +308,11 @@ def _in_ranges(index: Index, ranges: list[int]) -> DataFrame:
         else:
             runs.append([r, r])
     if len(runs) > 64:  # many conditions cost more than they leave out
-        return index.tokens.where(F.col("list_id").between(runs[0][0] * RANGE_IDS, (runs[-1][1] + 1) * RANGE_IDS - 1)).where(range_of(F.col("list_id")).isin(ranges))
+        return index.postings.where(F.col("list_id").between(runs[0][0] * RANGE_IDS, (runs[-1][1] + 1) * RANGE_IDS - 1)).where(range_of(F.col("list_id")).isin(ranges))
     which = F.lit(False)
     for a, b in runs:
         which = which | F.col("list_id").between(a * RANGE_IDS, (b + 1) * RANGE_IDS - 1)
-    return index.tokens.where(which)
+    return index.postings.where(which)
 
 
 def open_ranges(index: Index, clauses: list[Clause], wanted: int) -> tuple[_Request | None, list[int] | DataFrame, int]:
@@ -315,10 +339,10 @@ def top_hits(index: Index, clauses: list[Clause], size: int, offset: int = 0) ->
     if request is None:
         return top(clause_scores(index, []), size, offset)
     if isinstance(ranges, DataFrame):
-        tokens = index.tokens.withColumn("range", range_of(F.col("list_id"))).join(ranges, "range", "left_semi").drop("range")
+        postings = index.postings.withColumn("range", range_of(F.col("list_id"))).join(ranges, "range", "left_semi").drop("range")
     else:
-        tokens = _in_ranges(index, ranges) if ranges else index.tokens.where("false")
-    return top(_scores(request, tokens), size, offset)
+        postings = _in_ranges(index, ranges) if ranges else index.postings.where("false")
+    return top(_scores(request, postings), size, offset)
 
 
 def bm25(index: Index, text: str, fields: dict[str, float]) -> DataFrame:

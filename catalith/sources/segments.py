@@ -1,6 +1,6 @@
 """A stored search index: segments, and a manifest whose commit makes them one index.
 
-An upsert writes one segment, in proportion to what changes: tokens (in a folder for each field, in order of the term), deletions
+An upsert writes one segment, in proportion to what changes: postings (in a folder for each field, in order of the term), deletions
 (in order of the key), impacts (in order of the term), documents (in order of the id), the ids that it replaces in all segments before it, and counts. Counts are signed:
 those of the new documents less those of the documents replaced, which are analysed again from their stored rows, so the sums
 over the segments are the counts of the index and no reader has to look for what is dead. Then the manifest, a snapshot of the
@@ -23,10 +23,10 @@ from catalith.sources.stores import _store, last_version, read_version, replace_
 
 #: Segments that an index has at most, after which the newest are merged.
 MAX_SEGMENTS = 8
-TOKENS = "list_id long, len int, pos int, term string, field string"
+POSTINGS = "list_id long, len int, term string, tf int, at array<int>, field string"
 MANIFEST = "at int, path string, docs long"
 #: The tables of a segment.
-TABLES = ("docs", "ids", "tokens", "terms", "totals", "deletions", "impacts")
+TABLES = ("docs", "ids", "postings", "terms", "totals", "deletions", "impacts")
 
 
 def write_table(df: DataFrame, path: str, order: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> None:
@@ -57,7 +57,7 @@ def commit(spark: SparkSession, folder: str, segments: list[tuple[str, int]], se
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.schema(TOKENS).parquet(f"{path}/tokens") if table == "tokens" else spark.read.parquet(f"{path}/{table}")
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings") if table == "postings" else spark.read.parquet(f"{path}/{table}")
 
 
 def _every(spark: SparkSession, paths: list[str], table: str) -> DataFrame:
@@ -85,7 +85,7 @@ def read_index(spark: SparkSession, folder: str, by_field: dict[str, Analyzer] |
     terms = _summed(spark, paths, "terms", ["field", "term"], ["n"]).where("n > 0")
     totals = _summed(spark, paths, "totals", ["field"], ["docs", "total"]).where("docs > 0")
     impacts = largest_impacts(_every(spark, paths, "impacts"))  # those of documents that are replaced bound as well
-    return Index.stored(_live(spark, paths, "tokens"), terms, mean_lengths(totals), _every(spark, paths, "deletions"), impacts, by_field)
+    return Index.stored(_live(spark, paths, "postings"), terms, mean_lengths(totals), _every(spark, paths, "deletions"), impacts, by_field)
 
 
 def read_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,18 +121,18 @@ def upsert(
     ids = _read(spark, path, "ids")
     if before and ids.isEmpty():
         return 0
-    write_table(build_index(stored, fields, by_field).tokens, f"{path}/tokens", ("field", "term", "list_id"), ("field",))
-    tokens = _read(spark, path, "tokens")
-    terms, totals = term_counts(tokens), field_totals(tokens)
+    write_table(build_index(stored, fields, by_field).postings, f"{path}/postings", ("field", "term", "list_id"), ("field",))
+    postings = _read(spark, path, "postings")
+    terms, totals = term_counts(postings), field_totals(postings)
     if before:
-        old = build_index(_of_ids(read_docs(spark, folder), ids), fields, by_field).tokens
+        old = build_index(_of_ids(read_docs(spark, folder), ids), fields, by_field).postings
         less = lambda df, cols: df.withColumns({c: -F.col(c) for c in cols})
         terms = terms.unionByName(less(term_counts(old), ["n"])).groupBy("field", "term").agg(F.sum("n").alias("n")).where("n <> 0")
         totals = totals.unionByName(less(field_totals(old), ["docs", "total"])).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
     write_table(terms, f"{path}/terms", ("term", "field"))
     write_table(totals, f"{path}/totals")
     write_table(deletion_postings(_read(spark, path, "terms").where("n > 0")), f"{path}/deletions", ("key", "term"))  # a term of no more documents than before is stored already
-    write_table(term_impacts(tokens), f"{path}/impacts", ("term", "field", "range"))
+    write_table(term_impacts(postings), f"{path}/impacts", ("term", "field", "range"))
     commit(spark, folder, [*before, (path, n)], seen)
     merge(spark, folder)
     return n
@@ -165,12 +165,12 @@ def merge(spark: SparkSession, folder: str, most: int = MAX_SEGMENTS) -> bool:
     path = f"{folder}/segments/{uuid.uuid4().hex}"
     write_table(_live(spark, paths, "docs"), f"{path}/docs", ("list_id",))
     write_table(_every(spark, paths, "ids").distinct(), f"{path}/ids")
-    write_table(_live(spark, paths, "tokens"), f"{path}/tokens", ("field", "term", "list_id"), ("field",))
+    write_table(_live(spark, paths, "postings"), f"{path}/postings", ("field", "term", "list_id"), ("field",))
     write_table(_summed(spark, paths, "terms", ["field", "term"], ["n"]).where("n <> 0"), f"{path}/terms", ("term", "field"))
     write_table(_summed(spark, paths, "totals", ["field"], ["docs", "total"]), f"{path}/totals")
     deletions = _every(spark, paths, "deletions").distinct() if first else deletion_postings(_read(spark, path, "terms"))  # without the terms that are gone
     write_table(deletions, f"{path}/deletions", ("key", "term"))
-    write_table(term_impacts(_read(spark, path, "tokens")), f"{path}/impacts", ("term", "field", "range"))
+    write_table(term_impacts(_read(spark, path, "postings")), f"{path}/impacts", ("term", "field", "range"))
     commit(spark, folder, [*segments[:first], (path, _read(spark, path, "docs").count())], segments)
     return True
 
