@@ -195,6 +195,24 @@ def test_ranges_are_left_out(spark, tmp_path, monkeypatch):
     assert isinstance(search.open_ranges(index, clauses, 10)[1], type(index.tokens)) and search.top_hits(index, clauses, 10).collect() == want
 
 
+def test_postings_are_the_places_of_each_term(spark):
+    """Against brute force: null, empty and very long texts, one term again and again, an array of texts; made without a shuffle."""
+    r = random.Random(4)
+    long = " ".join(r.choice(["a", "b", f"w{r.randrange(500)}", "한"]) for _ in range(60_000))
+    rows = [(1, "b a b", ["x y", None, "x"]), (2, None, None), (3, "", []), (4, "a " * 50, ["", "z"]), (5, long, None), (None, "a", ["a"])]
+    index = search.build_index(spark.createDataFrame(rows, "list_id long, list_title string, desc array<string>"), FIELDS)
+    want = {}
+    for list_id, title, desc in rows:
+        for name, words in (("list_title", (title or "").split()), ("desc", " ".join(x or "" for x in desc or []).split())):
+            for i, w in enumerate(words if list_id else []):
+                want.setdefault((list_id, name, len(words), w), []).append(i)
+    got = index.postings.collect()
+    assert {(p["list_id"], p["field"], p["len"], p["term"]): p["at"] for p in got} == want and len(got) == len(want)
+    assert all(p["tf"] == len(p["at"]) for p in got)
+    assert {(t["field"], t["docs"], t["total"]) for t in search.field_totals(index.postings).collect()} == {("list_title", 3, 60_053), ("desc", 2, 4)}
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_hold(spark):
     index = search.build_index(many_docs(spark, 500), FIELDS)
     clauses = [search.Clause("the rare gem", {"list_title": 1.0, "desc": 2.0}), search.Clause("rare gem", {"list_title": 1.0}, phrase=True)]
