@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from catalith.functions.coerce import falsy_or, int_or_zero, timestamp_or_null, trending_score, truthy_id
 from catalith.operators.lookup import lookup_last
 from catalith.operators.paging import Page
+from catalith.sources.stores import scratch
 
 #: Rows kept of each ranking.
 KEPT = {"latest": 200_000, "popular": 200_000, "trending": 1_000}
+#: Rows that are ranked in one task, and rows of a file of the sorted rows beyond.
+ONE_TASK, RANGE_FILE_ROWS = 1_000, 100_000
+#: Fixed value: the bits of Spark's increasing ids that number a partition's rows.
+PLACE_BITS = 33
 
 
 def rank_rows(api: DataFrame, file: DataFrame, api_docs: DataFrame, file_docs: DataFrame) -> DataFrame:
@@ -42,10 +47,36 @@ def rank_rows(api: DataFrame, file: DataFrame, api_docs: DataFrame, file_docs: D
 
 
 def ranked(rows: DataFrame, key: Column, keep: int) -> DataFrame:
-    """The keep rows of the largest key, numbered from 1. Only they meet in one task: keep bounds it, not the data."""
+    """The keep rows of the largest key, numbered from 1; nulls come last, ties go by id, kind and title, and rows equal in all of them in any order.
+
+    Up to ONE_TASK rows are cut and numbered in one task. More are sorted by ranges of the whole order, so that a key that many
+    rows share is in many tasks, and written once; a row's number is its place in its range after the rows of the ranges before it.
+    """
     order = [F.col("_key").desc_nulls_last(), F.col("list_id").asc(), F.col("data_type").asc(), F.col("list_title").asc()]
-    top = rows.withColumn("_key", key).orderBy(*order).limit(keep)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_key")
+    keyed = rows.withColumn("_key", key)
+    if keep > ONE_TASK:
+        return _ranked_by_range(keyed, order, keep).drop("_key")
+    return keyed.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_key")
+
+
+def _ranked_by_range(rows: DataFrame, order: list[Column], keep: int) -> DataFrame:
+    """As ranked. Only counts of ranges, of which a shuffle has a bounded number, come to the driver; ranges beyond keep are not read again."""
+    spark = rows.sparkSession
+    path = scratch(spark, "ranked")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.option("maxRecordsPerFile", RANGE_FILE_ROWS).parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    in_range = F.shiftright("_at", PLACE_BITS)
+    before, ranges, last = 0, [], -1
+    for at, n in sorted(written.groupBy(in_range).agg(F.count("*")).collect()):
+        ranges.append((at, (at << PLACE_BITS) - before - 1))
+        last = (at << PLACE_BITS) + min(n, keep - before) - 1
+        before += n
+        if before >= keep:
+            break
+    base = spark.createDataFrame(ranges, "_range long, _base long")
+    kept = written.where(F.col("_at") <= last).withColumn("_range", in_range)  # goes down to the scan: _at ascends from file to file
+    return kept.join(F.broadcast(base), "_range").withColumn("rank", (F.col("_at") - F.col("_base")).cast("int")).drop("_at", "_range", "_base")
 
 
 def rank_latest(rows: DataFrame, as_of: Column, keep: int = KEPT["latest"]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,9 +199,9 @@ def metadata_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_popular(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The ranking by popularity and the metadata of the rankings, written twice and read back."""
-    folder, rows = f"{stores.work_folder(spark)}/ranks-{uuid.uuid4().hex}", _rank_rows(spark, sf_dir)
+    folder, rows = stores.scratch(spark, "ranks"), _rank_rows(spark, sf_dir)
     for keep in (5, ranks.KEPT["popular"]):
-        stores.replace_snapshot(ranks.rank_popular(rows, keep), f"{folder}/popular")
+        stores.replace_snapshot(ranks.rank_popular(rows, keep), f"{folder}/popular", order=("rank",))
     stores.replace_snapshot(ranks.rank_metadata(rows, as_of()), f"{folder}/metadata")
     return stores.read_snapshot(spark, f"{folder}/popular"), stores.read_snapshot(spark, f"{folder}/metadata")
 

@@ -33,7 +33,7 @@ def build_rankings(rows: DataFrame, folder: str, as_of) -> dict[str, int]:  # no
     rows = rows.persist()
     made = {"latest": ranks.rank_latest(rows, as_of), "popular": ranks.rank_popular(rows), "trending": ranks.rank_trending(rows, as_of)}
     for name, df in made.items():
-        replace_snapshot(df, f"{folder}/rank_{name}")
+        replace_snapshot(df, f"{folder}/rank_{name}", order=("rank",))
     replace_snapshot(ranks.rank_metadata(rows, as_of), f"{folder}/rank_metadata")
     counts = ranks.rank_counts(rows).first().asDict()
     rows.unpersist()

@@ -9,6 +9,7 @@ the old versions. Of two writers that take one number the second fails. The vers
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -19,6 +20,8 @@ from catalith.sources.listings import SAVED_REQUEST
 
 #: Versions of a snapshot that stay.
 KEPT_VERSIONS = 2
+#: Rows of a file of an ordered snapshot.
+FILE_ROWS = 10_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -32,6 +35,14 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the work folder for a table that lives as long as the session; it is removed when the driver ends."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
+    return path
+
+
 def _store(spark: SparkSession, path: str):  # noqa: ANN202
     """The file system of a path, as Spark's readers see it, and the path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,13 +76,19 @@ def last_version(spark: SparkSession, path: str) -> int:
     return max(versions(spark, path), default=0)
 
 
-def replace_snapshot(df: DataFrame, path: str, also_empty: bool = False, partition_by: tuple[str, ...] = ()) -> bool:
-    """Writes df as the next version; without rows nothing is written, and the old snapshot stays, unless also_empty."""
+def replace_snapshot(df: DataFrame, path: str, also_empty: bool = False, partition_by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> bool:
+    """Writes df as the next version; without rows nothing is written, and the old snapshot stays, unless also_empty.
+
+    With an order each file holds a range of it, FILE_ROWS rows at most, so that a filter on its columns opens few files.
+    """
     if not also_empty and df.isEmpty():
         return False
     spark = df.sparkSession
     found = _numbered(spark, path)
-    df.write.partitionBy(*partition_by).parquet(f"{path}/version={max(found, default=0) + 1:08d}")
+    writer = df.write
+    if order:
+        writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", FILE_ROWS)
+    writer.partitionBy(*partition_by).parquet(f"{path}/version={max(found, default=0) + 1:08d}")
     kept = sorted(v for v, done in found.items() if done)[-(KEPT_VERSIONS - 1) :]
     for v in found:
         if not kept or v < kept[0]:  # a later unfinished one may still be written

@@ -262,6 +262,40 @@ def test_rankings_are_stored(spark, tables, tmp_path):
     assert counts["popular"] == 6 and ranks.snapshot_page(stored, paging.clamp(1, 2)).count() == 2
 
 
+def listed(spark, n, hot):
+    """n rows of which hot share a key, with repeated ids and null keys."""
+    c = F.col("id")
+    score = F.when(c % 10 < hot, F.lit(5.0)).when(c % 10 == 9, F.lit(None)).otherwise((c * 7919 % 1000).cast("double"))
+    kind = F.when(c % 2 == 0, "API").otherwise("FILE")
+    return spark.range(n).select((c % (n // 2 + 1)).alias("list_id"), kind.alias("data_type"), F.concat(F.lit("t"), c).alias("list_title"), score.alias("popularity_score"))
+
+
+@pytest.mark.parametrize(("n", "hot", "keep"), [(0, 0, 2000), (1, 9, 2000), (5000, 4, 2000), (5000, 10, 4999), (5000, 0, 5000), (3000, 3, 9000)])
+def test_ranks_by_range_are_those_of_one_sort(spark, n, hot, keep):
+    made = ranks.rank_popular(listed(spark, n, hot), keep)
+    given = [r["popularity_score"] or 0.0 for r in listed(spark, n, hot).collect()]
+    want = sorted(zip(given, listed(spark, n, hot).collect(), strict=True), key=lambda x: (-x[0], x[1]["list_id"], x[1]["data_type"], x[1]["list_title"]))[:keep]
+    assert made.columns == ["list_id", "data_type", "list_title", "popularity_score", "rank"]
+    assert rows(made, "rank", "list_title") == [(i, r["list_title"]) for i, (_, r) in enumerate(want, 1)]
+
+
+def test_pages_of_a_stored_ranking_open_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "FILE_ROWS", 500)
+    flat = listed(spark, 5000, 4).withColumns({"org_nm": F.lit("o"), "token_count": F.lit(1), "has_generated_doc": F.lit(True)})
+    stores.replace_snapshot(ranks.rank_popular(flat, 4000), str(tmp_path / "r"), order=("rank",))
+    stored = stores.read_snapshot(spark, str(tmp_path / "r"))
+    spans = sorted(tuple(r) for r in stored.groupBy(F.input_file_name().alias("f")).agg(F.min("rank").alias("a"), F.max("rank").alias("b")).select("a", "b").collect())
+    assert len(spans) >= 8 and spans[0][0] == 1 and spans[-1][1] == 4000 and all(b + 1 == a for (_, b), (a, _) in zip(spans, spans[1:], strict=False))
+    page = ranks.snapshot_page(stored, paging.clamp(3, 20))
+    scan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(rank,41)" in scan and "LessThanOrEqual(rank,60)" in scan
+    assert [r["list_id"] for r in page.collect()] == [r["list_id"] for r in stored.where("rank between 41 and 60").orderBy("rank").collect()]
+
+
+def test_scratch_tables_are_new_paths(spark):
+    assert stores.scratch(spark, "x") != stores.scratch(spark, "x") and stores.scratch(spark, "x").startswith(stores.work_folder(spark))
+
+
 def test_listing_ingest(tables):
     api, file = tables[:2]
     corpus = listings.recommendation_corpus(api, file, api_first=True)
