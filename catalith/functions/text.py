@@ -47,7 +47,7 @@ def char_grams(text: Column, least: int = 2, most: int = 3) -> Column:
 
 
 def with_synonyms(terms: Column, synonyms: dict[str, list[str]]) -> Column:
-    """terms followed by the synonyms of each."""
+    """terms followed by the synonyms of each: a bag of terms, whose places are no longer the text's (operators.synonyms keeps them)."""
     if not synonyms:
         return terms
     table = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))

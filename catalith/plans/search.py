@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalith.functions import stemming
 from catalith.functions import text as analyzers
 from catalith.functions.stemming import stems_sql
-from catalith.operators import infix, listing, paging, search, search_pages
+from catalith.operators import infix, listing, paging, search, search_pages, synonyms
 from catalith.operators.listing import keep_first, unified
 from catalith.plans.tables import CATALOG_SQL, Catalog, iso_sql, table
 from catalith.sources.ingest import index_listings
@@ -98,6 +98,23 @@ s3 AS (SELECT clause, list_id, field, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75
 hits AS (SELECT list_id, sum(w) AS score FROM (SELECT clause, list_id, max(w * boost) AS w FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3) JOIN bo USING (clause, field) GROUP BY ALL) GROUP BY 1)"""
 
 
+def _synonyms_sql(units: list[list[str]], fields: dict[str, float]) -> str:
+    """The scores of units, each given as its readings, which are words with spaces between."""
+    words = [(u, r, k, w, len(x.split())) for u, rs in enumerate(units) for r, x in enumerate(rs) for k, w in enumerate(x.split())]
+    values = ", ".join(f"({u}, {r}, {k}, '{w}', {n})" for u, r, k, w, n in words)
+    raw = " UNION ALL ".join(f"SELECT list_id, '{f}' AS field, {b} AS boost, {_analyzed_sql(f, PART_FIELDS[f])} AS ts FROM docs" for f, b in fields.items())
+    return f"""WITH {PARTS_SQL},
+q(unit, reading, nth, term, size) AS (VALUES {values}),
+raw AS (SELECT * FROM ({raw}) WHERE len(ts) > 0),
+tok AS (SELECT list_id, field, boost, len(ts) AS len, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM raw),
+st AS (SELECT field, count(*) AS docs, avg(len(ts)) AS mean_len FROM raw GROUP BY 1),
+p AS (SELECT unit, reading, list_id, field, boost, len, size, pos - nth AS st FROM tok JOIN q USING (term) GROUP BY ALL HAVING count(*) = size),
+c AS (SELECT unit, list_id, field, boost, len, count(DISTINCT st) AS tf FROM p GROUP BY ALL),
+w AS (SELECT unit, field, mean_len, ln(1 + (docs - n + 0.5) / (n + 0.5)) AS idf FROM (SELECT unit, field, count(*) AS n FROM c GROUP BY ALL) JOIN st USING (field)),
+b AS (SELECT unit, list_id, max(boost * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS w FROM c JOIN w USING (unit, field) GROUP BY ALL)
+SELECT list_id, round(sum(w), 6) AS score FROM b GROUP BY 1"""
+
+
 def _titles_sql(clauses: list[search.Clause]) -> str:
     return f"WITH {PARTS_SQL},\n{hits_sql('docs', PART_FIELDS, clauses)}\nSELECT list_id, round(score, 6) AS score FROM hits"
 
@@ -244,6 +261,23 @@ def synonym_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").cast("long").alias("n"))
 
 
+SYNONYMS = [["red", "blue"], ["red widget", "hot plate"], ["widget", "gear"], ["gizmo", "cold anvil"]]
+SYNONYM_FIELDS = {"list_title": 3.0, "desc": 1.0}
+#: The units of two requests and what they stand for, written out for the SQL.
+PHRASE_READINGS = [["red widget", "blue widget", "red gear", "blue gear", "hot plate"]]
+UNIT_READINGS = [["gizmo", "cold anvil"], ["red", "blue"]]
+
+
+def search_synonym_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase of two words in all its readings."""
+    return _rounded(synonyms.synonym_scores(_parts(spark, sf_dir), "red widget", SYNONYM_FIELDS, SYNONYMS))
+
+
+def search_synonym_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words, either of them or a synonym of it, one of which is of two words."""
+    return _rounded(synonyms.synonym_scores(_parts(spark, sf_dir), "gizmo red", SYNONYM_FIELDS, SYNONYMS, phrase=False))
+
+
 def search_with_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, docs, index = _listed(spark, sf_dir)
     hits = search.top_hits(index, search.weighted_clauses([TERMS]), search_pages.fetched(10))
@@ -315,6 +349,8 @@ SELECT list_id, data_type, round(score, 6) AS score FROM hits JOIN now USING (li
     "synonym_terms": r"""WITH w AS (SELECT unnest(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM part),
 s(w, term) AS (VALUES ('red', 'crimson'), ('red', 'scarlet'), ('ring', 'loop'))
 SELECT term, count(*) AS n FROM (SELECT w AS term FROM w UNION ALL SELECT term FROM w JOIN s USING (w)) GROUP BY 1""",
+    "search_synonym_phrase": _synonyms_sql(PHRASE_READINGS, SYNONYM_FIELDS),
+    "search_synonym_terms": _synonyms_sql(UNIT_READINGS, SYNONYM_FIELDS),
     "search_frontend": f"""{_ADAPTIVE_HITS},
 top AS (SELECT list_id, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, list_id LIMIT 20 OFFSET 20)
 SELECT t.list_id, CASE WHEN a.list_id IS NOT NULL THEN a.list_title ELSE f.list_title END AS list_title, CASE WHEN a.list_id IS NOT NULL THEN a.org_nm ELSE f.org_nm END AS org_nm,
