@@ -43,6 +43,8 @@ ANALYZERS: dict[str, Analyzer] = {"title": analyzers.english, **dict.fromkeys(("
 MAX_LITERALS = 5_000
 #: Edits that deletions are stored for, and characters of a term that they are taken of: 37 keys for a term at most.
 MAX_EDITS, PREFIX = 2, 8
+#: Terms whose deletions one task makes: some two million rows.
+TERMS_IN_TASK = 50_000
 #: Ids of a range whose scores are bounded together; ranges that are read first, for the score that a page needs.
 RANGE_IDS, FIRST_RANGES = 128, 4
 #: What scores may be off by where ranges are left out; pages by scores of six decimals stay the same.
@@ -89,12 +91,14 @@ def mean_lengths(totals: DataFrame) -> DataFrame:
     return totals.select("field", "docs", (F.col("total") / F.col("docs")).alias("mean_len"))
 
 
-def deletion_postings(terms: DataFrame) -> DataFrame:
+def deletion_postings(terms: DataFrame, count: int | None = None) -> DataFrame:
     """key and term of each distinct term: its first PREFIX characters without those at i and j, of which none, one or two are places in it.
 
-    A generator for each place keeps this in compiled code; a key that comes twice stays twice.
+    A generator for each place keeps this in compiled code; a key that comes twice stays twice. count: how many terms there
+    are where that is known; they are then dealt TERMS_IN_TASK to a task, as each becomes many rows there.
     """
-    heads = terms.select("term").distinct().select("term", F.substring("term", 1, PREFIX).alias("head")).withColumn("n", F.length("head"))
+    dealt = terms.select("term") if count is None else terms.select("term").repartition(max(1, math.ceil(count / TERMS_IN_TASK)), "term")
+    heads = dealt.distinct().select("term", F.substring("term", 1, PREFIX).alias("head")).withColumn("n", F.length("head"))
     one = heads.select("term", "head", "n", F.explode(F.sequence(F.lit(0), "n")).alias("i")).where("i = 0 or i < n")
     two = one.select("term", "head", "i", F.explode(F.expr("sequence(if(i = 0, 0, i + 1), n)")).alias("j"))
     return two.select(F.expr("concat(substring(head, 1, i - 1), substring(head, i + 1, j - i - 1), substring(head, j + 1))").alias("key"), "term")

@@ -1,7 +1,8 @@
 """A stored search index: segments, and a manifest whose commit makes them one index.
 
-An upsert writes one segment, in proportion to what changes: postings (in a folder for each field, in order of the term), deletions
-(in order of the key), impacts (in order of the term), documents (in order of the id), the ids that it replaces in all segments before it, and counts. Counts are signed:
+An upsert writes one segment, in proportion to what changes: documents (in files of ranges of the id), postings (in a folder for each field; a file
+holds those of a range of documents, in order of the term), deletions (a file of some terms, in order of the key), impacts (in order of the term), the ids
+that it replaces in all segments before it, and counts. Counts are signed:
 those of the new documents less those of the documents replaced, which are analysed again from their stored rows, so the sums
 over the segments are the counts of the index and no reader has to look for what is dead. Then the manifest, a snapshot of the
 segments' paths in order, is committed. Readers open what the last manifest names: they see all tables of a
@@ -29,10 +30,15 @@ MANIFEST = "at int, path string, docs long"
 TABLES = ("docs", "ids", "postings", "terms", "totals", "deletions", "impacts")
 
 
-def write_table(df: DataFrame, path: str, order: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> None:
-    """Writes a table of a segment once, in order if one is given."""
+def write_table(df: DataFrame, path: str, order: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), ranges: bool = False) -> None:
+    """Writes a table of a segment once, every file in order if one is given; with ranges, the files are ranges of it as well.
+
+    Rows stay where they were made: a request asks every file of a table for its terms anyway, as Spark opens all footers, and
+    finds them by the order within. So neither postings nor deletions are shuffled, and no range of them is sampled. A merge
+    deals its rows in ranges, so that small files of many segments become few.
+    """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df = (df.repartitionByRange(*order) if ranges else df).sortWithinPartitions(*order)
     df.write.partitionBy(*partition_by).parquet(path)
 
 
@@ -111,7 +117,7 @@ def upsert(
     seen = manifest(spark, folder)
     before = [] if recreate else seen
     path = f"{folder}/segments/{uuid.uuid4().hex}"
-    write_table(docs.where("list_id is not null").withColumn("list_id", F.col("list_id").cast("long")), f"{path}/docs", ("list_id",))
+    write_table(docs.where("list_id is not null").withColumn("list_id", F.col("list_id").cast("long")), f"{path}/docs", ("list_id",), ranges=True)
     stored = _read(spark, path, "docs")
     n = stored.count()
     ids = stored.select("list_id")
@@ -131,7 +137,8 @@ def upsert(
         totals = totals.unionByName(less(field_totals(old), ["docs", "total"])).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
     write_table(terms, f"{path}/terms", ("term", "field"))
     write_table(totals, f"{path}/totals")
-    write_table(deletion_postings(_read(spark, path, "terms").where("n > 0")), f"{path}/deletions", ("key", "term"))  # a term of no more documents than before is stored already
+    more = _read(spark, path, "terms").where("n > 0")
+    write_table(deletion_postings(more, more.count()), f"{path}/deletions", ("key", "term"))  # a term of no more documents than before is stored already
     write_table(term_impacts(postings), f"{path}/impacts", ("term", "field", "range"))
     commit(spark, folder, [*before, (path, n)], seen)
     merge(spark, folder)
@@ -163,14 +170,15 @@ def merge(spark: SparkSession, folder: str, most: int = MAX_SEGMENTS) -> bool:
         return False
     paths = [p for p, _ in segments[first:]]
     path = f"{folder}/segments/{uuid.uuid4().hex}"
-    write_table(_live(spark, paths, "docs"), f"{path}/docs", ("list_id",))
+    write_table(_live(spark, paths, "docs"), f"{path}/docs", ("list_id",), ranges=True)
     write_table(_every(spark, paths, "ids").distinct(), f"{path}/ids")
-    write_table(_live(spark, paths, "postings"), f"{path}/postings", ("field", "term", "list_id"), ("field",))
-    write_table(_summed(spark, paths, "terms", ["field", "term"], ["n"]).where("n <> 0"), f"{path}/terms", ("term", "field"))
+    write_table(_live(spark, paths, "postings"), f"{path}/postings", ("field", "term", "list_id"), ("field",), ranges=True)
+    write_table(_summed(spark, paths, "terms", ["field", "term"], ["n"]).where("n <> 0"), f"{path}/terms", ("term", "field"), ranges=True)
     write_table(_summed(spark, paths, "totals", ["field"], ["docs", "total"]), f"{path}/totals")
-    deletions = _every(spark, paths, "deletions").distinct() if first else deletion_postings(_read(spark, path, "terms"))  # without the terms that are gone
-    write_table(deletions, f"{path}/deletions", ("key", "term"))
-    write_table(term_impacts(_read(spark, path, "postings")), f"{path}/impacts", ("term", "field", "range"))
+    whole = _read(spark, path, "terms")
+    deletions = _every(spark, paths, "deletions").distinct() if first else deletion_postings(whole, whole.count())  # without the terms that are gone
+    write_table(deletions, f"{path}/deletions", ("key", "term"), ranges=True)
+    write_table(term_impacts(_read(spark, path, "postings")), f"{path}/impacts", ("term", "field", "range"), ranges=True)
     commit(spark, folder, [*segments[:first], (path, _read(spark, path, "docs").count())], segments)
     return True
 
