@@ -118,4 +118,4 @@ def synonym_scores(index: search.Index, text: str, fields: dict[str, float], gro
     weight = idf.select("unit", "field", "mean_len", F.log1p((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
     boost = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(float(fields[f]))), fields, F.when(F.lit(False), F.lit(0.0)))
     scored = kept.join(F.broadcast(weight), ["unit", "field"]).withColumn("w", search._bm25(F.col("tf"), F.col("idf")) * boost)
-    return scored.groupBy("list_id", "unit").agg(F.max("w").alias("w")).groupBy("list_id").agg(F.sum("w").alias("score"))
+    return scored.groupBy("list_id", "unit").agg(F.max("w").alias("w")).groupBy("list_id").agg(search.exact_sum(F.col("w")).alias("score"))
