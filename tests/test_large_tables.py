@@ -11,3 +11,10 @@ def test_sums_of_scores_do_not_depend_on_the_order_of_rows(spark):
     rows = [(k, w) for k, ws in enumerate(itertools.permutations([0.1, 0.7, 0.3, 1e-3, 2.9])) for w in ws]
     df = spark.createDataFrame(rows, "k int, w double").coalesce(1)
     assert df.groupBy("k").agg(search.exact_sum(F.col("w")).alias("s")).select("s").distinct().count() == 1
+
+
+def test_index_upsert_asks_for_its_three_terms():
+    from catalith.plans import search as plans
+
+    assert plans.INDEX_UPSERT_TERMS.split() == ["the", "and", "license"]
+    assert "'license', 0, 3, false, false" in plans.ORACLES["index_upsert"]
