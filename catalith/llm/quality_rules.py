@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ASCII_SPACE, Words, mix, slices
+from catalith.llm.common import ASCII_SPACE, Words, cut, mix, slices
 
 BUCKETS = 1 << 14
-#: Labelled rows that define the target; their broadcast and the fit are bounded by it.
-TARGET_ROWS = 20_000
+#: Bins that the ratios are narrowed by, and ratios that the driver gets at most, to find their median.
+BINS, FEW = 1024, 20_000
 #: The threshold lies so many (robust) standard deviations under the median ratio of the target texts.
 DEVIATIONS = 6.0
 MIN_WORDS = 20
@@ -99,14 +99,36 @@ def counts(text: pa.Array) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
+def _at(values: DataFrame, rank: int, few: int) -> float:
+    """The value number rank (from 0) of values(x), in order: bins are narrowed to the one that holds it until few values are left."""
+    one = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    n, low, high = one
+    while n > few and low < high:
+        bins = F.floor((F.col("x") - low) / (high - low) * BINS)
+        counts = values.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect()  # BINS + 1 at most
+        for r in counts:
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        n, low, high = r["n"], r["low"], r["high"]
+        values = values.where(F.col("x").between(low, high))
+    return low if low == high else sorted(v["x"] for v in values.collect())[rank]
+
+
+def median(values: DataFrame, few: int = FEW) -> float:
+    """The exact median of values(x), whose driver gets few values at most."""
+    n = values.count()
+    low = _at(values, (n - 1) // 2, few)
+    return low if n % 2 else (low + _at(values, n // 2, few)) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The weight of each bucket, and the threshold.
 
-    Counts over all documents; the target is at most TARGET_ROWS rows labelled quality = 1, chosen by
-    a hash of doc_id. Without target rows all weights are 0 and nothing falls below the threshold.
+    Counts over all documents; the target is every row labelled quality = 1. Without target rows all weights are 0 and nothing falls below the threshold.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("_good"), "_good").limit(TARGET_ROWS))  # 8 bytes for each of TARGET_ROWS
+    good = F.broadcast(good)  # 8 bytes for each
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("_good"), "left")
     counted = (
         joined.select("text", F.col("_good").isNotNull().alias("target"))
@@ -125,11 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b):
-                yield pa.RecordBatch.from_arrays([pa.array(_ratios(part.column("text"), weight))], names=["ratio"])
+                yield pa.RecordBatch.from_arrays([pa.array(_ratios(part.column("text"), weight))], names=["x"])
 
-    found = np.array([r[0] for r in chosen.mapInArrow(task, "ratio double").collect()])  # a number for each target row
-    middle = np.median(found)
-    spread = max(1.4826 * np.median(np.abs(found - middle)), 1e-3)
+    found = cut(chosen.mapInArrow(task, "x double"))  # a number for each target row
+    middle = median(found)
+    spread = max(1.4826 * median(found.select(F.abs(F.col("x") - middle).alias("x"))), 1e-3)
     return weight, float(middle - DEVIATIONS * spread)
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalith.operators import search
@@ -18,3 +19,23 @@ def test_index_upsert_asks_for_its_three_terms():
 
     assert plans.INDEX_UPSERT_TERMS.split() == ["the", "and", "license"]
     assert "'license', 0, 3, false, false" in plans.ORACLES["index_upsert"]
+
+
+def test_the_median_is_exact_beyond_what_the_driver_gets(spark):
+    from catalith.llm import quality_rules
+
+    r = np.random.default_rng(5)
+    for n in (1, 2, 301, 1000):
+        x = np.append(r.normal(size=n - n // 3), np.full(n // 3, 0.25))
+        assert quality_rules.median(spark.createDataFrame([(float(v),) for v in x], "x double"), few=10) == np.median(x)
+
+
+def test_the_target_is_every_labelled_row(spark):
+    from catalith.llm import quality_rules
+
+    n = 20_300
+    docs = spark.range(n).selectExpr("id as doc_id", "'plain good words' as text").unionByName(spark.range(n, n + 50).selectExpr("id as doc_id", "'other' as text"))
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    weight, _ = quality_rules.fit(docs, labels)
+    raw = 5 * n  # words and pairs of a labelled text
+    assert np.isclose(weight.min(), np.log(1 / (raw + quality_rules.BUCKETS)) - np.log(51 / (raw + 50 + quality_rules.BUCKETS)), atol=1e-9)
