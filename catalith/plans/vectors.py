@@ -54,18 +54,18 @@ def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommend_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, dated=False)
     return _rounded(detail.enriched(_computed(spark, sf_dir), c.api, c.file))
 
 
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, dated=False)
     return recommendation_corpus(c.api, c.file).select("doc_id", "doc_type", vectors.embedding_text().alias("content"))
 
 
 def embedding_text_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short form: title, description and keywords."""
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, dated=False)
     return recommendation_corpus(c.api, c.file, api_first=True).select("doc_id", "doc_type", vectors.embedding_text(with_office=False).alias("content"), "source")
 
 
@@ -88,7 +88,7 @@ def failed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing's vector by the encoder without a model, and what a reader checks of it: its size and its norm."""
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, dated=False)
     made = vectors.encode(recommendation_corpus(c.api, c.file), vectors.hash_encoder(), vectors.embedding_text())
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return made.select("doc_id", "doc_type", F.size("vector").alias("size"), F.round(F.sqrt(square), 4).alias("norm"))

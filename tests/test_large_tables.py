@@ -39,3 +39,13 @@ def test_the_target_is_every_labelled_row(spark):
     weight, _ = quality_rules.fit(docs, labels)
     raw = 5 * n  # words and pairs of a labelled text
     assert np.isclose(weight.min(), np.log(1 / (raw + quality_rules.BUCKETS)) - np.log(51 / (raw + 50 + quality_rules.BUCKETS)), atol=1e-9)
+
+
+def test_a_blank_request_builds_no_index_and_texts_are_not_joined_with_dates(spark, monkeypatch):
+    from catalith.plans import search as plans
+    from catalith.plans import vectors
+
+    monkeypatch.setattr(plans, "stored", lambda *x: 1 / 0)
+    assert plans.search_or_browse(spark, "/root/testdata/sf0.001").count() == 20
+    for q in (vectors.embedding_text, vectors.embedding_text_short, vectors.embed_listings):
+        assert "Join" not in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
