@@ -41,6 +41,15 @@ def test_the_target_is_every_labelled_row(spark):
     assert np.isclose(weight.min(), np.log(1 / (raw + quality_rules.BUCKETS)) - np.log(51 / (raw + 50 + quality_rules.BUCKETS)), atol=1e-9)
 
 
+def test_impacts_of_runs_are_those_of_all_rows_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, " ".join("abcab"[: 1 + i % 5])) for i in range(400)], "list_id long, desc string")
+    postings = search.build_index(docs, {"desc": "desc"}).postings
+    runs = search.run_impacts(postings.sortWithinPartitions("term", "list_id"))
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("field", "term", "range", "tf", "len").collect()))
+    assert rows(search.largest_impacts(runs)) == rows(search.term_impacts(postings))
+
+
 def test_a_blank_request_builds_no_index_and_texts_are_not_joined_with_dates(spark, monkeypatch):
     from catalith.plans import search as plans
     from catalith.plans import vectors
