@@ -7,7 +7,8 @@ centre. A target meets blocks by equi-joins only:
 
 - approximate: the blocks of its nearest lists. Rows are scored there by the centre and an 8-bit code of the residual, and
   the best ones are scored again by their vectors.
-- exact: the blocks whose ring the triangle inequality can't rule out, |d(target, centre) - d(row, centre)| <= d(target, row).
+- exact: the blocks whose ring the triangle inequality can't rule out, |d(target, centre) - d(row, centre)| <= d(target, row). Blocks are
+  shuffled in a few bundles, to each of which a target goes once at most.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalith.operators.vectors import BLOCK_ROWS, FOUND, THRESHOLD, TOP_K, _best, _matrix, _ranked, checked, usable
+from catalith.operators.vectors import BLOCK_ROWS, FOUND, TARGETS_AT_ONCE, THRESHOLD, TOP_K, _best, _matrix, _ranked, checked, grid_blocks, usable
 from catalith.sources.stores import read_snapshot, replace_snapshot
 
 #: Rows that centres are fitted on at most; centres at most (they go to every task); rounds of k-means.
@@ -197,15 +198,19 @@ def search(index: VectorIndex, targets: DataFrame, top_k: int = TOP_K, threshold
             t = _matrix(asked.column("tv"))
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(rows.num_rows, -1).astype(np.float32)
             about = t @ centres[asked.column("list")[0].as_py()]  # a block is of one list
-            scores = about[:, None] + (t.astype(np.float32) @ codes.T) * rows.column("scale").to_numpy()
-            best = np.argpartition(-scores, wanted - 1, axis=1)[:, :wanted] if rows.num_rows > wanted else np.tile(np.arange(rows.num_rows), (len(t), 1))
-            ids, names = rows.column("doc_id").to_pylist(), asked.column("target").to_pylist()
-            for name, own, at in zip(names, scores, best, strict=True):
-                a += [name] * len(at)
-                i += [ids[j] for j in at.tolist()]
-                s += own[at].tolist()
-        block = asked.column("block")[0].as_py() if asked.num_rows else 0
-        return pa.table({"block": pa.array([block] * len(a), pa.int64()), "target_doc_id": pa.array(a, pa.string()), "doc_id": pa.array(i, pa.string()), "about": pa.array(s, pa.float64())})
+            scale, few = rows.column("scale").to_numpy(), min(wanted, rows.num_rows)
+            for at in range(0, len(t), TARGETS_AT_ONCE):  # so that memory does not grow with the targets of a block
+                part = slice(at, at + TARGETS_AT_ONCE)
+                scores = about[part, None] + (t[part].astype(np.float32) @ codes.T) * scale
+                best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+                a.append(np.repeat(np.arange(at, at + len(best)), few))
+                i.append(best.ravel())
+                s.append(np.take_along_axis(scores, best, 1).ravel())
+        if not a:
+            return pa.table({"block": pa.array([], pa.int64()), "target_doc_id": pa.array([], pa.string()), "doc_id": pa.array([], pa.string()), "about": pa.array([], pa.float64())})
+        own, row, score = (pa.array(np.concatenate(x)) for x in (a, i, s))
+        block = pa.array(np.full(len(own), asked.column("block")[0].as_py(), np.int64))
+        return pa.table({"block": block, "target_doc_id": asked.column("target").take(own), "doc_id": rows.column("doc_id").take(row), "about": score.cast(pa.float64())})
 
     coded = _meet(index, asked.select("block", "list", "target", "tv"), ["doc_id", "scale", "code"], by_code, "block long, target_doc_id string, doc_id string, about double")
     order = Window.partitionBy("target_doc_id").orderBy(F.col("about").desc(), "doc_id")
@@ -221,7 +226,7 @@ def _open_blocks(index: VectorIndex, targets: DataFrame, threshold: float) -> Da
     near, far = np.full(len(index.centres), np.inf), np.full(len(index.centres), -np.inf)
     for r in rings:
         near[r["list"]], far[r["list"]] = r["near"], r["far"]
-    most = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    most = _farthest(threshold)
 
     def pick(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero((d - far <= most) & (near - d <= most))
@@ -236,13 +241,65 @@ def exact_neighbours(index: VectorIndex, targets: DataFrame, top_k: int = TOP_K,
     if not len(index.centres):
         return _ranked(targets.sparkSession.createDataFrame([], FOUND), index.rows, top_k, threshold)
 
+    bundles, bundle_of = _bundles(index)
+    chunks = grid_blocks(targets.count())
+    asked = _asked_bundles(index, targets, bundles, threshold).withColumn("chunk", F.pmod(F.xxhash64("target"), F.lit(chunks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    rows = index.rows.join(F.broadcast(bundle_of), "block").select("bundle", every.alias("chunk"), "block", "list", "far", "doc_id", "v")  # a row for each block
+    centres, most = index.centres, _farthest(threshold)
+
     def by_vector(asked: pa.Table, rows: pa.Table) -> pa.Table:
         a, i, s = [], [], []
         if asked.num_rows and rows.num_rows:
-            a, i, s = _best(rows.column("doc_id").to_pylist(), _matrix(rows.column("v")), asked.column("target").to_pylist(), _matrix(asked.column("tv")), top_k, threshold)
+            ids, names, v, t = rows.column("doc_id").to_pylist(), asked.column("target").to_pylist(), _matrix(rows.column("v")), _matrix(asked.column("tv"))
+            block, own, far = (rows.column(c).to_numpy() for c in ("block", "list", "far"))
+            for b in np.unique(block):
+                at = np.flatnonzero(block == b)
+                d = _distances(t, centres[own[at[0]]][None])[:, 0]
+                met = np.flatnonzero((d - far[at].max() <= most) & (far[at].min() - d <= most))
+                if len(met):
+                    found = _best([ids[j] for j in at], v[at], [names[j] for j in met], t[met], top_k, threshold)
+                    for whole, more in zip((a, i, s), found, strict=True):
+                        whole.extend(more)
         return pa.table({"target_doc_id": pa.array(a, pa.string()), "doc_id": pa.array(i, pa.string()), "similarity_score": pa.array(s, pa.float64())})
 
-    return _ranked(_meet(index, _open_blocks(index, targets, threshold), ["doc_id", "v"], by_vector, FOUND), index.rows, top_k, threshold)
+    found = asked.groupBy("bundle", "chunk").cogroup(rows.groupBy("bundle", "chunk")).applyInArrow(by_vector, FOUND)
+    return _ranked(found, index.rows, top_k, threshold)
+
+
+def _farthest(threshold: float) -> float:
+    """The distance of a similarity."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+
+def _bundles(index: VectorIndex) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], DataFrame]:
+    """For each bundle the list, near and far of its blocks; and the bundle of each block: grid_blocks() of them, with about as many rows each."""
+    known = index.blocks.select("block", "list", "near", "far", "n").orderBy(F.col("n").desc(), "block").collect()  # a row for BLOCK_ROWS vectors or a list
+    count = grid_blocks(sum(r["n"] for r in known))
+    held, parts, rows = [0] * count, [[] for _ in range(count)], []
+    for r in known:
+        least = held.index(min(held))
+        held[least] += r["n"]
+        parts[least].append(r)
+        rows.append((r["block"], least))
+    rings = [tuple(np.array([r[k] for r in p]) for k in ("list", "near", "far")) for p in parts if p]
+    return rings, index.rows.sparkSession.createDataFrame(rows, "block long, bundle int")
+
+
+def _asked_bundles(index: VectorIndex, targets: DataFrame, bundles: list, threshold: float) -> DataFrame:
+    """target, tv, bundle of all bundles that hold a block that may have a row at the threshold or nearer."""
+    centres, most = index.centres, _farthest(threshold)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                d = _distances(_matrix(part.column("v")), centres)
+                for k, (own, near, far) in enumerate(bundles):
+                    met = pa.array(np.flatnonzero(((d[:, own] - far <= most) & (near - d[:, own] <= most)).any(1)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(met), part.column("v").take(met), pa.array(np.full(len(met), k, np.int32))], names=["target", "tv", "bundle"])
+
+    return targets.select("doc_id", "v").mapInArrow(task, "target string, tv array<double>, bundle int")
 
 
 def compared(index: VectorIndex, targets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,7 +1,8 @@
 """Vectors of listings: their text, an encoder of the caller's choice, and cosine neighbours.
 
 Neighbours are exact. Targets that a request names are few and meet every batch of the corpus once. All targets at
-once meet the corpus in blocks of bounded size; a pair of blocks gives each target's best rows only.
+once meet the corpus in a grid of GRID blocks of either side, so that a row is shuffled GRID times, however many rows there are, until
+blocks reach their largest size; a pair of blocks gives each target's best rows only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 Encoder = Callable[[list[str]], np.ndarray]
 #: Rows of a block; texts that an encoder gets at once.
 BLOCK_ROWS, ENCODER_BATCH = 4096, 32
+#: Blocks of the rows that meet each other: as many while they hold LARGEST * BLOCK_ROWS rows at most, fewer where BLOCK_ROWS fill them; targets scored at once in a task.
+GRID, LARGEST, TARGETS_AT_ONCE = 8, 16, 64
 #: The least similarity, neighbours kept, and targets of one request.
 THRESHOLD, TOP_K, MAX_TARGETS = 0.5, 4, 100
 #: Fixed value: the most neighbours that a request may ask for.
@@ -80,16 +83,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _best(ids: list[str], v: np.ndarray, targets: list[str], t: np.ndarray, k: int, least: float) -> tuple[list[str], list[str], list[float]]:
     """For each target its k best rows, those equal to the last one included."""
     found: tuple[list[str], list[str], list[float]] = ([], [], [])
-    for name, score in zip(targets, t @ v.T, strict=True):
-        good = np.flatnonzero(score >= least - 1e-9)
-        if len(good) > k + 1:
-            good = good[score[good] >= np.partition(score[good], len(good) - k - 1)[len(good) - k - 1] - 1e-12]
-        found[0].extend([name] * len(good))
-        found[1].extend(ids[i] for i in good)
-        found[2].extend(score[good].tolist())
+    for a in range(0, len(targets), TARGETS_AT_ONCE):
+        for name, score in zip(targets[a : a + TARGETS_AT_ONCE], t[a : a + TARGETS_AT_ONCE] @ v.T, strict=True):
+            good = np.flatnonzero(score >= least - 1e-9)
+            if len(good) > k + 1:
+                good = good[score[good] >= np.partition(score[good], len(good) - k - 1)[len(good) - k - 1] - 1e-12]
+            found[0].extend([name] * len(good))
+            found[1].extend(ids[i] for i in good)
+            found[2].extend(score[good].tolist())
     return found
 
 
+def grid_blocks(n: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks for n rows that each meet all blocks of the other side."""
+    return max(1, min(GRID, math.ceil(n / block_rows)), math.ceil(n / (LARGEST * block_rows)))
+
+
 def _ranked(found: DataFrame, types: DataFrame, top_k: int, threshold: float) -> DataFrame:
     order = Window.partitionBy("target_doc_id").orderBy(F.col("similarity_score").desc(), F.length("doc_id"), F.col("doc_id"))
     kept = found.where((F.col("similarity_score") >= threshold) & (F.col("doc_id") != F.col("target_doc_id")))
@@ -127,7 +136,7 @@ def all_neighbours(vectors: DataFrame, top_k: int = TOP_K, threshold: float = TH
     unit = usable(vectors)
     chosen = unit if targets is None else unit.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = unit.agg(F.count("*").alias("n")).withColumn("k", F.lit(0)).unionByName(chosen.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)))
-    blocks, target_blocks = (max(1, math.ceil(r["n"] / block_rows)) for r in sorted(sizes.collect(), key=lambda r: r["k"]))
+    blocks, target_blocks = (grid_blocks(r["n"], block_rows) for r in sorted(sizes.collect(), key=lambda r: r["k"]))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     corpus, asked = unit.select(own(blocks).alias("b"), every(target_blocks).alias("t"), "doc_id", "v"), chosen.select(every(blocks).alias("b"), own(target_blocks).alias("t"), F.col("doc_id").alias("target"), F.col("v").alias("tv"))

@@ -41,6 +41,28 @@ def test_the_target_is_every_labelled_row(spark):
     assert np.isclose(weight.min(), np.log(1 / (raw + quality_rules.BUCKETS)) - np.log(51 / (raw + 50 + quality_rules.BUCKETS)), atol=1e-9)
 
 
+def test_vectors_are_copied_no_more_often_where_rows_are_more(spark):
+    from catalith.operators import vectors
+
+    assert vectors.grid_blocks(33_000) == vectors.grid_blocks(500_000) == vectors.GRID
+    assert vectors.grid_blocks(10) == 1 and vectors.grid_blocks(6_553_600) == 100  # memory is bounded beyond
+
+
+def test_a_target_goes_to_a_bundle_once(spark, tmp_path):
+    from catalith.operators import vector_index, vectors
+
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(str(i), "API", r.normal(size=8).tolist()) for i in range(300)], "doc_id string, doc_type string, vector array<double>")
+    index = vector_index.write_vector_index(rows, str(tmp_path), lists=20, block_rows=8)
+    targets = index.rows.select("doc_id", "v")
+    bundles, of = vector_index._bundles(index)
+    asked = vector_index._asked_bundles(index, targets, bundles, 0.0)
+    assert index.blocks.count() > 30 and of.count() == index.blocks.count()
+    assert asked.count() <= 300 * len(bundles) and asked.select("target", "bundle").distinct().count() == asked.count()
+    whole = {tuple(x) for x in vectors.all_neighbours(rows, threshold=0.3).select("target_doc_id", "doc_id", "rank").collect()}
+    assert whole == {tuple(x) for x in vector_index.exact_neighbours(index, targets, threshold=0.3).select("target_doc_id", "doc_id", "rank").collect()}
+
+
 def test_impacts_of_runs_are_those_of_all_rows_without_a_shuffle(spark):
     docs = spark.createDataFrame([(i, " ".join("abcab"[: 1 + i % 5])) for i in range(400)], "list_id long, desc string")
     postings = search.build_index(docs, {"desc": "desc"}).postings
