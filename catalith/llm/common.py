@@ -92,6 +92,27 @@ def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[int(ends[0]) : int(ends[-1])], (ends - ends[0]).astype(np.int64)
 
 
+def parts_of(data: np.ndarray, edges: np.ndarray) -> pa.DictionaryArray:
+    """The distinct parts of data between edges (its end at last), and which of them each part is."""
+    kind, width = (pa.string(), np.int32) if len(data) < 1 << 31 else (pa.large_string(), np.int64)
+    parts = pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(edges.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
+    return parts.dictionary_encode()
+
+
+def runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all items of runs, one run after the other, and where each run begins among them (with the end at last)."""
+    ends = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length, out=ends[1:])
+    return np.arange(ends[-1]) + np.repeat(start - ends[:-1], length), ends
+
+
+def joined_runs(raw: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit ids of raw[i] for each i of which, and where each begins among them (with the end at last)."""
+    length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    at, ends = runs((np.cumsum(length) - length)[which], length[which])
+    return np.frombuffer(b"".join(raw), "<u4")[at], ends
+
+
 _KEPT_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -65,16 +65,17 @@ def _writer(folder: str, tokenizer: str, spaced: bool, end_id: int) -> Callable[
         coder = encoder(tokenizer, spaced)
         width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, path = _file_system(folder)
-        out, at, offset, end = None, 0, 0, np.array([end_id], "<u4").tobytes()
+        out, at, offset = None, 0, 0
         for batch in batches:
-            for rows in slices(batch, limit=1 << 21):
+            for rows in slices(batch, limit=1 << 22):
                 out = out or store.open_output_stream(f"{path}/{file}")
                 offsets, tokens = [], []
-                for ids in coder.encode(rows.column("text").to_pylist()):
-                    record = frame(np.frombuffer(ids + end, "<u4").astype(f"<u{width}").tobytes())
+                text = rows.column("text")
+                for ids in coder.encode_batch(text) if spaced else (np.frombuffer(x, "<u4") for x in coder.encode(text.to_pylist())):
+                    record = frame(np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes())
                     out.write(record)
                     offsets.append(offset)
-                    tokens.append(len(ids) // 4 + 1)
+                    tokens.append(len(ids) + 1)
                     offset += len(record)
                 n = len(offsets)
                 yield pa.RecordBatch.from_arrays(

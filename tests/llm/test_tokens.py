@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -64,6 +66,28 @@ def test_full_cache(monkeypatch, doc_rows):
         assert [np.frombuffer(coder.encode([t])[0], "<u4").tolist() for t in texts] == want
 
 
+def test_batches_encode_as_the_library(monkeypatch, doc_rows):
+    r = random.Random(3)
+    chars = [*"aabstvel'''  \n\n\t\r\x0b\x0c\x1c\x00.,!#|12)(-_\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000éß×÷Àÿ日か😀\u0301²½ª—", "'s", "'ll", "<|endoftext|>", "  ", " \n", "\n\n", "the ", " of", "'\u200a  "]
+    texts = [x[1] or "" for x in doc_rows] + ["".join(r.choices(chars, k=r.randint(0, 30))) for _ in range(5000)]
+    want = [x[:-1] for x in ids_of(BYTE, texts, 0)]
+    for most in (None, 3):
+        coder = bpe.PieceEncoder(BYTE, True, most=most)
+        got = [x.tolist() for i in range(0, len(texts), 700) for x in coder.encode_batch(pa.array(texts[i : i + 700], pa.string()))]
+        assert got == want
+        assert most is None or len(coder.kept) == most
+    assert coder.encode_batch(pa.array([], pa.string())) == []
+
+
+def test_a_piece_of_a_batch_is_found_once():
+    coder, asked = bpe.PieceEncoder(BYTE, True), []
+    real = coder.fresh
+    coder.fresh = lambda pieces: asked.extend(pieces) or real(pieces)
+    coder.encode_batch(pa.array(["word. word, word word; word\nword 12word"]))
+    coder.encode_batch(pa.array(["a word\n\nword word."]))
+    assert len(asked) == len(set(asked)) and sorted(p for p in asked if "word" in p) == [" word", "word"]
+
+
 def test_pack(docs, doc_rows):
     check_pieces(packing.pack(docs, WORD, False, 1).collect(), [r[:2] for r in doc_rows])
     got = packing.pack(docs, WORD, False, 1, longest=16, with_ids=True).collect()
