@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with forward states shared among words with a common beginning.
 
-A text is cut into marked words (the mark stands for a space and opens a word); no piece of the vocabulary
-crosses these cuts, which is checked when the model is read. The distinct words of a slice are sorted, so that they
+A text is cut into words wherever two bytes meet that stand side by side in no piece of the vocabulary, so no piece crosses these
+cuts: before a space (its mark opens a word), around line feeds, mostly before marks, and where letters are strange
+to each other. Each distinct word of a slice is looked up once. Those that are new are sorted, so that they
 form a trie in depth-first order; the forward state of every prefix is kept on a stack as long as the next word
 still begins with it.
 
@@ -20,18 +21,27 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import slices
+from catalith.llm.common import freed, joined_runs, parts_of, runs, slices, utf8
 
 MARK = "▁"
 #: Words, and pairs of pieces, whose results a process keeps.
-CACHE_WORDS, CACHE_PAIRS = 200_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 450_000, 1_000_000
+
+
+def word_cuts(data: np.ndarray, rows: np.ndarray, meets: np.ndarray) -> np.ndarray:
+    """Places in the bytes of texts between two that don't meet, with the rows' beginnings and the end."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:-1] = ~meets.ravel()[data[:-1].astype(np.intp) << 8 | data[1:]]
+    edge[rows] = True
+    edge[[0, len(data)]] = True
+    return np.flatnonzero(edge)
 
 
 class Codec:
@@ -58,7 +68,17 @@ class Codec:
                 self.raw.append(piece.replace(MARK, " ").encode())
         if any(re.search(rf"[^{MARK}]{MARK}|.\n|\n.", p, re.DOTALL) for p in self.id):
             raise ValueError("a piece crosses the end of a word")
+        #: Marked words of a text; word_cuts cuts at their beginnings too.
         self.words = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+        #: Whether a piece has two bytes side by side, or they may be of one character; no piece crosses a place between others.
+        self.meets = np.zeros((256, 256), bool)
+        self.meets[:, 0x80:0xC0] = True
+        for i in self.id.values():
+            raw = np.frombuffer(self.raw[i], np.uint8)
+            self.meets[raw[:-1], raw[1:]] = True
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_length = np.fromiter(map(len, self.raw), np.int64)
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
         self.kept: dict[str, bytes] = {}
         self.prepare()
 
@@ -150,16 +170,34 @@ class Codec:
         return array("I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.words.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        new = self.encode_words(list(set(chain.from_iterable(cut)).difference(self.kept)))
+        ids, at = self.encode_batch(pa.array([x or "" for x in texts], pa.string()))
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def encode_batch(self, text: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts (none null), and where each text's begin among them (with the end at last). Each distinct word is looked up once."""
+        spaced = pc.replace_substring(text, MARK, " ")
+        data, rows = utf8(pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(" ", spaced, "")))
+        edges = word_cuts(data, rows, self.meets)
+        parts = parts_of(data, edges)
+        words = pc.replace_substring(parts.dictionary, " ", MARK).to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.kept.get, words))
+        missing = [i for i, x in enumerate(raw) if x is None]
+        new = self.encode_words([words[i] for i in missing])
+        for i in missing:
+            raw[i] = new[words[i]]
+        ids, ends = joined_runs(raw, parts.indices.to_numpy())
         if len(self.kept) < CACHE_WORDS:
             self.kept |= new
-            return [np.frombuffer(b"".join(map(self.kept.__getitem__, c)), "<u4") for c in cut]
-        kept = self.kept
-        return [np.frombuffer(b"".join([kept[w] if w in kept else new[w] for w in c]), "<u4") for c in cut]
+        return ids, ends[np.searchsorted(edges, rows)].tolist()
+
+    def decode_batch(self, ids: np.ndarray, at: list[int]) -> list[str]:
+        """The texts of ids, which begin where at says."""
+        places, ends = runs(self.raw_start[ids], self.raw_length[ids])
+        raw, ends = self.raw_bytes[places].tobytes(), ends[at].tolist()
+        return [raw[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").removeprefix(" ")
+        return self.decode_batch(ids, [0, len(ids)])[0]
 
 
 class Viterbi(Codec):
@@ -219,18 +257,19 @@ def _task(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
-                texts = part.column("text").to_pylist()
-                ids = coder.encode(texts)
-                back = [coder.decode(x) for x in ids]
+            for part in slices(batch, limit=1 << 22):
+                text = part.column("text")
+                ids, at = coder.encode_batch(text)
+                back = coder.decode_batch(ids, at)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 cols = [
                     part.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                    pa.array(np.diff(at), pa.int64()),
+                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()),
                     pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
-                    pa.array([a == b.replace(MARK, " ") for a, b in zip(back, texts, strict=True)]),
+                    pa.array([a == b.replace(MARK, " ") for a, b in zip(back, text.to_numpy(zero_copy_only=False), strict=True)], pa.bool_()),
                 ]
-                more = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.string())] * with_ids
+                more = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.astype(np.int32)), pa.array(back, pa.string())] * with_ids
                 names = ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip", *["ids", "decoded"] * with_ids]
                 yield pa.RecordBatch.from_arrays([*cols, *more], names=names)
 
@@ -247,5 +286,5 @@ def sentencepiece(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _task(model, with_ids), f"doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean{more}"
+        freed(_task(model, with_ids)), f"doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean{more}"
     )

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from sentencepiece import SentencePieceProcessor
 
 from catalith.llm import sentencepiece_codec as op
@@ -42,6 +43,21 @@ def test_awkward_texts(monkeypatch):
     assert [coder.encode([t])[0].tolist() for t in texts] == sp.encode(texts)
 
 
+def test_words_are_cut_where_no_piece_crosses_and_found_once():
+    coder, asked = op.Codec(PATH), []
+    real = coder.encode_words
+    coder.encode_words = lambda words: asked.extend(words) or real(words)
+    texts = ["word, word. word word;word\nword, word", "", "a word\n\n word ▁x ▁▁y"]
+    ids, at = coder.encode_batch(pa.array(texts))
+    sp = SentencePieceProcessor(model_file=PATH)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == sp.encode(texts)
+    assert coder.decode_batch(ids, at) == [x.replace("▁", " ") for x in texts]
+    coder.encode_batch(pa.array(texts))
+    assert len(asked) == len(set(asked)) and sorted(w for w in asked if "word" in w) == ["word", "▁word"]
+    pairs = {p for i in coder.id.values() for p in zip(coder.raw[i], coder.raw[i][1:], strict=False)}
+    assert all(coder.meets[p] for p in pairs) and not coder.meets[ord("d"), ord(" ")]
+
+
 def unigram_model(path):
     """A unigram model with byte fallback of pieces and scores that are made up here."""
     from sentencepiece import sentencepiece_model_pb2 as proto
