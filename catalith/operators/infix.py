@@ -1,6 +1,6 @@
 """Search for a part of a title, from an index of character n-grams.
 
-The index is three tables: grams (gram, list_id), in order of the gram; counts (gram and how many texts have it), likewise; docs
+The index is three tables: grams (gram, list_id), whose files each hold the texts of a range of ids in order of the gram; counts (gram and how many texts have it), likewise; docs
 (list_id, text), in order of the id. A request's text is cut into its grams of the largest size, whose counts are
 read first. The postings of the rarest gram are met with those of the next, and so on; what is in all of them is verified
 in the texts of these ids alone. No request scans the texts. Letters of either case are the same.
@@ -20,6 +20,8 @@ from catalith.sources.stores import read_snapshot, replace_snapshot
 LARGEST = 3
 #: Postings that are met; what others would leave out, the texts do.
 MET = 4
+#: Characters of texts whose grams are made and sorted in one task, and in one file.
+TASK_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -32,8 +34,9 @@ class GramIndex:
 def text_grams(text: Column) -> Column:
     """The distinct runs of one to LARGEST characters of a text in small letters; none of null and empty texts."""
     chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-    runs = lambda c, i: F.array(*(F.concat(*(F.get(chars, i + k) for k in range(n))) for n in range(1, LARGEST + 1)))
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(chars, runs))))
+    runs = lambda cs: lambda c, i: F.array(*(F.concat(*(F.get(cs, i + k) for k in range(n))) for n in range(1, LARGEST + 1)))
+    once = F.transform(F.array(chars), lambda cs: F.flatten(F.transform(cs, runs(cs))))  # else the text is split for each run
+    return F.array_distinct(F.array_compact(F.flatten(once)))
 
 
 def build_gram_index(docs: DataFrame) -> GramIndex:
@@ -47,8 +50,10 @@ def write_gram_index(docs: DataFrame, folder: str) -> None:
     """Stores the index of docs; readers that began before go on with the version that they read."""
     spark, index = docs.sparkSession, build_gram_index(docs)
     replace_snapshot(index.docs.repartitionByRange("list_id").sortWithinPartitions("list_id"), f"{folder}/docs", also_empty=True)
-    grams = build_gram_index(read_snapshot(spark, f"{folder}/docs")).grams
-    replace_snapshot(grams.repartitionByRange("gram", "list_id").sortWithinPartitions("gram", "list_id"), f"{folder}/grams", also_empty=True)
+    rows = read_snapshot(spark, f"{folder}/docs")
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    dealt = rows.repartitionByRange(1 + chars // TASK_CHARS, "list_id")  # texts are dealt, for their grams are many times as large
+    replace_snapshot(build_gram_index(dealt).grams.sortWithinPartitions("gram", "list_id"), f"{folder}/grams", also_empty=True)
     counts = read_snapshot(spark, f"{folder}/grams").groupBy("gram").agg(F.count("*").alias("n"))
     replace_snapshot(counts.repartitionByRange("gram").sortWithinPartitions("gram"), f"{folder}/counts", also_empty=True)
 

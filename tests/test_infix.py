@@ -56,3 +56,13 @@ def test_rarest_first(index):
 def test_empty(spark, tmp_path):
     infix.write_gram_index(spark.createDataFrame([], "list_id long, text string"), str(tmp_path))
     assert infix.infix_search(infix.read_gram_index(spark, str(tmp_path)), "a").collect() == []
+
+
+def test_grams_are_made_in_tasks_of_bounded_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(infix, "TASK_CHARS", 1000)
+    texts = {i: f"https://example.org/{i:04d}" for i in range(400)}
+    infix.write_gram_index(spark.createDataFrame([*texts.items()], "list_id long, text string").coalesce(1), str(tmp_path))
+    index = infix.read_gram_index(spark, str(tmp_path))
+    files = index.grams.selectExpr("_metadata.file_path AS file", "list_id", "gram").groupBy("file").agg({"list_id": "min", "*": "count"}).collect()
+    assert len(files) > 5 and len({r["min(list_id)"] for r in files}) == len(files) and max(r["count(1)"] for r in files) < index.grams.count() / 4
+    assert {r["list_id"] for r in infix.infix_search(index, "g/012").collect()} == {i for i in texts if i // 10 == 12}
